@@ -77,3 +77,60 @@ def latest_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
     if count_as:
         sel.append(F.col(count_as))
     return out.select(*sel)
+
+
+def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, sums: dict[str, str],
+                 leads: dict[str, str] | None = None, descending: bool = True,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Running sums (and next-row values) within ``group_cols`` in ``order_col`` order.
+
+    A window ``partitionBy(group).orderBy(order)`` would run each group in one task.
+    Instead rows are range-partitioned on (group, order) so every task gets a
+    balanced slice; each slice computes local running sums, and a table with one
+    row per (group, slice) supplies the offsets of the earlier slices and the first
+    row of the next slice. ``order_col`` values must be unique within a group
+    (aggregate by it first).
+
+    ``sums``: output -> source column (inclusive running sum).
+    ``leads``: output -> source column (value of the next row in order, NULL at the end).
+    """
+    leads = leads or {}
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    pid = "__slice"
+    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], order)
+                .withColumn(pid, F.spark_partition_id()))
+    keys = group_cols + [pid]
+    w_run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w_ord = Window.partitionBy(*keys).orderBy(order)
+    local = ranged
+    for out, src in sums.items():
+        local = local.withColumn(f"__run_{out}", F.sum(src).over(w_run))
+    for out, src in leads.items():
+        local = local.withColumn(f"__lead_{out}", F.lead(src).over(w_ord))
+    # One row per (group, slice): slice totals and the slice's first row.
+    first_key = F.struct(F.col(order_col)) if descending else F.struct(-F.col(order_col))
+    slice_aggs = [F.sum(src).alias(f"__tot_{out}") for out, src in sums.items()]
+    if leads:
+        first = F.struct(*[F.col(src).alias(out) for out, src in leads.items()])
+        slice_aggs.append(F.max_by(first, first_key).alias("__first"))
+    slices = ranged.groupBy(*keys).agg(*slice_aggs)
+    w_before = Window.partitionBy(*group_cols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    w_next = Window.partitionBy(*group_cols).orderBy(pid)
+    offs = slices
+    for out in sums:
+        offs = offs.withColumn(f"__off_{out}", F.coalesce(F.sum(f"__tot_{out}").over(w_before), F.lit(0)))
+    if leads:
+        offs = offs.withColumn("__next_first", F.lead("__first").over(w_next))
+    offs = offs.select(*keys, *[c for c in offs.columns if c.startswith("__off_") or c == "__next_first"])
+    # The offsets table has one row per (group, slice): its size is bounded by the
+    # partition count, not by the data.
+    joined = local.join(F.broadcast(offs), on=keys, how="left")
+    for out in sums:
+        joined = joined.withColumn(out, F.col(f"__run_{out}") + F.col(f"__off_{out}"))
+    for out in leads:
+        joined = joined.withColumn(out, F.coalesce(F.col(f"__lead_{out}"), F.col("__next_first").getField(out)))
+    drop = [pid] + [c for c in joined.columns if c.startswith(("__run_", "__off_", "__lead_"))]
+    if leads:
+        drop.append("__next_first")
+    return joined.drop(*drop)
