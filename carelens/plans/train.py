@@ -97,10 +97,10 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
                                 rawPredictionCol="r_rf", predictionCol="y_rf")
     gb_params = dict(featuresCol="features_raw", labelCol="REINGRESO", maxIter=rounds, maxDepth=C.TREE_DEPTH,
                      stepSize=C.BOOST_RATE, seed=cfg.seed, maxBins=cfg.max_bins, cacheNodeIds=True,
-                     checkpointInterval=10, probabilityCol="p_gb", rawPredictionCol="r_gb", predictionCol="y_gb")
+                     checkpointInterval=10, predictionCol="y_gb")
     if cfg.weighted_boosting:
         gb_params["weightCol"] = "weight"
-    gb = GBTClassifier(**gb_params)
+    gb = GBTClassifier(**gb_params).setProbabilityCol("p_gb").setRawPredictionCol("r_gb")
 
     lr_m = Pipeline(stages=[scaled, lr]).fit(train)
     rf_m = Pipeline(stages=[raw, rf]).fit(train)
@@ -119,7 +119,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
 def probabilities(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Adds PROB_REINGRESO_LR/RF/GB (positive-class probability of each model)."""
     out = fitted.lr.transform(df)
-    out = fitted.rf.transform(out)
+    out = fitted.rf.transform(out).drop("features_raw")
     out = fitted.gb.transform(out)
     out = (out.withColumn(PROB_COLS["lr"], vector_to_array("p_lr")[1])
               .withColumn(PROB_COLS["rf"], vector_to_array("p_rf")[1])
