@@ -32,7 +32,9 @@ def nan_to_null(c) -> Column:
 def parse_number(c) -> Column:
     """Text -> double, anything unparseable -> NULL (coercing parse)."""
     t = col(c).cast("string")
-    return F.when(t.rlike(NUMBER_TEXT), F.regexp_replace(t, EDGE_SPACE, "").try_cast("double"))
+    # The cast trims surrounding whitespace itself; the pattern keeps out what
+    # the cast would also accept (type suffixes, hex, NaN, infinity).
+    return F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
 
 
 def parse_timestamp(c, fmt: str | None = None) -> Column:

@@ -35,6 +35,25 @@ def add_previous_discharge(df: DataFrame) -> DataFrame:
                       values={"FECHA_EGRESO_ANTERIOR": "FECHA_EGRESO_DEL_INGRESO_ACTUAL"})
 
 
+def add_pressure(df: DataFrame, src: str = "PRESION_ARTERIAL") -> DataFrame:
+    """Systolic, diastolic and mean pressure (batch rules), parsed in stages.
+
+    Each stage is its own projection so the text is stripped, split and parsed
+    once per row; Catalyst keeps projections apart when an expensive expression
+    is referenced more than once.
+    """
+    sys_lo, sys_hi = C.SYSTOLIC_RANGE
+    dia_lo, dia_hi = C.DIASTOLIC_RANGE
+    df = df.withColumn("__ps", F.regexp_replace(F.col(src).cast("string"), X.EDGE_SPACE, ""))
+    df = df.withColumn("__parts", F.when(F.col("__ps").contains("/"), F.split("__ps", "/")))
+    df = (df.withColumn("__sys", X.parse_number(F.get(F.col("__parts"), 0)))
+            .withColumn("__dia", X.parse_number(F.get(F.col("__parts"), 1))))
+    df = (df.withColumn("PRESION_SISTOLICA", F.when(F.col("__sys").between(sys_lo, sys_hi), F.col("__sys")))
+            .withColumn("PRESION_DIASTOLICA", F.when(F.col("__dia").between(dia_lo, dia_hi), F.col("__dia"))))
+    df = df.withColumn("PRESION_ARTERIAL_MEDIA", X.mean_arterial("PRESION_SISTOLICA", "PRESION_DIASTOLICA"))
+    return df.drop("__ps", "__parts", "__sys", "__dia")
+
+
 def prepare(extracted: DataFrame, cfg: Config = Config(), with_previous_discharge: bool = False) -> DataFrame:
     """Extracted episodes -> model-ready rows (features, bands, label, texts)."""
     df = extracted
@@ -44,10 +63,7 @@ def prepare(extracted: DataFrame, cfg: Config = Config(), with_previous_discharg
             .withColumn("CATEGORIA_IMC", X.bmi_band("IMC"))
             .withColumn("GRUPO_EDAD", X.age_band("EDAD")))
     if cfg.variant == "batch":
-        df = (df.withColumn("PRESION_SISTOLICA", X.systolic("PRESION_ARTERIAL"))
-                .withColumn("PRESION_DIASTOLICA", X.diastolic("PRESION_ARTERIAL"))
-                .withColumn("PRESION_ARTERIAL_MEDIA",
-                            X.mean_arterial("PRESION_SISTOLICA", "PRESION_DIASTOLICA")))
+        df = add_pressure(df, "PRESION_ARTERIAL")
     if with_previous_discharge:
         df = add_previous_discharge(df)
     return add_texts(add_label(df))

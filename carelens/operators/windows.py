@@ -38,15 +38,15 @@ def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
                                               F.lit("1970-01-01").cast("date"))))
 
     in_slice = Window.partitionBy(key, sl_null, sl_day).orderBy(F.col(order_col), F.col(tie_col))
-    with_local = base.withColumn("__prev_tie", F.lag(tie_col).over(in_slice))
+    with_local = (base.withColumn("__prev_tie", F.lag(tie_col).over(in_slice))
+                      .withColumn("__next_tie", F.lead(tie_col).over(in_slice)))
     for out, src in values.items():
         with_local = with_local.withColumn(f"__local_{out}", F.lag(src).over(in_slice))
 
-    # Last row of every (key, slice) by (order_col, tie_col); map-side pre-aggregated.
-    last = (base.filter(F.col(key).isNotNull())
-                .groupBy(key, sl_null, sl_day)
-                .agg(F.max_by(F.struct(*[F.col(s) for s in srcs]),
-                              F.struct(F.col(order_col), F.col(tie_col))).alias(packed)))
+    # The last row of every (key, slice) carries its values to the key's next slice.
+    # This table has one row per key and calendar day.
+    last = (with_local.filter(F.col("__next_tie").isNull() & F.col(key).isNotNull())
+                      .select(key, sl_null, sl_day, F.struct(*[F.col(s) for s in srcs]).alias(packed)))
     slices = Window.partitionBy(key).orderBy(F.col(sl_null), F.col(sl_day))
     carried = last.select(key, sl_null, sl_day, F.lag(packed).over(slices).alias("__carried"))
 
@@ -58,7 +58,7 @@ def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
             F.when(F.col(key).isNull(), F.lit(None))
              .when(first_in_slice, F.col("__carried").getField(src))
              .otherwise(F.col(f"__local_{out}")))
-    drop = [sl_null, sl_day, "__prev_tie", "__carried"] + [f"__local_{o}" for o in values]
+    drop = [sl_null, sl_day, "__prev_tie", "__next_tie", "__carried"] + [f"__local_{o}" for o in values]
     return joined.drop(*drop)
 
 

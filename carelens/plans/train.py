@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -30,8 +31,10 @@ from carelens.operators import evaluate as E
 from carelens.operators.impute import impute_median
 from carelens.operators.split import class_weights, scaler_stats, standardize, stratified_split, weight_column
 from carelens.plans.scoring import PROB_COLS, score_columns
+from carelens.session import ensure_checkpoint_dir
 
 Z = "__z"
+TRAIN_ROWS_PER_PARTITION = 50_000
 
 
 @dataclass
@@ -76,6 +79,7 @@ def _assemblers(features: list[str]):
 
 def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_imputed: DataFrame | None = None,
         trees: int = C.FOREST_TREES, rounds: int = C.BOOST_ROUNDS) -> Fitted:
+    ensure_checkpoint_dir(spark)
     feats = cfg.features
     data, w = model_ready(prepared, cfg, knn_imputed)
     train_rows = data.filter(~F.col("is_test"))
@@ -84,7 +88,14 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     # Read by three fits, evaluation and scoring: cut the lineage once.
     data = data.checkpoint(eager=True)
     train = data.filter(~F.col("is_test"))
-    sum_w = train.agg(F.sum("weight")).first()[0] or 1.0
+    n_train, sum_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    sum_w = sum_w or 1.0
+    # Tree learners run a few jobs per level and round; size partitions by rows
+    # (about TRAIN_ROWS_PER_PARTITION each) so small inputs do not pay for idle tasks.
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-n_train // TRAIN_ROWS_PER_PARTITION)))
+    if parts < data.rdd.getNumPartitions():
+        train = train.coalesce(parts)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     raw, scaled = _assemblers(feats)
 
     lr = LogisticRegression(featuresCol="features_z", labelCol="REINGRESO", weightCol="weight",
@@ -96,7 +107,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
                                 maxBins=cfg.max_bins, seed=cfg.seed, probabilityCol="p_rf",
                                 rawPredictionCol="r_rf", predictionCol="y_rf")
     gb_params = dict(featuresCol="features_raw", labelCol="REINGRESO", maxIter=rounds, maxDepth=C.TREE_DEPTH,
-                     stepSize=C.BOOST_RATE, seed=cfg.seed, maxBins=cfg.max_bins, cacheNodeIds=True,
+                     stepSize=C.BOOST_RATE, seed=cfg.seed, maxBins=cfg.max_bins,
                      checkpointInterval=10, predictionCol="y_gb")
     if cfg.weighted_boosting:
         gb_params["weightCol"] = "weight"
