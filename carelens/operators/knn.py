@@ -30,83 +30,119 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import config as C
 
-RECEIVER_CHUNK = 2000
-DONOR_CHUNK = 20000
-SUB_BATCH = 256
+PAIRS_PER_TASK = 200_000_000
+SUB_BATCH = 512
 
 
-def _stats(df: DataFrame, features: list[str]):
-    aggs = []
+def _stats(df: DataFrame, features: list[str], any_missing):
+    """Means, population deviations, row and incomplete-row counts in one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(any_missing).alias("n_incomplete")]
     for i, f in enumerate(features):
         c = F.col(f).cast("double")
         aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
     row = df.agg(*aggs).first()  # one row of statistics
     means = [row[f"m{i}"] for i in range(len(features))]
     sds = [row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(features))]
-    return means, sds
+    return means, sds, row["n"], row["n_incomplete"]
+
+
+def plan_chunks(n_receivers: int, n_donors: int, min_tasks: int,
+                pairs_per_task: int = PAIRS_PER_TASK) -> tuple[int, int]:
+    """Receiver chunks q and donor chunks p: q*p tasks of at most ``pairs_per_task``
+    distance evaluations, shaped so the replicated rows (receivers*p + donors*q)
+    are smallest."""
+    tasks = max(min_tasks, math.ceil(n_receivers * n_donors / pairs_per_task), 1)
+    q = max(1, round(math.sqrt(tasks * n_receivers / max(n_donors, 1))))
+    q = min(q, max(1, n_receivers))
+    p = max(1, math.ceil(tasks / q))
+    return q, p
+
+
+# Candidates are cut with the fast (matrix-product) distances plus this margin,
+# then re-measured exactly; the margin is far above the rounding error of the
+# expansion, so no true neighbour is lost.
+CUT_MARGIN = 1e-6
+
+
+def _exact_dist(rz, rpres, dz, dpres, nf):
+    both = rpres & dpres
+    diff = np.where(both, rz - dz, 0.0)
+    shared = both.sum(axis=-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.sqrt(nf / shared * (diff * diff).sum(axis=-1))
 
 
 def _nearest(features: list[str], k: int):
     nf = len(features)
 
     def run(key, rec: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
-        out = {"rkey": [], "feature": [], "donor": [], "dist": [], "value": []}
+        cols = {"rkey": [], "feature": [], "donor": [], "dist": [], "value": []}
         if rec.empty or don.empty:
-            return pd.DataFrame(out)
+            return pd.DataFrame(cols)
         dz = don[[f"z{i}" for i in range(nf)]].to_numpy(dtype=float)
         dx = don[[f"x{i}" for i in range(nf)]].to_numpy(dtype=float)
         dpres = ~np.isnan(dz)
+        dm = dpres.astype(float)
         dzf = np.where(dpres, dz, 0.0)
+        dsq = dzf * dzf
         dids = don["id"].to_numpy()
         rz_all = rec[[f"z{i}" for i in range(nf)]].to_numpy(dtype=float)
         rkeys = rec["rkey"].to_numpy()
         for s in range(0, len(rec), SUB_BATCH):
             rz = rz_all[s:s + SUB_BATCH]
             rpres = ~np.isnan(rz)
+            rm = rpres.astype(float)
             rzf = np.where(rpres, rz, 0.0)
-            sq = np.zeros((len(rz), len(dz)))
-            shared = np.zeros((len(rz), len(dz)))
-            for c in range(nf):
-                both = np.outer(rpres[:, c], dpres[:, c])
-                diff = rzf[:, c][:, None] - dzf[:, c][None, :]
-                sq += np.where(both, diff * diff, 0.0)
-                shared += both
+            # Masked squared distance over shared coordinates, as matrix products.
+            shared = rm @ dm.T
+            sq = (rzf * rzf) @ dm.T + rm @ dsq.T - 2.0 * (rzf @ dzf.T)
+            np.maximum(sq, 0.0, out=sq)
             with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.sqrt(nf / shared * sq)
-            comparable = shared > 0
-            for j in range(len(rz)):
-                for f in np.flatnonzero(~rpres[j]):
-                    ok = comparable[j] & dpres[:, f]
-                    idx = np.flatnonzero(ok)
-                    if idx.size == 0:
-                        continue
-                    d = dist[j, idx]
-                    dr = np.round(d, 9)
-                    if idx.size > k:
-                        cut = np.partition(dr, k - 1)[k - 1]
-                        sel = dr <= cut
-                        idx, d, dr = idx[sel], d[sel], dr[sel]
-                    order = np.lexsort((dids[idx], dr))[:k]
-                    for o in order:
-                        out["rkey"].append(rkeys[s + j])
-                        out["feature"].append(int(f))
-                        out["donor"].append(int(dids[idx[o]]))
-                        out["dist"].append(float(d[o]))
-                        out["value"].append(float(dx[idx[o], f]))
-        return pd.DataFrame(out)
+                approx = np.sqrt(nf / shared * sq)
+            approx[shared == 0] = np.inf
+            for f in range(nf):
+                rows = np.flatnonzero(~rpres[:, f])
+                donors_f = np.flatnonzero(dpres[:, f])
+                if rows.size == 0 or donors_f.size == 0:
+                    continue
+                sub = approx[np.ix_(rows, donors_f)]
+                kk = min(k, donors_f.size)
+                kth = np.partition(sub, kk - 1, axis=1)[:, kk - 1]
+                ri, di = np.nonzero(sub <= (kth + CUT_MARGIN)[:, None])
+                finite = np.isfinite(sub[ri, di])
+                ri, di = ri[finite], di[finite]
+                if ri.size == 0:
+                    continue
+                r_abs, d_abs = s + rows[ri], donors_f[di]
+                d = _exact_dist(rz_all[r_abs], ~np.isnan(rz_all[r_abs]), dz[d_abs], dpres[d_abs], nf)
+                dr = np.round(d, 9)
+                order = np.lexsort((dids[d_abs], dr, r_abs))
+                r_sorted = r_abs[order]
+                first = np.r_[True, r_sorted[1:] != r_sorted[:-1]]
+                start_idx = np.maximum.accumulate(np.where(first, np.arange(r_sorted.size), 0))
+                keep = order[(np.arange(r_sorted.size) - start_idx) < k]
+                cols["rkey"].append(rkeys[r_abs[keep]])
+                cols["feature"].append(np.full(keep.size, f, dtype=np.int32))
+                cols["donor"].append(dids[d_abs[keep]])
+                cols["dist"].append(d[keep])
+                cols["value"].append(dx[d_abs[keep], f])
+        if not cols["rkey"]:
+            return pd.DataFrame({c: [] for c in cols})
+        return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
 
     return run
 
 
 def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
-               k: int = C.KNN_NEIGHBOURS, receiver_chunk: int = RECEIVER_CHUNK,
-               donor_chunk: int = DONOR_CHUNK) -> DataFrame:
+               k: int = C.KNN_NEIGHBOURS, pairs_per_task: int = PAIRS_PER_TASK,
+               min_tasks: int | None = None) -> DataFrame:
     """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
     nf = len(features)
     spark = df.sparkSession
@@ -114,14 +150,18 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     for f in features:
         c = F.col(f).cast("double")
         clean = clean.withColumn(f, F.when(~F.isnan(c), c))
-    means, sds = _stats(clean, features)
+    any_missing = F.lit(False)
+    for f in features:
+        any_missing = any_missing | F.col(f).isNull()
+    # Read by the statistics, both chunk sides and the join back.
+    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
+    means, sds, n_rows, n_incomplete = _stats(clean, features, any_missing)
+    if n_incomplete == 0:
+        return clean
 
     zcols = [((F.col(f) - F.lit(means[i] if means[i] is not None else 0.0)) / F.lit(sds[i])).alias(f"z{i}")
              for i, f in enumerate(features)]
     xcols = [F.col(f).alias(f"x{i}") for i, f in enumerate(features)]
-    any_missing = F.lit(False)
-    for f in features:
-        any_missing = any_missing | F.col(f).isNull()
 
     vec = F.struct(*[F.col(f) for f in features])
     # One receiver per distinct vector, keyed by its smallest row id (exact, unique).
@@ -132,15 +172,9 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
                                                      for i, f in enumerate(features)])
     donors = clean.select(F.col(id_col).cast("long").alias("id"), *zcols, *xcols)
 
-    n_rec, n_don = receivers.count(), donors.count()  # sizes pick the chunk counts
-    if n_rec == 0:
-        return clean
-    par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = max(1, math.ceil(n_rec / receiver_chunk))
-    p = max(1, math.ceil(n_don / donor_chunk))
-    if q * p < par:
-        q = max(q, min(par, math.ceil(n_rec / 64)))
-    rec_c = (receivers.withColumn("rc", F.pmod(F.col("rkey"), F.lit(q)).cast("int"))
+    par = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q, p = plan_chunks(n_incomplete, n_rows, par, pairs_per_task)
+    rec_c = (receivers.withColumn("rc", F.pmod(F.xxhash64("rkey"), F.lit(q)).cast("int"))
                       .withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))))
     don_c = (donors.withColumn("dc", F.pmod(F.xxhash64("id"), F.lit(p)).cast("int"))
                    .withColumn("rc", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))))

@@ -55,17 +55,19 @@ class Fitted:
 def model_ready(prepared: DataFrame, cfg: Config, knn_imputed: DataFrame | None = None) -> DataFrame:
     """Imputed features + ``is_test`` + ``weight``."""
     feats = cfg.features
+    # The imputed table feeds the split (class counts, hash histogram, cut),
+    # class weights and scaling: materialise it once in the checkpoint folder.
     if cfg.variant == "batch":
         if cfg.fit_on == "train":
-            split = stratified_split(prepared)
+            split = stratified_split(prepared.checkpoint(eager=True))
             imputed = impute_median(split, feats, fit_rows=split.filter(~F.col("is_test")))
         else:
-            imputed = stratified_split(impute_median(prepared, feats))
+            imputed = stratified_split(impute_median(prepared, feats).checkpoint(eager=True))
     else:
         if knn_imputed is None:
             from carelens.operators.knn import impute_knn
             knn_imputed = impute_knn(prepared, feats, id_col="INGRESO_ACTUAL")
-        imputed = stratified_split(knn_imputed)
+        imputed = stratified_split(knn_imputed.checkpoint(eager=True))
     weights_from = imputed.filter(~F.col("is_test")) if cfg.weights_from == "train" else imputed
     w = class_weights(weights_from).first().asDict()
     return weight_column(imputed, w), w

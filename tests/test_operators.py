@@ -139,6 +139,7 @@ def test_knn_matches_brute_force(spark):
     pdf.loc[5, ["a", "b"]] = pdf.loc[6, ["a", "b"]].values  # exact twins: zero distance
     feats = ["a", "b", "c"]
     df = spark.createDataFrame(pdf)
-    got = impute_knn(df, feats, id_col="id", receiver_chunk=40, donor_chunk=90).toPandas().sort_values("id")
+    # Small chunks so the test crosses several receiver and donor chunks.
+    got = impute_knn(df, feats, id_col="id", pairs_per_task=4000, min_tasks=6).toPandas().sort_values("id")
     want = _knn_brute(pdf, feats)
     assert np.allclose(got[feats].to_numpy(), want, atol=1e-9)
