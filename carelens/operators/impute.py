@@ -27,10 +27,11 @@ def medians(df: DataFrame, features: list[str], relative_error: float | None = N
 
 
 def impute_median(df: DataFrame, features: list[str], fit_rows: DataFrame | None = None,
-                  relative_error: float | None = None) -> DataFrame:
-    """Replace NULL/NaN in ``features`` by the median of ``fit_rows`` (default: ``df``).
-    Features become doubles (a column with no value at all stays NULL)."""
-    m = medians(fit_rows if fit_rows is not None else df, features, relative_error)
+                  relative_error: float | None = None, values: dict[str, float | None] | None = None) -> DataFrame:
+    """Replace NULL/NaN in ``features`` by the median of ``fit_rows`` (default: ``df``),
+    or by given ``values``. Features become doubles (a column with no value stays NULL)."""
+    m = values if values is not None else medians(fit_rows if fit_rows is not None else df, features,
+                                                  relative_error)
     out = df
     for f in features:
         c = F.col(f).cast("double")

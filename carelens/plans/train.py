@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from carelens import config as C
 from carelens.config import Config
 from carelens.operators import evaluate as E
-from carelens.operators.impute import impute_median
+from carelens.operators.impute import impute_median, medians
 from carelens.operators.split import class_weights, scaler_stats, standardize, stratified_split, weight_column
 from carelens.plans.scoring import PROB_COLS, score_columns
 from carelens.session import ensure_checkpoint_dir
@@ -48,29 +48,33 @@ class Fitted:
     rf: PipelineModel
     gb: PipelineModel
     data: DataFrame  # imputed, split, weighted, checkpointed
+    medians: dict | None = None  # imputation values (batch variant)
     aucs: dict = field(default_factory=dict)
     best: str = ""
 
 
-def model_ready(prepared: DataFrame, cfg: Config, knn_imputed: DataFrame | None = None) -> DataFrame:
-    """Imputed features + ``is_test`` + ``weight``."""
+def model_ready(prepared: DataFrame, cfg: Config, knn_imputed: DataFrame | None = None):
+    """(imputed features + ``is_test`` + ``weight``, class weights, imputation values)."""
     feats = cfg.features
     # The imputed table feeds the split (class counts, hash histogram, cut),
     # class weights and scaling: materialise it once in the checkpoint folder.
     if cfg.variant == "batch":
         if cfg.fit_on == "train":
             split = stratified_split(prepared.checkpoint(eager=True))
-            imputed = impute_median(split, feats, fit_rows=split.filter(~F.col("is_test")))
+            fill = medians(split.filter(~F.col("is_test")), feats)
+            imputed = impute_median(split, feats, values=fill)
         else:
-            imputed = stratified_split(impute_median(prepared, feats).checkpoint(eager=True))
+            fill = medians(prepared, feats)
+            imputed = stratified_split(impute_median(prepared, feats, values=fill).checkpoint(eager=True))
     else:
         if knn_imputed is None:
             from carelens.operators.knn import impute_knn
             knn_imputed = impute_knn(prepared, feats, id_col="INGRESO_ACTUAL")
         imputed = stratified_split(knn_imputed.checkpoint(eager=True))
+        fill = None
     weights_from = imputed.filter(~F.col("is_test")) if cfg.weights_from == "train" else imputed
     w = class_weights(weights_from).first().asDict()
-    return weight_column(imputed, w), w
+    return weight_column(imputed, w), w, fill
 
 
 def _assemblers(features: list[str]):
@@ -83,7 +87,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
         trees: int = C.FOREST_TREES, rounds: int = C.BOOST_ROUNDS) -> Fitted:
     ensure_checkpoint_dir(spark)
     feats = cfg.features
-    data, w = model_ready(prepared, cfg, knn_imputed)
+    data, w, fill = model_ready(prepared, cfg, knn_imputed)
     train_rows = data.filter(~F.col("is_test"))
     stats = scaler_stats(train_rows, feats)
     data = standardize(data, stats, suffix=Z)
@@ -118,7 +122,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     lr_m = Pipeline(stages=[scaled, lr]).fit(train)
     rf_m = Pipeline(stages=[raw, rf]).fit(train)
     gb_m = Pipeline(stages=[raw, gb]).fit(train)
-    fitted = Fitted(cfg, feats, stats, w, 1.0 / sum_w, lr_m, rf_m, gb_m, data)
+    fitted = Fitted(cfg, feats, stats, w, 1.0 / sum_w, lr_m, rf_m, gb_m, data, medians=fill)
     metrics = E.model_metrics(test_predictions(fitted))
     rows = {r["model"]: r for r in metrics.collect()}  # one row per model
     fitted.aucs = {m: rows[m]["roc_auc_pct"] / 100.0 for m in rows}

@@ -64,3 +64,31 @@ def test_weights_sum_to_100(spark, fitted):
 
 def test_best_model_is_max_auc(fitted):
     assert fitted.aucs[fitted.best] == max(fitted.aucs.values())
+
+
+def test_stream_scores_every_arriving_admission(spark, fitted, tmp_path):
+    from carelens.streaming.score_stream import score_stream
+    from carelens.sources.episodes import SOURCE_SCHEMA
+    source, sink, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    eps = I.episodes(spark, SF0001).select(*[f.name for f in SOURCE_SCHEMA.fields])
+    eps.write.parquet(source)
+    q = score_stream(spark, fitted, source, sink, checkpoint_location=ckpt)
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert out.count() == eps.count()
+    batch = TR.score_all(fitted).select("INGRESO_ACTUAL", "PROB_REINGRESO_LR")
+    joined = out.join(batch, "INGRESO_ACTUAL").select(
+        F.max(F.abs(F.col("PROBABILIDAD_REG_LOGISTICA") - F.col("PROB_REINGRESO_LR")))).first()[0]
+    assert joined < 1e-9
+
+
+def test_pipeline_writes_all_tables(spark, tmp_path):
+    from carelens.plans.pipeline import load, run
+    out = str(tmp_path / "job")
+    fitted = run(spark, load(spark, SF0001), out, Config("batch"))
+    scored = spark.read.parquet(f"{out}/scored")
+    assert scored.count() == I.prepared(spark, SF0001).count()
+    assert spark.read.option("header", True).csv(f"{out}/variable_weights").count() == len(fitted.features)
+    assert spark.read.option("header", True).csv(f"{out}/correlation_matrix").count() == (len(fitted.features) + 1) ** 2
+    from pyspark.ml import PipelineModel
+    assert PipelineModel.load(f"{out}/models/gb") is not None
