@@ -38,30 +38,47 @@ def stratified_split(df: DataFrame, label: str = "REINGRESO", id_col: str = "ING
     than 2 rows or there is only one class (then one pool, ceil(share * n) test rows)."""
     h = "__h"
     base = df.withColumn(h, hash_key(id_col, seed))
-    per_label = base.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    bucket = F.shiftright(F.col(h), HASH_BITS - BUCKET_BITS)
+    # Hash histogram per class: at most 2^20 rows per class, kept for the steps below.
+    by_label = (base.groupBy(F.col(label).alias("__lab"), bucket.alias("__b"))
+                    .agg(F.count(F.lit(1)).alias("cnt")).persist())
+    per_label = by_label.groupBy("__lab").agg(F.sum("cnt").alias("n")).collect()  # one row per class
     stratify = len(per_label) > 1 and min(r["n"] for r in per_label) >= 2
     grp = "__grp"
-    base = base.withColumn(grp, F.col(label).cast("long") if stratify else F.lit(0).cast("long"))
-
-    bucket = F.shiftright(F.col(h), HASH_BITS - BUCKET_BITS)
-    hist = base.groupBy(grp, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("cnt"))
+    grp_of_label = F.col(label).cast("long") if stratify else F.lit(0).cast("long")
+    base = base.withColumn(grp, grp_of_label)
+    hist_grp = F.col("__lab").cast("long") if stratify else F.lit(0).cast("long")
+    hist = by_label.groupBy(hist_grp.alias(grp), "__b").agg(F.sum("cnt").alias("cnt"))
     # At most 2^20 buckets per class reach this window.
     w = Window.partitionBy(grp).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     totals = Window.partitionBy(grp)
     hist = (hist.withColumn("cum", F.sum("cnt").over(w))
                 .withColumn("n", F.sum("cnt").over(totals)))
     hist = _test_counts(hist, stratify, share)
-    boundary = hist.filter((F.col("cum") - F.col("cnt") < F.col("k")) & (F.col("k") <= F.col("cum")))
-    boundary = boundary.select(grp, "__b", (F.col("k") - (F.col("cum") - F.col("cnt"))).alias("need"))
-    # One boundary bucket per class: a bounded table.
-    in_bucket = base.withColumn("__b", bucket).join(F.broadcast(boundary), on=[grp, "__b"], how="inner")
+    boundary = (hist.filter((F.col("cum") - F.col("cnt") < F.col("k")) & (F.col("k") <= F.col("cum")))
+                    .select(grp, "__b", (F.col("k") - (F.col("cum") - F.col("cnt"))).alias("need"))
+                    .collect())  # one row per class
+    by_label.unpersist()
+    if not boundary:
+        return df.withColumn("is_test", F.lit(False))
+    # Rank only the rows of each class's boundary bucket; the cut is one row per class.
+    in_bucket = None
+    for r in boundary:
+        cond = (F.col(grp) == r[grp]) & (bucket == r["__b"])
+        in_bucket = cond if in_bucket is None else in_bucket | cond
+    need = None
+    for r in boundary:
+        need = (F.when(F.col(grp) == r[grp], F.lit(r["need"])) if need is None
+                else need.when(F.col(grp) == r[grp], F.lit(r["need"])))
     w_rank = Window.partitionBy(grp).orderBy(F.col(h), F.col(id_col))
-    cut = (in_bucket.withColumn("__rn", F.row_number().over(w_rank))
-                    .filter(F.col("__rn") == F.col("need"))
-                    .select(grp, F.struct(F.col(h), F.col(id_col)).alias("__cut")))
-    out = base.join(F.broadcast(cut), on=grp, how="left")
-    is_test = F.coalesce(F.struct(F.col(h), F.col(id_col)) <= F.col("__cut"), F.lit(False))
-    return out.withColumn("is_test", is_test).drop(h, grp, "__cut")
+    cuts = (base.filter(in_bucket).withColumn("__rn", F.row_number().over(w_rank))
+                .filter(F.col("__rn") == need).select(grp, h, id_col).collect())
+    is_test = F.lit(False)
+    for r in cuts:
+        # (hash, id) <= (cut hash, cut id), lexicographically.
+        below = (F.col(h) < F.lit(r[h])) | ((F.col(h) == F.lit(r[h])) & (F.col(id_col) <= F.lit(r[id_col])))
+        is_test = F.when(F.col(grp) == r[grp], F.coalesce(below, F.lit(False))).otherwise(is_test)
+    return base.withColumn("is_test", is_test).drop(h, grp)
 
 
 def class_weights(df: DataFrame, label: str = "REINGRESO") -> DataFrame:
