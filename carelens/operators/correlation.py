@@ -51,5 +51,5 @@ def target_correlation(matrix: DataFrame, target: str) -> DataFrame:
     w = Window.orderBy(F.abs(F.col("corr")).desc_nulls_last(), F.col("pos1"))
     return rows.select(
         F.col("var1").alias("variable"), "corr",
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("long").alias("rank"),
         F.when(F.col("corr") > 0, F.lit("+")).when(F.col("corr") < 0, F.lit("-")).alias("direction"))

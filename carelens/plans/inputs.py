@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from carelens.config import Config
 from carelens.operators.prepare import prepare
 from carelens.sources import fixture
+from carelens.session import ensure_checkpoint_dir
 from carelens.sources.episodes import extract
 
 BATCH = Config("batch")
@@ -18,6 +19,7 @@ def cfg_of(variant: str) -> Config:
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)  # queries checkpoint intermediate tables
     return fixture.episodes(spark, sf_dir)
 
 
