@@ -34,7 +34,7 @@ from carelens.plans.scoring import PROB_COLS, score_columns
 from carelens.session import ensure_checkpoint_dir
 
 Z = "__z"
-TRAIN_ROWS_PER_PARTITION = 50_000
+TRAIN_ROWS_PER_PARTITION = 15_000
 
 
 @dataclass
