@@ -12,16 +12,32 @@ take all the weight. With no comparable donor the feature's mean is used.
 Averages are taken on the original scale (the z-score is linear, so this equals
 averaging z-scores and transforming back).
 
-Execution
----------
-Rows with a missing feature are deduplicated on their feature vector (equal
-vectors get equal results). Receivers are split into chunks and donors into
-chunks; ``cogroup`` + ``applyInPandas`` pairs each receiver chunk with each
-donor chunk, so a task holds one bounded chunk pair and emits at most 5
-candidates per (receiver, feature). A ``row_number() <= 5`` merge (Spark inserts
-a partial per-task limit before the shuffle) keeps the global 5 nearest.
-Nothing is broadcast and no pair is materialised as a row. The work is
-receivers x donors distance evaluations, vectorised with numpy.
+Execution (exact, no pair is materialised as a row, nothing unbounded broadcast)
+-------------------------------------------------------------------------------
+1. Receivers are the distinct feature vectors with a missing feature (keyed by
+   their smallest row id). Donors keep at most ``k`` rows per distinct vector,
+   the smallest ids: equal vectors are equally far from every receiver, so no
+   other row of the vector can enter a top ``k`` ordered by (distance, id). A
+   vector held by a third of all rows therefore costs ``k`` donors.
+2. Layers: a (receiver null pattern, donor null pattern) pair fixes the shared
+   coordinates ``S``; inside a layer the distance is Euclidean over ``S``. The
+   layer table has at most (observed patterns)^2 rows.
+3. Grid: in each layer, points fall into cells of width ``cell_width`` (z units)
+   over ``S``. Phase 1 searches the receiver's own cell and, when it holds at
+   least ``k`` donors, takes the k-th distance as the search radius ``U``.
+   Phase 2 searches the neighbouring cells whose box lies within ``U`` (at most
+   one cell to each side per coordinate, since ``U`` is capped at the width).
+   Every donor closer than ``U`` lies in a searched cell, so each layer's top
+   ``k`` is exact; the global top ``k`` is the merge of the layers' top ``k``.
+4. Receivers without a usable radius in some layer (fewer than ``k`` donors in
+   the own cell, or ``U`` wider than a cell) are answered by the chunked search
+   over all donors (``_chunked_candidates``), also exact.
+5. Searching a cell is one ``cogroup`` + ``applyInPandas`` task per chunk pair:
+   cells with many points are cut into receiver and donor chunks, so no task
+   holds more than ``chunk_rows`` points of either side; each task returns at
+   most ``k`` candidates per (receiver, feature).
+The work is the sum over cells of receivers x donors in the neighbourhood,
+instead of receivers x donors over the whole table.
 """
 
 from __future__ import annotations
@@ -39,6 +55,11 @@ from carelens import config as C
 
 PAIRS_PER_TASK = 200_000_000
 SUB_BATCH = 512
+CELL_WIDTH = 1.0      # grid cell width, in standard deviations
+CHUNK_ROWS = 1024     # points of one side per grid task
+# Inputs whose receivers x donors product stays below this take the direct
+# chunked search (a fixed amount of work); larger ones take the grid.
+DIRECT_PAIRS = 1_000_000_000
 
 
 def _stats(df: DataFrame, features: list[str], any_missing):
@@ -79,13 +100,24 @@ def _exact_dist(rz, rpres, dz, dpres, nf):
         return np.sqrt(nf / shared * (diff * diff).sum(axis=-1))
 
 
-def _nearest(features: list[str], k: int):
+CAND_SCHEMA = T.StructType([T.StructField("rkey", T.LongType()), T.StructField("feature", T.IntegerType()),
+                            T.StructField("donor", T.LongType()), T.StructField("dist", T.DoubleType()),
+                            T.StructField("value", T.DoubleType())])
+LAYER_CAND_SCHEMA = T.StructType(list(CAND_SCHEMA.fields) + [T.StructField("layer", T.IntegerType())])
+
+
+def _nearest(features: list[str], k: int, with_layer: bool = False):
+    """Task kernel: the k nearest donors of one donor chunk for each (receiver, missing feature)."""
     nf = len(features)
 
     def run(key, rec: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
         cols = {"rkey": [], "feature": [], "donor": [], "dist": [], "value": []}
+        out_cols = list(cols) + (["layer"] if with_layer else [])
         if rec.empty or don.empty:
-            return pd.DataFrame(cols)
+            return pd.DataFrame({c: [] for c in out_cols})
+        # A donor sits in one layer per receiver pattern; packed cells may bring the
+        # same row twice. Its values are the same, so keep one copy.
+        don = don.drop_duplicates("id")
         dz = don[[f"z{i}" for i in range(nf)]].to_numpy(dtype=float)
         dx = don[[f"x{i}" for i in range(nf)]].to_numpy(dtype=float)
         dpres = ~np.isnan(dz)
@@ -134,15 +166,161 @@ def _nearest(features: list[str], k: int):
                 cols["dist"].append(d[keep])
                 cols["value"].append(dx[d_abs[keep], f])
         if not cols["rkey"]:
-            return pd.DataFrame({c: [] for c in cols})
-        return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+            return pd.DataFrame({c: [] for c in out_cols})
+        out = pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+        if with_layer:
+            out["layer"] = np.int32(key[0])
+        return out
 
     return run
 
 
+def _chunked_candidates(receivers: DataFrame, donors: DataFrame, n_receivers: int, n_donors: int,
+                        features: list[str], k: int, tasks: int, pairs_per_task: int) -> DataFrame:
+    """Every receiver against every donor, in q x p chunk pairs (the exact fallback)."""
+    nf = len(features)
+    q, p = plan_chunks(n_receivers, n_donors, tasks, pairs_per_task)
+    rec_c = (receivers.withColumn("rc", F.pmod(F.xxhash64("rkey"), F.lit(q)).cast("int"))
+                      .withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))))
+    don_c = (donors.withColumn("dc", F.pmod(F.xxhash64("id"), F.lit(p)).cast("int"))
+                   .withColumn("rc", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))))
+    return (rec_c.select("rc", "dc", "rkey", *[f"z{i}" for i in range(nf)])
+                 .groupBy("rc", "dc")
+                 .cogroup(don_c.select("rc", "dc", "id", *[f"z{i}" for i in range(nf)],
+                                       *[f"x{i}" for i in range(nf)]).groupBy("rc", "dc"))
+                 .applyInPandas(_nearest(features, k), CAND_SCHEMA))
+
+
+def _cell_search(rec: DataFrame, don: DataFrame, cell_cols: list[str], features: list[str], k: int,
+                 chunk_rows: int, n_points: int) -> DataFrame:
+    """Each receiver against (at least) the donors of its own (layer, cell).
+
+    Cells holding at most ``chunk_rows`` points per side are packed by hash into
+    ``n_points / chunk_rows`` buckets (``n_points``: rows of the larger side), so a task compares a receiver
+    with its own cell and some other cells (real donors at real distances: extra
+    candidates, never missing ones). Bigger cells are cut into receiver x donor
+    chunk pairs of at most ``chunk_rows`` points each. A task returns at most k
+    candidates per (receiver, feature); a (receiver, donor) pair may be seen twice,
+    so callers deduplicate."""
+    nf = len(features)
+    keys = ["layer", *cell_cols]
+    sizes = (rec.groupBy(*keys).agg(F.count(F.lit(1)).alias("nr"))
+                .join(don.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd")), on=keys, how="inner"))
+    big = (F.col("nr") > chunk_rows) | (F.col("nd") > chunk_rows)
+    buckets = max(1, math.ceil(n_points / chunk_rows))
+    cell_hash = F.xxhash64(*[F.col(c) for c in keys])
+
+    def plan(side: DataFrame) -> DataFrame:
+        # Derived per side, so the cogroup keys of the two sides are distinct columns.
+        return (side.join(sizes, on=keys, how="inner")
+                    .withColumn("big", big)
+                    .withColumn("gid", F.when(big, cell_hash).otherwise(F.pmod(cell_hash, F.lit(buckets))))
+                    .withColumn("q", F.when(big, F.ceil(F.col("nr") / chunk_rows)).otherwise(1).cast("int"))
+                    .withColumn("p", F.when(big, F.ceil(F.col("nd") / chunk_rows)).otherwise(1).cast("int")))
+    rec_c = (plan(rec).withColumn("rc", F.pmod(F.xxhash64("rkey"), F.col("q")).cast("int"))
+                      .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("p") - 1))))
+    don_c = (plan(don).withColumn("dc", F.pmod(F.xxhash64("id"), F.col("p")).cast("int"))
+                      .withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("q") - 1))))
+    gkeys = ["big", "gid", "rc", "dc"]
+    return (rec_c.select(*gkeys, "rkey", *[f"z{i}" for i in range(nf)]).groupBy(*gkeys)
+                 .cogroup(don_c.select(*gkeys, "id", *[f"z{i}" for i in range(nf)],
+                                       *[f"x{i}" for i in range(nf)]).groupBy(*gkeys))
+                 .applyInPandas(_nearest(features, k), CAND_SCHEMA))
+
+
+def _dedup(cand: DataFrame) -> DataFrame:
+    return cand.dropDuplicates(["rkey", "feature", "donor"])
+
+
+def _top_k(cand: DataFrame, k: int, keys=("rkey", "feature")) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.round("dist", 9), F.col("donor"))
+    return cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+def _grid_candidates(receivers: DataFrame, donors: DataFrame, patterns: list[int], nf: int, k: int,
+                     cell_width: float, chunk_rows: int, n_points: int):
+    """Exact per-layer top k for receivers with a usable radius; returns
+    (candidates, receivers left for the fallback)."""
+    spark = receivers.sparkSession
+    full = (1 << nf) - 1
+    layer_rows = []
+    for r in patterns:
+        if r == full:
+            continue
+        for d in patterns:
+            s = r & d
+            if s and (d & ~r):
+                layer_rows.append((len(layer_rows), r, d, s, bin(s).count("1")))
+    if not layer_rows:
+        return None, None
+    # At most (observed patterns)^2 rows: bounded by the feature count, not the data.
+    # Built once per side, so the two sides of the cogroup carry distinct column ids.
+    def layers():
+        return spark.createDataFrame(layer_rows, "layer int, R int, D int, S int, n_shared int")
+    cell_cols = [f"c{i}" for i in range(nf)]
+    in_s = [F.col("S").bitwiseAND(F.lit(1 << i)) != 0 for i in range(nf)]
+    cells = [F.when(in_s[i], F.floor(F.col(f"z{i}") / F.lit(cell_width))).otherwise(F.lit(0))
+             .cast("long").alias(f"c{i}") for i in range(nf)]
+
+    rl, dl = layers(), layers()
+    rec_l = (receivers.join(F.broadcast(rl), receivers["pat"] == rl["R"], "inner")
+                      .select("rkey", "layer", "R", "D", "S", "n_shared", *[f"z{i}" for i in range(nf)]))
+    rec_l = rec_l.select("*", *cells)
+    don_l = (donors.join(F.broadcast(dl), donors["pat"] == dl["D"], "inner")
+                   .select("id", "layer", "S", *[f"z{i}" for i in range(nf)], *[f"x{i}" for i in range(nf)]))
+    don_l = don_l.select("*", *cells).persist(StorageLevel.MEMORY_AND_DISK)
+
+    # Phase 1: own cell (and bucket mates). U_f = k-th distance of feature f over
+    # all layers; a layer is then searched within the largest U_f of its features.
+    own = _dedup(_cell_search(rec_l, don_l, cell_cols, [f"z{i}" for i in range(nf)], k, chunk_rows, n_points))
+    own = own.persist(StorageLevel.MEMORY_AND_DISK)
+    u_f = (_top_k(own, k).groupBy("rkey", "feature")
+              .agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kth")))
+    need = rec_l.select("rkey", "layer", "R", "D")
+    need = need.withColumn("feature", F.explode(F.array(*[
+        F.when((F.col("D").bitwiseAND(F.lit(1 << i)) != 0) & (F.col("R").bitwiseAND(F.lit(1 << i)) == 0), F.lit(i))
+        for i in range(nf)]))).filter(F.col("feature").isNotNull())
+    radius = (need.join(u_f, on=["rkey", "feature"], how="left")
+                  .groupBy("rkey", "layer")
+                  .agg(F.max(F.when(F.col("n") >= k, F.col("kth"))).alias("U"),
+                       F.min(F.coalesce(F.col("n") >= k, F.lit(False)).cast("int")).alias("all_k")))
+    scale = F.sqrt(F.lit(float(nf)) / F.col("n_shared"))
+    probe = (rec_l.join(radius, on=["rkey", "layer"], how="left")
+                  .withColumn("Uz", F.col("U") / scale + F.lit(1e-9))
+                  .persist(StorageLevel.MEMORY_AND_DISK))  # read by the fallback test and phase 2
+    usable = F.coalesce((F.col("all_k") == 1) & (F.col("Uz") <= F.lit(cell_width)), F.lit(False))
+    # A receiver that lacks a radius in any of its layers takes the exact fallback.
+    fallback = (probe.groupBy("rkey").agg(F.min(usable.cast("int")).alias("ok"))
+                     .filter(F.col("ok") == 0).select("rkey"))
+
+    # Phase 2: neighbouring cells within the radius (one step per coordinate at most).
+    near = probe.filter(usable)
+    for i in range(nf):
+        lo = F.floor((F.col(f"z{i}") - F.col("Uz")) / F.lit(cell_width)).cast("long")
+        hi = F.floor((F.col(f"z{i}") + F.col("Uz")) / F.lit(cell_width)).cast("long")
+        near = near.withColumn(f"n{i}", F.explode(F.when(in_s[i], F.sequence(lo, hi))
+                                                   .otherwise(F.array(F.lit(0).cast("long")))))
+    gap2 = F.lit(0.0)
+    for i in range(nf):
+        z, c, n = F.col(f"z{i}"), F.col(f"c{i}"), F.col(f"n{i}")
+        g = (F.when(n < c, z - (n + 1) * F.lit(cell_width))
+              .when(n > c, n * F.lit(cell_width) - z).otherwise(F.lit(0.0)))
+        gap2 = gap2 + F.when(in_s[i], g * g).otherwise(F.lit(0.0))
+    differs = F.lit(False)
+    for i in range(nf):
+        differs = differs | (F.col(f"n{i}") != F.col(f"c{i}"))
+    near = (near.filter(differs & (gap2 <= F.col("Uz") * F.col("Uz")))
+                .select("rkey", "layer", *[f"z{i}" for i in range(nf)],
+                        *[F.col(f"n{i}").alias(f"c{i}") for i in range(nf)]))
+    ring = _cell_search(near, don_l, cell_cols, [f"z{i}" for i in range(nf)], k, chunk_rows, n_points)
+    cand = _dedup(own.unionByName(ring))
+    return cand, fallback
+
+
 def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
                k: int = C.KNN_NEIGHBOURS, pairs_per_task: int = PAIRS_PER_TASK,
-               min_tasks: int | None = None) -> DataFrame:
+               min_tasks: int | None = None, cell_width: float = CELL_WIDTH,
+               chunk_rows: int = CHUNK_ROWS, use_grid: bool | None = None, debug: bool = False) -> DataFrame:
     """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
     nf = len(features)
     spark = df.sparkSession
@@ -153,7 +331,7 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     any_missing = F.lit(False)
     for f in features:
         any_missing = any_missing | F.col(f).isNull()
-    # Read by the statistics, both chunk sides and the join back.
+    # Read by the statistics, both sides of the search and the join back.
     clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     means, sds, n_rows, n_incomplete = _stats(clean, features, any_missing)
     if n_incomplete == 0:
@@ -162,32 +340,56 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     zcols = [((F.col(f) - F.lit(means[i] if means[i] is not None else 0.0)) / F.lit(sds[i])).alias(f"z{i}")
              for i, f in enumerate(features)]
     xcols = [F.col(f).alias(f"x{i}") for i, f in enumerate(features)]
+    pat = sum((F.col(f).isNotNull().cast("int") * F.lit(1 << i) for i, f in enumerate(features)), F.lit(0))
 
     vec = F.struct(*[F.col(f) for f in features])
     # One receiver per distinct vector, keyed by its smallest row id (exact, unique).
     receivers = (clean.filter(any_missing).groupBy(vec.alias("__vec"))
                       .agg(F.min(F.col(id_col).cast("long")).alias("rkey")))
-    receivers = receivers.select("rkey", "__vec", *[((F.col(f"__vec.{f}") - F.lit(means[i] or 0.0)) /
-                                                      F.lit(sds[i])).alias(f"z{i}")
-                                                     for i, f in enumerate(features)])
-    donors = clean.select(F.col(id_col).cast("long").alias("id"), *zcols, *xcols)
+    receivers = receivers.select("rkey", "__vec",
+                                 sum((F.col(f"__vec.{f}").isNotNull().cast("int") * F.lit(1 << i)
+                                      for i, f in enumerate(features)), F.lit(0)).alias("pat"),
+                                 *[((F.col(f"__vec.{f}") - F.lit(means[i] or 0.0)) /
+                                    F.lit(sds[i])).alias(f"z{i}") for i, f in enumerate(features)])
+    # At most k donors per distinct vector: the smallest ids (Spark limits each
+    # window group per task before the shuffle, so a hot vector sends k rows).
+    wv = Window.partitionBy(*[F.col(f) for f in features]).orderBy(F.col(id_col).cast("long"))
+    donors = (clean.withColumn("__rn", F.row_number().over(wv)).filter(F.col("__rn") <= k)
+                   .select(F.col(id_col).cast("long").alias("id"), pat.alias("pat"), *zcols, *xcols))
 
     par = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q, p = plan_chunks(n_incomplete, n_rows, par, pairs_per_task)
-    rec_c = (receivers.withColumn("rc", F.pmod(F.xxhash64("rkey"), F.lit(q)).cast("int"))
-                      .withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))))
-    don_c = (donors.withColumn("dc", F.pmod(F.xxhash64("id"), F.lit(p)).cast("int"))
-                   .withColumn("rc", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))))
-    schema = T.StructType([T.StructField("rkey", T.LongType()), T.StructField("feature", T.IntegerType()),
-                           T.StructField("donor", T.LongType()), T.StructField("dist", T.DoubleType()),
-                           T.StructField("value", T.DoubleType())])
-    cand = (rec_c.select("rc", "dc", "rkey", *[f"z{i}" for i in range(nf)])
-                 .groupBy("rc", "dc")
-                 .cogroup(don_c.select("rc", "dc", "id", *[f"z{i}" for i in range(nf)],
-                                       *[f"x{i}" for i in range(nf)]).groupBy("rc", "dc"))
-                 .applyInPandas(_nearest(features, k), schema))
-    w = Window.partitionBy("rkey", "feature").orderBy(F.round("dist", 9), F.col("donor"))
-    top = cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    zs = [f"z{i}" for i in range(nf)]
+    if use_grid is None:
+        # Cost-based: a product of at most DIRECT_PAIRS evaluations (seconds of
+        # work, a constant) is cheaper searched directly; beyond it the grid.
+        use_grid = n_incomplete * n_rows > DIRECT_PAIRS
+    if use_grid:
+        donors = donors.persist(StorageLevel.MEMORY_AND_DISK)
+        receivers = receivers.persist(StorageLevel.MEMORY_AND_DISK)
+        # Observed null patterns: at most 2^n_features rows reach the driver.
+        patterns = [r["pat"] for r in donors.select("pat").union(receivers.select("pat")).distinct().collect()]
+        grid, fallback = _grid_candidates(receivers, donors, patterns, nf, k, cell_width, chunk_rows,
+                                          max(n_rows, n_incomplete))
+        if grid is None:
+            cand = spark.createDataFrame([], CAND_SCHEMA)
+        else:
+            fallback = fallback.persist(StorageLevel.MEMORY_AND_DISK)
+            n_fb = fallback.count()
+            if debug:
+                print(f"knn: {n_fb} of {receivers.count()} receivers take the chunked fallback", flush=True)
+            cand = grid.join(fallback, on="rkey", how="left_anti")
+            if n_fb:
+                fb_rec = receivers.join(fallback, on="rkey", how="left_semi")
+                n_don = donors.count()
+                cand = cand.unionByName(_chunked_candidates(
+                    fb_rec.select("rkey", *zs), donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
+                    n_fb, n_don, features, k, par, pairs_per_task))
+    else:
+        cand = _chunked_candidates(receivers.select("rkey", *zs),
+                                   donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
+                                   n_incomplete, n_rows, features, k, par, pairs_per_task)
+
+    top = _top_k(cand, k)
     zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("rkey", "feature"))
     weighted = top.withColumn("wt", F.when(zero == 1, (F.col("dist") == 0).cast("double"))
                                      .otherwise(F.lit(1.0) / F.col("dist")))

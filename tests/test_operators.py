@@ -143,3 +143,24 @@ def test_knn_matches_brute_force(spark):
     got = impute_knn(df, feats, id_col="id", pairs_per_task=4000, min_tasks=6).toPandas().sort_values("id")
     want = _knn_brute(pdf, feats)
     assert np.allclose(got[feats].to_numpy(), want, atol=1e-9)
+
+
+def test_knn_grid_matches_brute_force(spark):
+    """The grid search (own cell, neighbouring cells, packed buckets, split big
+    cells, fallback) gives the brute-force answer."""
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.integers(0, 4, n).astype(float),
+                        "b": rng.normal(50, 10, n).round(1), "c": rng.integers(0, 30, n).astype(float)})
+    for col, frac in (("a", 0.1), ("b", 0.2), ("c", 0.05)):
+        pdf.loc[rng.random(n) < frac, col] = np.nan
+    pdf.loc[0, ["a", "b", "c"]] = np.nan
+    pdf.loc[7, ["a", "b", "c"]] = pdf.loc[8, ["a", "b", "c"]].values  # duplicate vector
+    feats = ["a", "b", "c"]
+    df = spark.createDataFrame(pdf)
+    want = _knn_brute(pdf, feats)
+    for width, chunk in ((0.5, 16), (1.0, 1024)):
+        got = (impute_knn(df, feats, id_col="id", use_grid=True, cell_width=width, chunk_rows=chunk,
+                          pairs_per_task=4000, min_tasks=4)
+               .toPandas().sort_values("id"))
+        assert np.allclose(got[feats].to_numpy(), want, atol=1e-9), (width, chunk)
