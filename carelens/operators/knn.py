@@ -239,22 +239,25 @@ def _top_k(cand: DataFrame, k: int, keys=("rkey", "feature")) -> DataFrame:
     return cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def _grid_candidates(receivers: DataFrame, donors: DataFrame, patterns: list[int], nf: int, k: int,
-                     cell_width: float, chunk_rows: int, n_points: int):
+def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict[int, int],
+                     don_patterns: dict[int, int], nf: int, k: int, cell_width: float, chunk_rows: int):
     """Exact per-layer top k for receivers with a usable radius; returns
     (candidates, receivers left for the fallback)."""
     spark = receivers.sparkSession
     full = (1 << nf) - 1
     layer_rows = []
-    for r in patterns:
+    for r in rec_patterns:
         if r == full:
             continue
-        for d in patterns:
+        for d in don_patterns:
             s = r & d
             if s and (d & ~r):
                 layer_rows.append((len(layer_rows), r, d, s, bin(s).count("1")))
     if not layer_rows:
         return None, None
+    # Rows of each side after the layer replication: sizes the hash buckets.
+    n_points = max(sum(rec_patterns[r] for _, r, _, _, _ in layer_rows),
+                   sum(don_patterns[d] for _, _, d, _, _ in layer_rows))
     # At most (observed patterns)^2 rows: bounded by the feature count, not the data.
     # Built once per side, so the two sides of the cogroup carry distinct column ids.
     def layers():
@@ -368,10 +371,11 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     if use_grid:
         donors = donors.persist(StorageLevel.MEMORY_AND_DISK)
         receivers = receivers.persist(StorageLevel.MEMORY_AND_DISK)
-        # Observed null patterns: at most 2^n_features rows reach the driver.
-        patterns = [r["pat"] for r in donors.select("pat").union(receivers.select("pat")).distinct().collect()]
-        grid, fallback = _grid_candidates(receivers, donors, patterns, nf, k, cell_width, chunk_rows,
-                                          max(n_rows, n_incomplete))
+        # Rows per observed null pattern: at most 2^n_features rows reach the driver.
+        rec_patterns = {r["pat"]: r["n"] for r in receivers.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
+        don_patterns = {r["pat"]: r["n"] for r in donors.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
+        grid, fallback = _grid_candidates(receivers, donors, rec_patterns, don_patterns, nf, k, cell_width,
+                                          chunk_rows)
         if grid is None:
             cand = spark.createDataFrame([], CAND_SCHEMA)
         else:
