@@ -30,8 +30,9 @@ Execution (exact, no pair is materialised as a row, nothing unbounded broadcast)
    Every donor closer than ``U`` lies in a searched cell, so each layer's top
    ``k`` is exact; the global top ``k`` is the merge of the layers' top ``k``.
 4. Receivers without a usable radius in some layer (fewer than ``k`` donors in
-   the own cell, or ``U`` wider than a cell) are answered by the chunked search
-   over all donors (``_chunked_candidates``), also exact.
+   the own cell, or ``U`` wider than a cell) retry on a grid ``GRID_STEP`` times
+   coarser, up to ``GRID_LEVELS`` levels; those still unresolved are answered by
+   the chunked search over all donors (``_chunked_candidates``), also exact.
 5. Searching a cell is one ``cogroup`` + ``applyInPandas`` task per chunk pair:
    cells with many points are cut into receiver and donor chunks, so no task
    holds more than ``chunk_rows`` points of either side; each task returns at
@@ -52,11 +53,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import config as C
+from carelens.session import ensure_checkpoint_dir
 
 PAIRS_PER_TASK = 200_000_000
 SUB_BATCH = 512
 CELL_WIDTH = 1.0      # grid cell width, in standard deviations
 CHUNK_ROWS = 1024     # points of one side per grid task
+GRID_LEVELS = 3       # cell widths 1, 4, 16 sd before the all-donor search
+GRID_STEP = 4
 # Inputs whose receivers x donors product stays below this take the direct
 # chunked search (a fixed amount of work); larger ones take the grid. Measured
 # on local[8]: direct ~30 s per 2.8e9 pairs (cost ~ pairs), grid ~65 s per 150k
@@ -325,7 +329,9 @@ def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict
 def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
                k: int = C.KNN_NEIGHBOURS, pairs_per_task: int = PAIRS_PER_TASK,
                min_tasks: int | None = None, cell_width: float = CELL_WIDTH,
-               chunk_rows: int = CHUNK_ROWS, use_grid: bool | None = None, debug: bool = False) -> DataFrame:
+               chunk_rows: int = CHUNK_ROWS, use_grid: bool | None = None, grid_levels: int = GRID_LEVELS,
+               direct_pairs: int = DIRECT_PAIRS,
+               debug: bool = False) -> DataFrame:
     """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
     nf = len(features)
     spark = df.sparkSession
@@ -365,31 +371,51 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     par = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     zs = [f"z{i}" for i in range(nf)]
     if use_grid is None:
-        # Cost-based: a product of at most DIRECT_PAIRS evaluations (a constant
+        # Cost-based: a product of at most ``direct_pairs`` evaluations (a constant
         # amount of work) is cheaper searched directly; beyond it the grid.
-        use_grid = n_incomplete * n_rows > DIRECT_PAIRS
+        use_grid = n_incomplete * n_rows > direct_pairs
     if use_grid:
+        ensure_checkpoint_dir(spark)
         donors = donors.persist(StorageLevel.MEMORY_AND_DISK)
         receivers = receivers.persist(StorageLevel.MEMORY_AND_DISK)
-        # Rows per observed null pattern: at most 2^n_features rows reach the driver.
-        rec_patterns = {r["pat"]: r["n"] for r in receivers.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
-        don_patterns = {r["pat"]: r["n"] for r in donors.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
-        grid, fallback = _grid_candidates(receivers, donors, rec_patterns, don_patterns, nf, k, cell_width,
-                                          chunk_rows)
-        if grid is None:
-            cand = spark.createDataFrame([], CAND_SCHEMA)
-        else:
-            fallback = fallback.persist(StorageLevel.MEMORY_AND_DISK)
-            n_fb = fallback.count()
+
+        def pattern_counts(side: DataFrame) -> dict[int, int]:
+            # Rows per observed null pattern: at most 2^n_features rows reach the driver.
+            return {r["pat"]: r["n"] for r in side.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+        don_patterns = pattern_counts(donors)
+        n_donors = sum(don_patterns.values())
+        parts = []
+        remaining, width = receivers, cell_width
+        # Receivers left without a usable radius retry on a coarser grid; only
+        # those still unresolved after the last level search all donors.
+        for level in range(grid_levels):
+            grid, fallback = _grid_candidates(remaining, donors, pattern_counts(remaining), don_patterns,
+                                              nf, k, width, chunk_rows)
+            if grid is None:
+                remaining = None
+                break
+            # Both are receiver subsets; checkpointing cuts each level's lineage so
+            # the next level's plan does not carry this one.
+            fallback = fallback.checkpoint(eager=True)
+            parts.append(grid.join(fallback, on="rkey", how="left_anti"))
+            remaining = remaining.join(fallback, on="rkey", how="left_semi").checkpoint(eager=True)
+            n_left = remaining.count()
             if debug:
-                print(f"knn: {n_fb} of {receivers.count()} receivers take the chunked fallback", flush=True)
-            cand = grid.join(fallback, on="rkey", how="left_anti")
-            if n_fb:
-                fb_rec = receivers.join(fallback, on="rkey", how="left_semi")
-                n_don = donors.count()
-                cand = cand.unionByName(_chunked_candidates(
-                    fb_rec.select("rkey", *zs), donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
-                    n_fb, n_don, features, k, par, pairs_per_task))
+                print(f"knn: level {level} (width {width}): {n_left} receivers left", flush=True)
+            if n_left == 0:
+                remaining = None
+                break
+            if n_left * n_donors <= direct_pairs:
+                break  # few left: the direct search is cheaper than another level
+            width *= GRID_STEP
+        if remaining is not None:
+            parts.append(_chunked_candidates(
+                remaining.select("rkey", *zs), donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
+                n_left, n_donors, features, k, par, pairs_per_task))
+        cand = spark.createDataFrame([], CAND_SCHEMA)
+        for part in parts:
+            cand = cand.unionByName(part)
     else:
         cand = _chunked_candidates(receivers.select("rkey", *zs),
                                    donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),

@@ -159,8 +159,8 @@ def test_knn_grid_matches_brute_force(spark):
     feats = ["a", "b", "c"]
     df = spark.createDataFrame(pdf)
     want = _knn_brute(pdf, feats)
-    for width, chunk in ((0.5, 16), (1.0, 1024)):
+    for width, chunk, levels in ((0.5, 16, 3), (1.0, 1024, 1), (0.1, 16, 2)):
         got = (impute_knn(df, feats, id_col="id", use_grid=True, cell_width=width, chunk_rows=chunk,
-                          pairs_per_task=4000, min_tasks=4)
+                          grid_levels=levels, direct_pairs=0, pairs_per_task=4000, min_tasks=4)
                .toPandas().sort_values("id"))
-        assert np.allclose(got[feats].to_numpy(), want, atol=1e-9), (width, chunk)
+        assert np.allclose(got[feats].to_numpy(), want, atol=1e-9), (width, chunk, levels)
