@@ -65,3 +65,26 @@ SELECT conv_id, count(*) AS n_turns,
       + CASE WHEN same THEN 6 ELSE 15 + length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) END) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id
 """
+
+
+@_query
+def op1_repetition(spark, sf_dir):
+    """Repetition measures and the verdict for every document."""
+    from carelens.llm.repetition import repetition_quality
+    return repetition_quality(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_tokens(spark, sf_dir):
+    """Byte-level BPE token counts of every document."""
+    import public_tokenizers
+
+    from carelens.llm.tokens import count_tokens
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op8_secrets(spark, sf_dir):
+    """Plain and encoded secrets of every document."""
+    from carelens.llm.secrets import scan_secrets
+    return scan_secrets(_table(spark, sf_dir, "documents"))
