@@ -119,3 +119,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+@_query
+def op3_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    from carelens.llm.simhash import simhash_groups
+    return simhash_groups(_table(spark, sf_dir, "documents"))
