@@ -126,3 +126,23 @@ def op3_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     from carelens.llm.simhash import simhash_groups
     return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_substring_dedup(spark, sf_dir):
+    """Words of every document that repeat fifty at a time from a smaller id."""
+    from carelens.llm.superkmer import remove_repeats
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS phrase
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY phrase) AS first_id FROM x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE doc_id > first_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
