@@ -154,3 +154,50 @@ def op4_toxicity(spark, sf_dir):
     from carelens.llm.toxicity import fit_toxicity, score_toxicity
     docs = _table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query
+def op7_mixing(spark, sf_dir):
+    """The documents chosen for the target weights, and how often each is taken."""
+    from carelens.llm.mixing import BUDGET_SHARE, MAX_EPOCHS, SEED, WEIGHTS, default_levels, mix_sources
+    chosen = mix_sources(_table(spark, sf_dir, "documents"), default_levels(), WEIGHTS, budget_share=BUDGET_SHARE,
+                         max_epochs=MAX_EPOCHS, seed=SEED)
+    return chosen.select(F.col("row.doc_id").alias("doc_id"), "branch.*", "tokens", "copies")
+
+
+def _mixing_twin() -> str:
+    """The same mixture with plain running sums."""
+    def share(name, source, parent):
+        family = f"PARTITION BY {parent}" if parent else ""
+        return f"""
+{name}_a AS (SELECT *, sum(cap) OVER r - cap AS cb, sum(w) OVER r - w AS wb, sum(w) OVER ({family}) AS wt FROM {source}
+  WINDOW r AS ({family} ORDER BY CAST(cap AS DOUBLE) / w, {name} ROWS UNBOUNDED PRECEDING)),
+{name}_b AS (SELECT *, CAST(cap AS HUGEINT) * CAST(wt - wb AS HUGEINT) <= CAST(given - cb AS HUGEINT) * w AS f FROM {name}_a),
+{name}_c AS (SELECT *, CAST(given - sum(CASE WHEN f THEN cap ELSE 0 END) OVER ({family}) AS HUGEINT) AS rest,
+    CAST(sum(CASE WHEN f THEN 0 ELSE w END) OVER ({family}) AS HUGEINT) AS wr,
+    CAST(sum(CASE WHEN f THEN 0 ELSE w END) OVER r AS HUGEINT) AS wu FROM {name}_b
+  WINDOW r AS ({family} ORDER BY CAST(cap AS DOUBLE) / w, {name} ROWS UNBOUNDED PRECEDING)),
+{name}_g AS (SELECT *, CASE WHEN f THEN cap ELSE CAST((rest * wu) // wr - (rest * (wu - w)) // wr AS BIGINT) END AS grant_ FROM {name}_c)"""
+    return f"""
+WITH d AS (SELECT doc_id, 'd' || (CAST(right(regexp_extract(source, '([0-9]+)$', 1), 4) AS INTEGER) % 4) AS domain, lang, source,
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS have FROM d GROUP BY ALL),
+n1 AS (SELECT domain, CAST(sum(have) * 2 AS BIGINT) AS cap, CASE domain WHEN 'd0' THEN 1 WHEN 'd1' THEN 2 WHEN 'd2' THEN 3 ELSE 4 END AS w,
+              (SELECT CAST(floor(sum(have) * CAST(0.9 AS DOUBLE)) AS BIGINT) FROM leaf) AS given FROM leaf GROUP BY domain),
+{share('domain', 'n1', '')},
+n2 AS (SELECT l.domain, l.lang, CAST(sum(have) * 2 AS BIGINT) AS cap, CASE l.lang WHEN 'en' THEN 4 WHEN 'es' THEN 1 ELSE 2 END AS w,
+              any_value(g.grant_) AS given FROM leaf l JOIN domain_g g USING (domain) GROUP BY l.domain, l.lang),
+{share('lang', 'n2', 'domain')},
+n3 AS (SELECT l.domain, l.lang, l.source, have * 2 AS cap, have, 1 AS w, g.grant_ AS given FROM leaf l JOIN lang_g g ON l.domain = g.domain AND l.lang = g.lang),
+{share('source', 'n3', 'domain, lang')},
+plan AS (SELECT domain, lang, source, CASE WHEN have > 0 THEN grant_ // have ELSE 0 END AS epochs,
+                grant_ - CASE WHEN have > 0 THEN grant_ // have ELSE 0 END * have AS rest FROM source_g),
+o AS (SELECT d.*, epochs, rest, sum(tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('mix|' || epochs || '|' || doc_id), CAST(doc_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM o WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+ORACLES["op7_mixing"] = _mixing_twin()
