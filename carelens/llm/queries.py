@@ -201,3 +201,17 @@ FROM o WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 
 
 ORACLES["op7_mixing"] = _mixing_twin()
+
+
+#: The registered query's key; a user passes a secret of their own.
+SURROGATE_KEY = b"registered-query"
+
+
+@_query
+def op9_pii(spark, sf_dir):
+    """Every document's text with surrogates for its personal data, and what was replaced."""
+    from carelens.llm.surrogates import replace_entities
+    out = replace_entities(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    listed = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["begin"], e["stop"]))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "text", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"),
+                      F.coalesce(F.array_join(listed, ","), F.lit("")).alias("entities"))
