@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the analysed system's values for the results
@@ -54,13 +54,14 @@ RISK_BOTTOM = "BAJO"
 RISK_ORDER = ["ALTO", "MEDIO", "BAJO"]
 
 INPATIENT = "HOSPITALARIO"
-NOT_APPLICABLE = "NO APLICA"
 
 # Model display names, in the tie-break order of the best-AUC choice.
 MODEL_LR = "Regresión Logística"
 MODEL_RF = "Random Forest"
 MODEL_GB = "Gradient Boosting"
 MODEL_ORDER = [MODEL_LR, MODEL_RF, MODEL_GB]
+# The service variant writes this name without accents.
+MODEL_ALIASES = {MODEL_LR: "Regresion Logistica"}
 # The patient report's per-patient "top model" ties resolve in this order.
 PATIENT_TOP_MODEL_ORDER = ["Gradient Boosting", "Random Forest", "Regresion Logistica"]
 
@@ -144,8 +145,7 @@ class Config:
     variant: str = "batch"
     fit_on: str = "all"  # imputation statistics from "all" rows (as analysed) or "train"
     seed: int = SEED
-    max_bins: int = 64
-    extra: dict = field(default_factory=dict)
+    max_bins: int = 128
 
     def __post_init__(self):
         if self.variant not in ("batch", "service"):
@@ -171,5 +171,5 @@ class Config:
 
     @property
     def model_names(self) -> dict[str, str]:
-        lr = MODEL_LR if self.variant == "batch" else "Regresion Logistica"
+        lr = MODEL_LR if self.variant == "batch" else MODEL_ALIASES[MODEL_LR]
         return {"lr": lr, "rf": MODEL_RF, "gb": MODEL_GB}

@@ -37,10 +37,12 @@ def parse_number(c) -> Column:
     return F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
 
 
-def parse_timestamp(c, fmt: str | None = None) -> Column:
-    """Timestamps pass through; text is parsed, bad text -> NULL."""
+def parse_timestamp(c, fmt: str | None = None, dtype: str = "string") -> Column:
+    """Text is parsed, bad text -> NULL; columns of another ``dtype`` pass through."""
     c = col(c)
-    return F.try_to_timestamp(c.cast("string"), F.lit(fmt)) if fmt else F.try_to_timestamp(c.cast("string"))
+    if dtype != "string":
+        return c
+    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
 
 
 def encode(c, codes: dict[str, int]) -> Column:
@@ -73,9 +75,9 @@ def bmi(weight="PESO", height="TALLA") -> Column:
 
 
 def band(c, bands, top: str) -> Column:
-    """NULL -> 'Sin dato', then ascending exclusive upper bounds."""
+    """NULL or NaN -> 'Sin dato', then ascending exclusive upper bounds."""
     c = col(c)
-    expr = F.when(c.isNull(), F.lit(C.NO_DATA))
+    expr = F.when(c.isNull() | F.isnan(c.cast("double")), F.lit(C.NO_DATA))
     for upper, label in bands:
         expr = expr.when(c < upper, F.lit(label))
     return expr.otherwise(F.lit(top))
@@ -89,26 +91,6 @@ def age_band(c="EDAD") -> Column:
     return band(c, C.AGE_BANDS, C.AGE_TOP)
 
 
-def _stripped(c) -> Column:
-    return F.regexp_replace(col(c).cast("string"), EDGE_SPACE, "")
-
-
-def pressure_part(c, index: int, lo: float, hi: float) -> Column:
-    """Batch rule: the text must contain '/', part ``index`` must be a number in [lo, hi]."""
-    s = _stripped(c)
-    part = F.get(F.split(s, "/"), index)
-    value = parse_number(part)
-    return F.when(s.contains("/"), range_guard(value, lo, hi))
-
-
-def systolic(c="PRESION_ARTERIAL") -> Column:
-    return pressure_part(c, 0, *C.SYSTOLIC_RANGE)
-
-
-def diastolic(c="PRESION_ARTERIAL") -> Column:
-    return pressure_part(c, 1, *C.DIASTOLIC_RANGE)
-
-
 def mean_arterial(sys_col="PRESION_SISTOLICA", dia_col="PRESION_DIASTOLICA") -> Column:
     return (col(sys_col) + 2 * col(dia_col)) / 3
 

@@ -1,7 +1,7 @@
 """Missing-value treatment.
 
-``impute_median``: exact medians from one aggregate (one row of statistics comes
-back to the driver), then ``coalesce(col, median)`` in the projection.
+``impute_median``: exact medians (``windows.exact_medians``: values counted and
+ranked in slices, one row per feature comes back to the driver), then ``coalesce(col, median)`` in the projection.
 ``impute_knn``: see ``carelens.operators.knn``.
 """
 
@@ -10,28 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.operators.windows import exact_medians
 
-def medians(df: DataFrame, features: list[str], relative_error: float | None = None) -> dict[str, float | None]:
-    """Median per feature, NaN counted as missing. Exact by default;
-    ``relative_error`` switches to ``percentile_approx`` for very large inputs."""
-    def clean(f):
-        c = F.col(f).cast("double")
-        return F.when(~F.isnan(c), c)
-    if relative_error is None:
-        aggs = [F.median(clean(f)).alias(f"m{i}") for i, f in enumerate(features)]
-    else:
-        acc = max(1, int(1.0 / relative_error))
-        aggs = [F.percentile_approx(clean(f), 0.5, acc).alias(f"m{i}") for i, f in enumerate(features)]
-    row = df.agg(*aggs).first()
-    return {f: row[f"m{i}"] for i, f in enumerate(features)}
+
+def medians(df: DataFrame, features: list[str]) -> dict[str, float | None]:
+    """Exact median per feature, NaN counted as missing (None: no value). One row
+    per feature comes back to the driver."""
+    found = {r["feature"]: r["median"] for r in exact_medians(df, features).collect()}
+    return {f: found.get(f) for f in features}
 
 
 def impute_median(df: DataFrame, features: list[str], fit_rows: DataFrame | None = None,
-                  relative_error: float | None = None, values: dict[str, float | None] | None = None) -> DataFrame:
+                  values: dict[str, float | None] | None = None) -> DataFrame:
     """Replace NULL/NaN in ``features`` by the median of ``fit_rows`` (default: ``df``),
     or by given ``values``. Features become doubles (a column with no value stays NULL)."""
-    m = values if values is not None else medians(fit_rows if fit_rows is not None else df, features,
-                                                  relative_error)
+    m = values if values is not None else medians(fit_rows if fit_rows is not None else df, features)
     out = df
     for f in features:
         c = F.col(f).cast("double")

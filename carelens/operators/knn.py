@@ -31,8 +31,8 @@ Execution (exact, no pair is materialised as a row, nothing unbounded broadcast)
    ``k`` is exact; the global top ``k`` is the merge of the layers' top ``k``.
 4. Receivers without a usable radius in some layer (fewer than ``k`` donors in
    the own cell, or ``U`` wider than a cell) retry on a grid ``GRID_STEP`` times
-   coarser, up to ``GRID_LEVELS`` levels; those still unresolved are answered by
-   the chunked search over all donors (``_chunked_candidates``), also exact.
+   coarser, until a cell is as wide as the values' range: then the own cell holds
+   the whole layer and the search is complete. Every input takes this one path.
 5. Searching a cell is one ``cogroup`` + ``applyInPandas`` task per chunk pair:
    cells with many points are cut into receiver and donor chunks, so no task
    holds more than ``chunk_rows`` points of either side; each task returns at
@@ -47,55 +47,39 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import config as C
-from carelens.session import ensure_checkpoint_dir
+from carelens.session import ensure_checkpoint_dir, ship_package
 
-PAIRS_PER_TASK = 200_000_000
 SUB_BATCH = 512
 CELL_WIDTH = 1.0      # grid cell width, in standard deviations
 CHUNK_ROWS = 1024     # points of one side per grid task
-GRID_LEVELS = 3       # cell widths 1, 4, 16 sd before the all-donor search
-GRID_STEP = 4
-# Inputs whose receivers x donors product stays below this take the direct
-# chunked search (a fixed amount of work); larger ones take the grid. Measured
-# on local[8]: direct ~30 s per 2.8e9 pairs (cost ~ pairs), grid ~65 s per 150k
-# rows (cost ~ rows), so the grid wins from about 1e10 pairs on.
-DIRECT_PAIRS = 10_000_000_000
+GRID_STEP = 4         # each next level's cells are wider by this
 
 
 def _stats(df: DataFrame, features: list[str], any_missing):
-    """Means, population deviations, row and incomplete-row counts in one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(any_missing).alias("n_incomplete")]
+    """Means, population deviations, the widest range in deviations, and the count
+    of incomplete rows, in one aggregate."""
+    aggs = [F.count_if(any_missing).alias("n_incomplete")]
     for i, f in enumerate(features):
         c = F.col(f).cast("double")
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), (F.max(c) - F.min(c)).alias(f"r{i}")]
     row = df.agg(*aggs).first()  # one row of statistics
     means = [row[f"m{i}"] for i in range(len(features))]
     sds = [row[f"s{i}"] if row[f"s{i}"] not in (None, 0.0) else 1.0 for i in range(len(features))]
-    return means, sds, row["n"], row["n_incomplete"]
+    span = max((row[f"r{i}"] or 0.0) / sds[i] for i in range(len(features)))
+    return means, sds, span, row["n_incomplete"]
 
 
-def plan_chunks(n_receivers: int, n_donors: int, min_tasks: int,
-                pairs_per_task: int = PAIRS_PER_TASK) -> tuple[int, int]:
-    """Receiver chunks q and donor chunks p: q*p tasks of at most ``pairs_per_task``
-    distance evaluations, shaped so the replicated rows (receivers*p + donors*q)
-    are smallest."""
-    tasks = max(min_tasks, math.ceil(n_receivers * n_donors / pairs_per_task), 1)
-    q = max(1, round(math.sqrt(tasks * n_receivers / max(n_donors, 1))))
-    q = min(q, max(1, n_receivers))
-    p = max(1, math.ceil(tasks / q))
-    return q, p
-
-
-# Candidates are cut with the fast (matrix-product) distances plus this margin,
-# then re-measured exactly; the margin is far above the rounding error of the
-# expansion, so no true neighbour is lost.
-CUT_MARGIN = 1e-6
+# Candidates are cut with the fast (matrix-product) squared distances, each with a
+# bound on its rounding error that grows with the points' norms, then re-measured
+# exactly, so no true neighbour is lost however far out the points lie.
+EXPANSION_ERROR = 64 * np.finfo(float).eps
+# Distances are compared to 9 places.
+ROUNDING = 1e-9
 
 
 def _exact_dist(rz, rpres, dz, dpres, nf):
@@ -140,20 +124,23 @@ def _nearest(features: list[str], k: int, with_layer: bool = False):
             rzf = np.where(rpres, rz, 0.0)
             # Masked squared distance over shared coordinates, as matrix products.
             shared = rm @ dm.T
-            sq = (rzf * rzf) @ dm.T + rm @ dsq.T - 2.0 * (rzf @ dzf.T)
-            np.maximum(sq, 0.0, out=sq)
+            norms = (rzf * rzf) @ dm.T + rm @ dsq.T
+            sq = norms - 2.0 * (rzf @ dzf.T)
+            error = EXPANSION_ERROR * norms
             with np.errstate(divide="ignore", invalid="ignore"):
-                approx = np.sqrt(nf / shared * sq)
-            approx[shared == 0] = np.inf
+                high = np.sqrt(nf / shared * np.maximum(sq + error, 0.0))
+                low = np.sqrt(nf / shared * np.maximum(sq - error, 0.0))
+            high[shared == 0] = np.inf
+            low[shared == 0] = np.inf
             for f in range(nf):
                 rows = np.flatnonzero(~rpres[:, f])
                 donors_f = np.flatnonzero(dpres[:, f])
                 if rows.size == 0 or donors_f.size == 0:
                     continue
-                sub = approx[np.ix_(rows, donors_f)]
+                sub = low[np.ix_(rows, donors_f)]
                 kk = min(k, donors_f.size)
-                kth = np.partition(sub, kk - 1, axis=1)[:, kk - 1]
-                ri, di = np.nonzero(sub <= (kth + CUT_MARGIN)[:, None])
+                kth = np.partition(high[np.ix_(rows, donors_f)], kk - 1, axis=1)[:, kk - 1]
+                ri, di = np.nonzero(sub <= (kth + ROUNDING)[:, None])
                 finite = np.isfinite(sub[ri, di])
                 ri, di = ri[finite], di[finite]
                 if ri.size == 0:
@@ -181,22 +168,6 @@ def _nearest(features: list[str], k: int, with_layer: bool = False):
     return run
 
 
-def _chunked_candidates(receivers: DataFrame, donors: DataFrame, n_receivers: int, n_donors: int,
-                        features: list[str], k: int, tasks: int, pairs_per_task: int) -> DataFrame:
-    """Every receiver against every donor, in q x p chunk pairs (the exact fallback)."""
-    nf = len(features)
-    q, p = plan_chunks(n_receivers, n_donors, tasks, pairs_per_task)
-    rec_c = (receivers.withColumn("rc", F.pmod(F.xxhash64("rkey"), F.lit(q)).cast("int"))
-                      .withColumn("dc", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))))
-    don_c = (donors.withColumn("dc", F.pmod(F.xxhash64("id"), F.lit(p)).cast("int"))
-                   .withColumn("rc", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))))
-    return (rec_c.select("rc", "dc", "rkey", *[f"z{i}" for i in range(nf)])
-                 .groupBy("rc", "dc")
-                 .cogroup(don_c.select("rc", "dc", "id", *[f"z{i}" for i in range(nf)],
-                                       *[f"x{i}" for i in range(nf)]).groupBy("rc", "dc"))
-                 .applyInPandas(_nearest(features, k), CAND_SCHEMA))
-
-
 def _cell_search(rec: DataFrame, don: DataFrame, cell_cols: list[str], features: list[str], k: int,
                  chunk_rows: int, n_points: int) -> DataFrame:
     """Each receiver against (at least) the donors of its own (layer, cell).
@@ -244,45 +215,48 @@ def _top_k(cand: DataFrame, k: int, keys=("rkey", "feature")) -> DataFrame:
 
 
 def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict[int, int],
-                     don_patterns: dict[int, int], nf: int, k: int, cell_width: float, chunk_rows: int):
+                     don_patterns: dict[int, int], nf: int, k: int, cell_width: float, chunk_rows: int, whole: bool):
     """Exact per-layer top k for receivers with a usable radius; returns
-    (candidates, receivers left for the fallback)."""
+    (candidates, receivers left for a coarser grid). ``whole``: a cell spans all
+    values, so the own cell holds every donor of the layer and nobody is left."""
     spark = receivers.sparkSession
     full = (1 << nf) - 1
-    layer_rows = []
+    # A layer is (shared coordinates S, donor pattern D): receiver patterns with the
+    # same S share the layer's donor copies.
+    layer_ids: dict[tuple[int, int], int] = {}
+    rec_rows = []
     for r in rec_patterns:
-        if r == full:
-            continue
-        for d in don_patterns:
+        for d in don_patterns if r != full else ():
             s = r & d
             if s and (d & ~r):
-                layer_rows.append((len(layer_rows), r, d, s, bin(s).count("1")))
-    if not layer_rows:
+                rec_rows.append((layer_ids.setdefault((s, d), len(layer_ids)), r, d, s, bin(s).count("1")))
+    if not rec_rows:
         return None, None
+    don_rows = [(layer, d, s) for (s, d), layer in layer_ids.items()]
     # Rows of each side after the layer replication: sizes the hash buckets.
-    n_points = max(sum(rec_patterns[r] for _, r, _, _, _ in layer_rows),
-                   sum(don_patterns[d] for _, _, d, _, _ in layer_rows))
+    n_points = max(sum(rec_patterns[r] for _, r, _, _, _ in rec_rows), sum(don_patterns[d] for _, d, _ in don_rows))
     # At most (observed patterns)^2 rows: bounded by the feature count, not the data.
-    # Built once per side, so the two sides of the cogroup carry distinct column ids.
-    def layers():
-        return spark.createDataFrame(layer_rows, "layer int, R int, D int, S int, n_shared int")
+    rl = spark.createDataFrame(rec_rows, "layer int, R int, D int, S int, n_shared int")
+    dl = spark.createDataFrame(don_rows, "layer int, D int, S int")
     cell_cols = [f"c{i}" for i in range(nf)]
     in_s = [F.col("S").bitwiseAND(F.lit(1 << i)) != 0 for i in range(nf)]
-    cells = [F.when(in_s[i], F.floor(F.col(f"z{i}") / F.lit(cell_width))).otherwise(F.lit(0))
-             .cast("long").alias(f"c{i}") for i in range(nf)]
 
-    rl, dl = layers(), layers()
+    def cell(x):
+        return F.lit(0).cast("long") if whole else F.floor(x / F.lit(cell_width)).cast("long")
+    cells = [F.when(in_s[i], cell(F.col(f"z{i}"))).otherwise(F.lit(0)).cast("long").alias(f"c{i}") for i in range(nf)]
+
     rec_l = (receivers.join(F.broadcast(rl), receivers["pat"] == rl["R"], "inner")
                       .select("rkey", "layer", "R", "D", "S", "n_shared", *[f"z{i}" for i in range(nf)]))
     rec_l = rec_l.select("*", *cells)
     don_l = (donors.join(F.broadcast(dl), donors["pat"] == dl["D"], "inner")
                    .select("id", "layer", "S", *[f"z{i}" for i in range(nf)], *[f"x{i}" for i in range(nf)]))
-    don_l = don_l.select("*", *cells).persist(StorageLevel.MEMORY_AND_DISK)
+    don_l = don_l.select("*", *cells)
 
     # Phase 1: own cell (and bucket mates). U_f = k-th distance of feature f over
     # all layers; a layer is then searched within the largest U_f of its features.
-    own = _dedup(_cell_search(rec_l, don_l, cell_cols, [f"z{i}" for i in range(nf)], k, chunk_rows, n_points))
-    own = own.persist(StorageLevel.MEMORY_AND_DISK)
+    own = _dedup(_cell_search(rec_l, don_l, cell_cols, [f"z{i}" for i in range(nf)], k, chunk_rows, n_points)).checkpoint()
+    if whole:
+        return own, None
     u_f = (_top_k(own, k).groupBy("rkey", "feature")
               .agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kth")))
     need = rec_l.select("rkey", "layer", "R", "D")
@@ -294,47 +268,43 @@ def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict
                   .agg(F.max(F.when(F.col("n") >= k, F.col("kth"))).alias("U"),
                        F.min(F.coalesce(F.col("n") >= k, F.lit(False)).cast("int")).alias("all_k")))
     scale = F.sqrt(F.lit(float(nf)) / F.col("n_shared"))
+    # Read by the test for the next level and by phase 2.
     probe = (rec_l.join(radius, on=["rkey", "layer"], how="left")
-                  .withColumn("Uz", F.col("U") / scale + F.lit(1e-9))
-                  .persist(StorageLevel.MEMORY_AND_DISK))  # read by the fallback test and phase 2
+                  .withColumn("Uz", F.col("U") / scale + F.lit(1e-9)).checkpoint())
     usable = F.coalesce((F.col("all_k") == 1) & (F.col("Uz") <= F.lit(cell_width)), F.lit(False))
-    # A receiver that lacks a radius in any of its layers takes the exact fallback.
-    fallback = (probe.groupBy("rkey").agg(F.min(usable.cast("int")).alias("ok"))
-                     .filter(F.col("ok") == 0).select("rkey"))
+    # A receiver that lacks a radius in any of its layers goes to the next level.
+    left = (probe.groupBy("rkey").agg(F.min(usable.cast("int")).alias("ok"))
+                 .filter(F.col("ok") == 0).select("rkey"))
 
     # Phase 2: neighbouring cells within the radius (one step per coordinate at most).
-    near = probe.filter(usable)
+    # The squared gap to the cell grows coordinate by coordinate, and cells beyond the
+    # radius go before the next coordinate is expanded.
+    near = probe.filter(usable).withColumn("gap2", F.lit(0.0)).withColumn("differs", F.lit(False))
     for i in range(nf):
-        lo = F.floor((F.col(f"z{i}") - F.col("Uz")) / F.lit(cell_width)).cast("long")
-        hi = F.floor((F.col(f"z{i}") + F.col("Uz")) / F.lit(cell_width)).cast("long")
+        z, c, n = F.col(f"z{i}"), F.col(f"c{i}"), F.col(f"n{i}")
+        lo, hi = cell(z - F.col("Uz")), cell(z + F.col("Uz"))
         near = near.withColumn(f"n{i}", F.explode(F.when(in_s[i], F.sequence(lo, hi))
                                                    .otherwise(F.array(F.lit(0).cast("long")))))
-    gap2 = F.lit(0.0)
-    for i in range(nf):
-        z, c, n = F.col(f"z{i}"), F.col(f"c{i}"), F.col(f"n{i}")
         g = (F.when(n < c, z - (n + 1) * F.lit(cell_width))
               .when(n > c, n * F.lit(cell_width) - z).otherwise(F.lit(0.0)))
-        gap2 = gap2 + F.when(in_s[i], g * g).otherwise(F.lit(0.0))
-    differs = F.lit(False)
-    for i in range(nf):
-        differs = differs | (F.col(f"n{i}") != F.col(f"c{i}"))
-    near = (near.filter(differs & (gap2 <= F.col("Uz") * F.col("Uz")))
+        near = (near.withColumn("gap2", F.col("gap2") + F.when(in_s[i], g * g).otherwise(F.lit(0.0)))
+                    .withColumn("differs", F.col("differs") | (n != c))
+                    .filter(F.col("gap2") <= F.col("Uz") * F.col("Uz")))
+    near = (near.filter("differs")
                 .select("rkey", "layer", *[f"z{i}" for i in range(nf)],
                         *[F.col(f"n{i}").alias(f"c{i}") for i in range(nf)]))
     ring = _cell_search(near, don_l, cell_cols, [f"z{i}" for i in range(nf)], k, chunk_rows, n_points)
-    cand = _dedup(own.unionByName(ring))
-    return cand, fallback
+    return _dedup(own.unionByName(ring)), left
 
 
 def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
-               k: int = C.KNN_NEIGHBOURS, pairs_per_task: int = PAIRS_PER_TASK,
-               min_tasks: int | None = None, cell_width: float = CELL_WIDTH,
-               chunk_rows: int = CHUNK_ROWS, use_grid: bool | None = None, grid_levels: int = GRID_LEVELS,
-               direct_pairs: int = DIRECT_PAIRS,
+               k: int = C.KNN_NEIGHBOURS, cell_width: float = CELL_WIDTH, chunk_rows: int = CHUNK_ROWS,
                debug: bool = False) -> DataFrame:
     """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
     nf = len(features)
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
     clean = df
     for f in features:
         c = F.col(f).cast("double")
@@ -343,8 +313,8 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     for f in features:
         any_missing = any_missing | F.col(f).isNull()
     # Read by the statistics, both sides of the search and the join back.
-    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
-    means, sds, n_rows, n_incomplete = _stats(clean, features, any_missing)
+    clean = clean.checkpoint()
+    means, sds, span, n_incomplete = _stats(clean, features, any_missing)
     if n_incomplete == 0:
         return clean
 
@@ -361,65 +331,41 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
                                  sum((F.col(f"__vec.{f}").isNotNull().cast("int") * F.lit(1 << i)
                                       for i, f in enumerate(features)), F.lit(0)).alias("pat"),
                                  *[((F.col(f"__vec.{f}") - F.lit(means[i] or 0.0)) /
-                                    F.lit(sds[i])).alias(f"z{i}") for i, f in enumerate(features)])
+                                    F.lit(sds[i])).alias(f"z{i}") for i, f in enumerate(features)]).checkpoint()
     # At most k donors per distinct vector: the smallest ids (Spark limits each
     # window group per task before the shuffle, so a hot vector sends k rows).
     wv = Window.partitionBy(*[F.col(f) for f in features]).orderBy(F.col(id_col).cast("long"))
     donors = (clean.withColumn("__rn", F.row_number().over(wv)).filter(F.col("__rn") <= k)
-                   .select(F.col(id_col).cast("long").alias("id"), pat.alias("pat"), *zcols, *xcols))
-
-    par = min_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    zs = [f"z{i}" for i in range(nf)]
-    if use_grid is None:
-        # Cost-based: a product of at most ``direct_pairs`` evaluations (a constant
-        # amount of work) is cheaper searched directly; beyond it the grid.
-        use_grid = n_incomplete * n_rows > direct_pairs
-    if use_grid:
-        ensure_checkpoint_dir(spark)
-        donors = donors.persist(StorageLevel.MEMORY_AND_DISK)
-        receivers = receivers.persist(StorageLevel.MEMORY_AND_DISK)
-
-        def pattern_counts(side: DataFrame) -> dict[int, int]:
-            # Rows per observed null pattern: at most 2^n_features rows reach the driver.
-            return {r["pat"]: r["n"] for r in side.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-        don_patterns = pattern_counts(donors)
-        n_donors = sum(don_patterns.values())
-        parts = []
-        remaining, width = receivers, cell_width
-        # Receivers left without a usable radius retry on a coarser grid; only
-        # those still unresolved after the last level search all donors.
-        for level in range(grid_levels):
-            grid, fallback = _grid_candidates(remaining, donors, pattern_counts(remaining), don_patterns,
-                                              nf, k, width, chunk_rows)
-            if grid is None:
-                remaining = None
-                break
-            # Both are receiver subsets; checkpointing cuts each level's lineage so
-            # the next level's plan does not carry this one.
-            fallback = fallback.checkpoint(eager=True)
-            parts.append(grid.join(fallback, on="rkey", how="left_anti"))
-            remaining = remaining.join(fallback, on="rkey", how="left_semi").checkpoint(eager=True)
-            n_left = remaining.count()
-            if debug:
-                print(f"knn: level {level} (width {width}): {n_left} receivers left", flush=True)
-            if n_left == 0:
-                remaining = None
-                break
-            if n_left * n_donors <= direct_pairs:
-                break  # few left: the direct search is cheaper than another level
-            width *= GRID_STEP
-        if remaining is not None:
-            parts.append(_chunked_candidates(
-                remaining.select("rkey", *zs), donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
-                n_left, n_donors, features, k, par, pairs_per_task))
-        cand = spark.createDataFrame([], CAND_SCHEMA)
-        for part in parts:
-            cand = cand.unionByName(part)
-    else:
-        cand = _chunked_candidates(receivers.select("rkey", *zs),
-                                   donors.select("id", *zs, *[f"x{i}" for i in range(nf)]),
-                                   n_incomplete, n_rows, features, k, par, pairs_per_task)
+                   .select(F.col(id_col).cast("long").alias("id"), pat.alias("pat"), *zcols, *xcols)).checkpoint()
+
+    def pattern_counts(side: DataFrame) -> dict[int, int]:
+        # Rows per observed null pattern: at most 2^n_features rows reach the driver.
+        return {r["pat"]: r["n"] for r in side.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    don_patterns = pattern_counts(donors)
+    cand = spark.createDataFrame([], CAND_SCHEMA)
+    remaining, width = receivers, cell_width
+    # Receivers left without a usable radius retry on a coarser grid. The last one has
+    # cells as wide as the values' range: the own cell is the whole layer.
+    while True:
+        whole = width > span
+        grid, left = _grid_candidates(remaining, donors, pattern_counts(remaining), don_patterns,
+                                      nf, k, width, chunk_rows, whole)
+        if grid is None:
+            break
+        if whole:
+            cand = cand.unionByName(grid)
+            break
+        # Both are receiver subsets; checkpointing cuts each level's lineage so
+        # the next level's plan does not carry this one.
+        left = left.checkpoint(eager=True)
+        cand = cand.unionByName(grid.join(left, on="rkey", how="left_anti"))
+        remaining = remaining.join(left, on="rkey", how="left_semi").checkpoint(eager=True)
+        if debug:
+            print(f"knn: width {width}: {remaining.count()} receivers left", flush=True)
+        if remaining.isEmpty():
+            break
+        width *= GRID_STEP
 
     top = _top_k(cand, k)
     zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("rkey", "feature"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from carelens import config as C
 from carelens.functions.clinical import tier_rank
+from carelens.operators.windows import exact_medians, weighted_medians
 
 
 def extract_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -40,6 +41,7 @@ def readmission_rate(prepared: DataFrame) -> DataFrame:
     )
 
 
+# The criteria and their labels, in order.
 CRITERIA = [
     ("Total de registros", "n_rows"),
     ("Pacientes con egreso registrado", "n_with_discharge"),
@@ -74,10 +76,10 @@ def criteria_table(prepared: DataFrame) -> DataFrame:
 
 
 def null_profile(prepared: DataFrame, features: list[str]) -> DataFrame:
-    """Missing count and percentage per feature, one scan."""
+    """Missing (NULL or NaN) count and percentage per feature, one scan."""
     n = F.count(F.lit(1))
-    wide = prepared.agg(n.alias("__n"), *[F.count_if(F.col(f).isNull()).alias(f"__null_{i}")
-                                           for i, f in enumerate(features)])
+    wide = prepared.agg(n.alias("__n"), *[
+        F.count_if(F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).alias(f"__null_{i}") for i, f in enumerate(features)])
     stacked = ", ".join(f"{i}, '{f}', __null_{i}" for i, f in enumerate(features))
     return (wide.selectExpr("__n", f"stack({len(features)}, {stacked}) AS (position, feature, n_null)")
                 .withColumn("pct_null", F.try_divide(F.col("n_null"), F.col("__n")) * 100)
@@ -86,16 +88,25 @@ def null_profile(prepared: DataFrame, features: list[str]) -> DataFrame:
 
 def feature_medians(df: DataFrame, features: list[str]) -> DataFrame:
     """Exact median per feature (NaN treated as missing), long form."""
-    wide = df.agg(*[F.median(F.when(~F.isnan(F.col(f)), F.col(f).cast("double"))).alias(f"__m_{i}")
-                    for i, f in enumerate(features)])
-    stacked = ", ".join(f"{i}, '{f}', __m_{i}" for i, f in enumerate(features))
-    return wide.selectExpr(f"stack({len(features)}, {stacked}) AS (position, feature, median)")
+    spark = df.sparkSession
+    names = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
+    return names.join(exact_medians(df, features), "feature", "left").select("position", "feature", "median")
 
 
 def score_summary(scored: DataFrame, score: str = "score", by: list[str] = ()) -> DataFrame:
-    g = scored.groupBy(*by) if by else scored
-    return g.agg(F.min(score).alias("min_score"), F.max(score).alias("max_score"),
-                 F.avg(score).alias("mean_score"), F.median(score).alias("median_score"))
+    """Smallest, greatest, mean and exact median score, per group or over all rows.
+    ``scored`` is read once: the scores are counted first."""
+    by = list(by)
+    x = F.col(score).cast("double")
+    counts = scored.select(*by, x.alias("score")).groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    whole = counts.groupBy(*by).agg(
+        F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+        (F.sum(F.col("score") * F.col("n")) / F.sum(F.when(F.col("score").isNotNull(), F.col("n")))).alias("mean_score"))
+    middle = weighted_medians(counts.withColumnRenamed("score", "value"), by).withColumnRenamed("median", "median_score")
+    same = F.lit(True)
+    for k in by:
+        same = same & whole[k].eqNullSafe(middle[k])
+    return whole.join(middle, same, "left").select(*[whole[k] for k in by], "min_score", "max_score", "mean_score", "median_score")
 
 
 def risk_distribution(scored: DataFrame, tier_col: str = "NIVEL_RIESGO_REINGRESO") -> DataFrame:

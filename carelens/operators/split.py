@@ -10,6 +10,8 @@ that bucket are ranked.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ def hash_key(id_col: str, seed: int = C.SEED):
 
 
 def _test_counts(label_counts: DataFrame, stratify: bool, share: float) -> DataFrame:
-    tenths = int(round(share * 10))
+    """Test rows of each class: the exact share of its rows, halves rounded up; of
+    one pool, rounded up."""
+    part = Fraction(str(share))
+    top, bottom = F.lit(part.numerator).cast("decimal(18,0)"), F.lit(part.denominator).cast("decimal(18,0)")
+    n = F.col("n").cast("decimal(19,0)")
     if stratify:
-        return label_counts.withColumn("k", F.floor((F.col("n") * tenths + 5) / 10).cast("long"))
-    return label_counts.withColumn("k", F.floor((F.col("n") * tenths + 9) / 10).cast("long"))
+        return label_counts.withColumn("k", F.floor((2 * n * top + bottom) / (2 * bottom)).cast("long"))
+    return label_counts.withColumn("k", F.ceil(n * top / bottom).cast("long"))
 
 
 def stratified_split(df: DataFrame, label: str = "REINGRESO", id_col: str = "INGRESO_ACTUAL",
@@ -91,9 +97,9 @@ def class_weights(df: DataFrame, label: str = "REINGRESO") -> DataFrame:
 
 
 def weight_column(df: DataFrame, weights_row, label: str = "REINGRESO", out: str = "weight") -> DataFrame:
-    w0 = weights_row["w0"] if weights_row["w0"] is not None else 0.0
-    w1 = weights_row["w1"] if weights_row["w1"] is not None else 0.0
-    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(w1))).otherwise(F.lit(float(w0))))
+    if weights_row["w0"] is None or weights_row["w1"] is None:
+        raise ValueError("class weights need rows of both classes")
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(weights_row["w1"]))).otherwise(F.lit(float(weights_row["w0"]))))
 
 
 def scaler_stats(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:

@@ -7,14 +7,17 @@ slices first:
 
 * ``lag_by_key``: lag inside each (patient, day) slice, then the first row of a
   slice takes the last value of the patient's previous slice. The slice summary
-  holds at most one row per patient and calendar day, a bound that does not grow
-  with the number of rows.
+  holds one row per patient and calendar day. A day, or the rows of a patient
+  without a date, with very many rows is cut again by exact time and tie key.
 * ``latest_by_key``: ``max_by`` is an aggregate, so Spark pre-aggregates it on
   the map side and a hot patient costs one partial row per input partition.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,34 +26,56 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Rows of one (key, day), or of one key without a date, that stay in one slice;
+#: also the width of the tie key's ranges beyond that.
+SLICE_ROWS = 100_000
+
+
 def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
-               values: dict[str, str]) -> DataFrame:
+               values: dict[str, str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``out = lag(src) over (partition by key order by order_col nulls last, tie_col)``.
 
     ``values`` maps output column -> source column. ``tie_col`` must be unique
-    within a key. Rows with a NULL key get NULL (a NULL patient has no history).
+    within a key, and numeric. Rows with a NULL key get NULL (a NULL patient has no history).
     """
-    sl_null, sl_day = "__slice_null", "__slice_day"
+    sl_null, sl_day, sl_time, sl_tie = "__slice_null", "__slice_day", "__slice_time", "__slice_tie"
     packed = "__packed"
     srcs = list(dict.fromkeys(values.values()))
     base = (df.withColumn(sl_null, F.col(order_col).isNull())
               .withColumn(sl_day, F.coalesce(F.to_date(F.col(order_col)),
                                               F.lit("1970-01-01").cast("date"))))
-
-    in_slice = Window.partitionBy(key, sl_null, sl_day).orderBy(F.col(order_col), F.col(tie_col))
+    # Days (or a patient's rows without a date) of more than ``slice_rows`` rows are
+    # cut again, by the exact time and by ranges of the tie key.
+    hot = (base.filter(F.col(key).isNotNull()).groupBy(key, sl_null, sl_day).agg(F.count(F.lit(1)).alias("__n"))
+               .filter(F.col("__n") > slice_rows).select(key, sl_null, sl_day, F.lit(True).alias("__hot")).checkpoint())
+    none = F.lit(None)
+    if hot.isEmpty():
+        base = base.withColumn(sl_time, none.cast(df.schema[order_col].dataType)).withColumn(sl_tie, F.lit(0).cast("long"))
+    else:
+        base = base.join(hot, [key, sl_null, sl_day], "left")
+        base = (base.withColumn(sl_time, F.when(F.col("__hot"), F.col(order_col)))
+                    .withColumn(sl_tie, F.when(F.col("__hot"), F.floor(F.col(tie_col) / slice_rows)).otherwise(0).cast("long"))
+                    .drop("__hot"))
+    slice_cols = [sl_null, sl_day, sl_time, sl_tie]
+
+    in_slice = Window.partitionBy(key, *slice_cols).orderBy(F.col(order_col), F.col(tie_col))
     with_local = (base.withColumn("__prev_tie", F.lag(tie_col).over(in_slice))
                       .withColumn("__next_tie", F.lead(tie_col).over(in_slice)))
     for out, src in values.items():
         with_local = with_local.withColumn(f"__local_{out}", F.lag(src).over(in_slice))
 
     # The last row of every (key, slice) carries its values to the key's next slice.
-    # This table has one row per key and calendar day.
+    # This table has one row per key and slice.
     last = (with_local.filter(F.col("__next_tie").isNull() & F.col(key).isNotNull())
-                      .select(key, sl_null, sl_day, F.struct(*[F.col(s) for s in srcs]).alias(packed)))
-    slices = Window.partitionBy(key).orderBy(F.col(sl_null), F.col(sl_day))
-    carried = last.select(key, sl_null, sl_day, F.lag(packed).over(slices).alias("__carried"))
-
-    joined = with_local.join(carried, on=[key, sl_null, sl_day], how="left")
+                      .select(key, *slice_cols, F.struct(*[F.col(s) for s in srcs]).alias(packed)))
+    slices = Window.partitionBy(key).orderBy(*[F.col(c) for c in slice_cols])
+    carried = last.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_r") for c in slice_cols],
+                          F.lag(packed).over(slices).alias("__carried"))
+
+    same = F.col(key) == F.col("__k")
+    for c in slice_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    joined = with_local.join(carried, on=same, how="left").drop("__k", *[f"{c}_r" for c in slice_cols])
     first_in_slice = F.col("__prev_tie").isNull()
     for out, src in values.items():
         joined = joined.withColumn(
@@ -58,7 +83,7 @@ def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
             F.when(F.col(key).isNull(), F.lit(None))
              .when(first_in_slice, F.col("__carried").getField(src))
              .otherwise(F.col(f"__local_{out}")))
-    drop = [sl_null, sl_day, "__prev_tie", "__next_tie", "__carried"] + [f"__local_{o}" for o in values]
+    drop = [*slice_cols, "__prev_tie", "__next_tie", "__carried"] + [f"__local_{o}" for o in values]
     return joined.drop(*drop)
 
 
@@ -79,17 +104,28 @@ def latest_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
     return out.select(*sel)
 
 
+def slice_bounds(df: DataFrame, order_col: str, n: int) -> list[float]:
+    """At most n - 1 increasing bounds that cut the rows into n slices of similar
+    size: one aggregate, at most n - 1 numbers to the driver."""
+    if n < 2:
+        return []
+    shares = [k / n for k in range(1, n)]
+    found = df.agg(F.percentile_approx(F.col(order_col).cast("double"), shares, 100 * n)).first()[0]
+    return sorted(set(found or ()))
+
+
 def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, sums: dict[str, str],
                  leads: dict[str, str] | None = None, descending: bool = True,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, checkpointed: bool = False) -> DataFrame:
     """Running sums (and next-row values) within ``group_cols`` in ``order_col`` order.
 
     A window ``partitionBy(group).orderBy(order)`` would run each group in one task.
-    Instead rows are range-partitioned on (group, order) so every task gets a
-    balanced slice; each slice computes local running sums, and a table with one
-    row per (group, slice) supplies the offsets of the earlier slices and the first
-    row of the next slice. ``order_col`` values must be unique within a group
-    (aggregate by it first).
+    Instead the range of ``order_col`` is cut at bounds that are computed once
+    and then stand in the plan as literals, so a row's slice is a function of the
+    row: every branch, rerun and lost task sees the same slices. Each (group, slice)
+    computes local running sums, and a table with one row per (group, slice)
+    supplies the sums of the earlier slices and the first row of the next one.
+    ``order_col`` is numeric and unique within a group (aggregate by it first).
 
     ``sums``: output -> source column (inclusive running sum).
     ``leads``: output -> source column (value of the next row in order, NULL at the end).
@@ -98,39 +134,81 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_col: str, sums: dic
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     pid = "__slice"
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], order)
-                .withColumn(pid, F.spark_partition_id()))
+    # Read by the bounds and by both branches below.
+    df = df if checkpointed else df.checkpoint()
+    bounds = slice_bounds(df, order_col, n)
+    if bounds:
+        cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__order", outputCol="__bucket", handleInvalid="keep")
+        sliced = cut.transform(df.withColumn("__order", F.col(order_col).cast("double")))
+        slice_id = F.col("__bucket").cast("int")
+        sliced = sliced.withColumn(pid, -slice_id if descending else slice_id).drop("__order", "__bucket")
+    else:
+        sliced = df.withColumn(pid, F.lit(0))
     keys = group_cols + [pid]
-    w_run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     w_ord = Window.partitionBy(*keys).orderBy(order)
-    local = ranged
+    w_run = w_ord.rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced
     for out, src in sums.items():
         local = local.withColumn(f"__run_{out}", F.sum(src).over(w_run))
     for out, src in leads.items():
         local = local.withColumn(f"__lead_{out}", F.lead(src).over(w_ord))
     # One row per (group, slice): slice totals and the slice's first row.
-    first_key = F.struct(F.col(order_col)) if descending else F.struct(-F.col(order_col))
     slice_aggs = [F.sum(src).alias(f"__tot_{out}") for out, src in sums.items()]
     if leads:
         first = F.struct(*[F.col(src).alias(out) for out, src in leads.items()])
-        slice_aggs.append(F.max_by(first, first_key).alias("__first"))
-    slices = ranged.groupBy(*keys).agg(*slice_aggs)
-    w_before = Window.partitionBy(*group_cols).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+        slice_aggs.append((F.max_by if descending else F.min_by)(first, F.col(order_col)).alias("__first"))
+    offs = sliced.groupBy(*keys).agg(*slice_aggs)
     w_next = Window.partitionBy(*group_cols).orderBy(pid)
-    offs = slices
+    w_before = w_next.rowsBetween(Window.unboundedPreceding, -1)
     for out in sums:
         offs = offs.withColumn(f"__off_{out}", F.coalesce(F.sum(f"__tot_{out}").over(w_before), F.lit(0)))
     if leads:
         offs = offs.withColumn("__next_first", F.lead("__first").over(w_next))
-    offs = offs.select(*keys, *[c for c in offs.columns if c.startswith("__off_") or c == "__next_first"])
-    # The offsets table has one row per (group, slice): its size is bounded by the
-    # partition count, not by the data.
-    joined = local.join(F.broadcast(offs), on=keys, how="left")
+    offs = offs.select(*[F.col(k).alias(f"__o_{k}") for k in keys],
+                       *[c for c in offs.columns if c.startswith("__off_") or c == "__next_first"])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
+    joined = local.join(offs, same, "left")
     for out in sums:
         joined = joined.withColumn(out, F.col(f"__run_{out}") + F.col(f"__off_{out}"))
     for out in leads:
         joined = joined.withColumn(out, F.coalesce(F.col(f"__lead_{out}"), F.col("__next_first").getField(out)))
-    drop = [pid] + [c for c in joined.columns if c.startswith(("__run_", "__off_", "__lead_"))]
+    drop = [pid] + [c for c in joined.columns if c.startswith(("__run_", "__off_", "__lead_", "__o_"))]
     if leads:
         drop.append("__next_first")
     return joined.drop(*drop)
+
+
+def exact_medians(df: DataFrame, value_cols: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, feature, median): the exact median of each column per group, NULL and
+    NaN left out; a column without values has no row.
+
+    Equal values are counted first (combined before the shuffle), then the middle
+    ranks are found by ``ordered_scan``: no task holds a column's values."""
+    by = list(by)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                for c in value_cols]))
+    long = (df.select(*by, pairs.alias("__p")).select(*by, "__p.feature", "__p.value")
+              .filter(F.col("value").isNotNull() & ~F.isnan("value")))
+    keys = by + ["feature"]
+    return weighted_medians(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), keys)
+
+
+def weighted_medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median) from (keys, value, n): how often each value occurs."""
+    if not keys:
+        return weighted_medians(counts.withColumn("__all", F.lit(0)), ["__all"]).drop("__all")
+    counts = counts.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "value", "n").checkpoint()
+    totals = counts.groupBy(*[F.col(k).alias(f"__t_{k}") for k in keys]).agg(F.sum("n").alias("total"))
+    ranked = ordered_scan(counts, keys, "value", sums={"upto": "n"}, descending=False, checkpointed=True)
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+
+    def holds(rank):
+        return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__t_{k}"))
+    middle = ranked.join(totals, same, "inner").filter(holds(low) | holds(high))
+    return middle.groupBy(*keys).agg(((F.min("value") + F.max("value")) / 2).alias("median"))

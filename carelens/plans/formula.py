@@ -45,8 +45,11 @@ def _sql_formula(model: str) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared batch episodes + split flag + one probability column per model."""
-    df = stratified_split(I.prepared(spark, sf_dir), label="REINGRESO", id_col="INGRESO_ACTUAL")
+    """Prepared batch episodes + one probability column per model."""
+    return _with_scores(I.prepared(spark, sf_dir))
+
+
+def _with_scores(df: DataFrame) -> DataFrame:
     for m in FORMULAS:
         df = df.withColumn(f"PROB_{SHORT[m]}", _spark_formula(m))
     return df
@@ -54,9 +57,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, test_only: bool = True) -> DataFrame:
     """Long table (model, INGRESO_ACTUAL, label, score, prediction)."""
-    df = scored(spark, sf_dir)
+    df = I.prepared(spark, sf_dir)
     if test_only:
-        df = df.filter("is_test")
+        df = stratified_split(df, label="REINGRESO", id_col="INGRESO_ACTUAL").filter("is_test")
+    df = _with_scores(df)
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"PROB_{SHORT[m]}").alias("score"))
                                for m in FORMULAS]))
     out = df.select("INGRESO_ACTUAL", F.col("REINGRESO").alias("label"), rows.alias("p"))
@@ -64,6 +68,19 @@ def predictions(spark: SparkSession, sf_dir: str, test_only: bool = True) -> Dat
                .withColumn("prediction", (F.col("score") > 0.5).cast("int")))
 
 
+def dense_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table over every admission with a score of its own per row: 52 bits
+    of a hash of model and admission, pulled towards the label. Evaluation must
+    not depend on scores having few distinct values."""
+    models = F.explode(F.array(*[F.lit(m) for m in FORMULAS]))
+    df = I.prepared(spark, sf_dir).select("INGRESO_ACTUAL", F.col("REINGRESO").alias("label"), models.alias("model"))
+    digits = F.substring(F.md5(F.concat(F.col("model"), F.lit(":"), F.col("INGRESO_ACTUAL").cast("string"))), 1, 13)
+    unit = F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(2.0 ** 52)
+    score = unit * 0.75 + F.col("label").cast("double") * 0.25
+    return (df.select("model", "INGRESO_ACTUAL", "label", score.alias("score"))
+              .withColumn("prediction", (F.col("score") > 0.5).cast("int")))
+
+
 # ---- DuckDB twins -------------------------------------------------------
 
 SPLIT_B = f"""split_r AS (
@@ -131,3 +148,15 @@ METRICS = f"""cm AS (
 
 def chain(*extra: str) -> str:
     return S.with_steps(S.prepared_sql("batch"), SPLIT_B, SCORED_B, PREDS, *extra)
+
+
+DENSE = f"""dense_r AS (
+  SELECT m.model, INGRESO_ACTUAL, REINGRESO AS label,
+    CAST(CAST('0x' || substr(md5(m.model || ':' || CAST(INGRESO_ACTUAL AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE)
+      / 4503599627370496e0 * 0.75e0 + CAST(REINGRESO AS DOUBLE) * 0.25e0 AS score
+  FROM prep_b, (SELECT unnest([{', '.join(f"'{m}'" for m in FORMULAS)}]) AS model) m
+), preds AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS prediction FROM dense_r)"""
+
+
+def dense_chain(*extra: str) -> str:
+    return S.with_steps(S.prepared_sql("batch"), DENSE, *extra)

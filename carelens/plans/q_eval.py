@@ -243,3 +243,59 @@ def ensemble_q(spark, sf_dir):
     return rounded(out.select("INGRESO_ACTUAL", "PROB_REINGRESO_LR", "PROB_REINGRESO_RF", "PROB_REINGRESO_GB",
                               "PROB_REINGRESO_ENSEMBLE", "PROBABILIDAD_REINGRESO", "NIVEL_RIESGO_REINGRESO",
                               F.lit(best).alias("MODELO_USADO")))
+
+
+# ---- the same operators on a score of its own per row ----------------------
+
+@query("roc_auc_dense", FM.dense_chain(FM.RUNNING, FM.AUC) + f" SELECT model, {r6('roc_auc')} AS roc_auc FROM auc")
+def roc_auc_dense(spark, sf_dir):
+    return rounded(E.roc_auc(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("average_precision_dense", FM.dense_chain(FM.RUNNING) + f"""
+ SELECT model, {r6("coalesce(SUM((pos * 1.0 / NULLIF(P, 0)) * (tps * 1.0 / NULLIF(tps + fps, 0))), 0)")}
+   AS average_precision FROM running GROUP BY model""")
+def average_precision_dense(spark, sf_dir):
+    return rounded(E.average_precision(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("roc_points_dense", FM.dense_chain(FM.RUNNING) + f"""
+ SELECT model, {r6('score')} AS threshold, {r6('fps * 1.0 / NULLIF(N, 0)')} AS fpr, {r6('tps * 1.0 / NULLIF(P, 0)')} AS tpr
+ FROM running
+ WHERE (tps = pos AND fps = neg) OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+ UNION ALL
+ SELECT model, NULL AS threshold, 0.0 AS fpr, CASE WHEN P > 0 THEN 0.0 END AS tpr FROM totals""")
+def roc_points_dense(spark, sf_dir):
+    return rounded(E.roc_points(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("pr_points_dense", FM.dense_chain(FM.RUNNING) + f"""
+ SELECT model, {r6('score')} AS threshold, {r6('coalesce(tps * 1.0 / NULLIF(tps + fps, 0), 0)')} AS precision,
+   {r6('CASE WHEN P = 0 THEN 1.0 ELSE tps * 1.0 / P END')} AS recall FROM running
+ UNION ALL
+ SELECT model, NULL AS threshold, 1.0 AS precision, 0.0 AS recall FROM totals""")
+def pr_points_dense(spark, sf_dir):
+    return rounded(E.pr_points(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("model_metrics_dense", FM.dense_chain(FM.RUNNING, FM.AUC, FM.METRICS) + f"""
+ SELECT model, {r6('accuracy_pct')} AS accuracy_pct, {r6('precision_pct')} AS precision_pct,
+   {r6('recall_pct')} AS recall_pct, {r6('f1_pct')} AS f1_pct, {r6('roc_auc_pct')} AS roc_auc_pct FROM metrics""")
+def model_metrics_dense(spark, sf_dir):
+    return rounded(E.model_metrics(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("score_summary_dense", FM.dense_chain() + f"""
+ SELECT model, {r6('min(score)')} AS min_score, {r6('max(score)')} AS max_score,
+   {r6('avg(score)')} AS mean_score, {r6('median(score)')} AS median_score FROM preds GROUP BY model""")
+def score_summary_dense(spark, sf_dir):
+    return rounded(P.score_summary(FM.dense_predictions(spark, sf_dir), by=["model"]))
+
+
+@query("score_histogram_overall", FM.chain("rng AS (SELECT min(PROB_LR) AS lo, max(PROB_LR) AS hi FROM scored_b)") + f"""
+ SELECT bin, {r6(f'lo + (bin - 1) * (hi - lo) / {C.HISTOGRAM_BINS}')} AS bin_start, CAST(COUNT(*) AS BIGINT) AS n FROM (
+   SELECT CAST(least(floor((PROB_LR - lo) / (hi - lo) * {C.HISTOGRAM_BINS}) + 1, {C.HISTOGRAM_BINS}) AS INTEGER) AS bin, lo, hi
+   FROM scored_b, rng) GROUP BY bin, lo, hi""")
+def score_histogram_overall(spark, sf_dir):
+    """One 30-bin histogram of a probability over every admission."""
+    return rounded(E.score_histogram(FM.scored(spark, sf_dir), [], score="PROB_LR"))

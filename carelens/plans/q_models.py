@@ -12,7 +12,7 @@ from carelens import config as C
 from carelens.operators import evaluate as E
 from carelens.plans import inputs as I
 from carelens.plans import train as TR
-from carelens.plans.catalog import query, rounded
+from carelens.plans.catalog import query
 from carelens.plans.scoring import export_projection
 from carelens.session import ensure_checkpoint_dir
 
@@ -27,35 +27,22 @@ def fitted(spark, sf_dir: str, variant: str = "batch") -> TR.Fitted:
     return _FITTED[key]
 
 
-def _importance_table(spark, fm: TR.Fitted, which: str):
-    names = fm.features
-    if which == "lr":
-        coef = fm.lr.stages[-1].coefficients.toArray()
-        rows = [(f, float(coef[i]), float(abs(coef[i]))) for i, f in enumerate(names)]
-        df = spark.createDataFrame(rows, "Variable string, Coeficiente double, Importancia_Abs double")
-        return df.orderBy("Importancia_Abs")
-    model = fm.rf if which == "rf" else fm.gb
-    imp = model.stages[-1].featureImportances.toArray()
-    rows = [(f, float(imp[i])) for i, f in enumerate(names)]
-    return spark.createDataFrame(rows, "Variable string, Importancia double").orderBy("Importancia")
-
-
 @query("train_lr")
 def train_lr(spark, sf_dir):
     """Logistic regression coefficients (ascending by |coef|)."""
-    return _importance_table(spark, fitted(spark, sf_dir), "lr")
+    return TR.importance_table(spark, fitted(spark, sf_dir), "lr")
 
 
 @query("train_rf")
 def train_rf(spark, sf_dir):
     """Random forest feature importances (ascending)."""
-    return _importance_table(spark, fitted(spark, sf_dir), "rf")
+    return TR.importance_table(spark, fitted(spark, sf_dir), "rf")
 
 
 @query("train_gbt")
 def train_gbt(spark, sf_dir):
     """Gradient boosting feature importances (ascending)."""
-    return _importance_table(spark, fitted(spark, sf_dir), "gb")
+    return TR.importance_table(spark, fitted(spark, sf_dir), "gb")
 
 
 @query("score_all")
@@ -135,4 +122,24 @@ def trained_score_histogram(spark, sf_dir):
     return E.score_histogram(TR.test_predictions(fitted(spark, sf_dir)), ["model", "label"])
 
 
-__all__ = ["fitted", "rounded", "C", "I"]
+
+@query("trained_score_histogram_overall")
+def trained_score_histogram_overall(spark, sf_dir):
+    """One histogram of the main probability over every admission."""
+    return E.score_histogram(TR.score_all(fitted(spark, sf_dir)), [], score="PROBABILIDAD_REINGRESO")
+
+
+@query("importance_tables")
+def importance_tables(spark, sf_dir):
+    """The three models' variable rankings in one long table."""
+    fm = fitted(spark, sf_dir)
+    lr = TR.importance_table(spark, fm, "lr").select(F.lit("lr").alias("model"), "Variable", F.col("Importancia_Abs").alias("Importancia"))
+    trees = [TR.importance_table(spark, fm, k).select(F.lit(k).alias("model"), "Variable", "Importancia") for k in ("rf", "gb")]
+    return lr.unionByName(trees[0]).unionByName(trees[1])
+
+
+@query("lr_stationarity", """
+ SELECT unnest([""" + ", ".join(f"'{f}'" for f in [*C.BATCH_FEATURES, "(intercept)"]) + """]) AS feature, 0.0 AS gradient""")
+def lr_stationarity(spark, sf_dir):
+    """The penalised mean loss' gradient at the fitted coefficients, per feature: 0 at the optimum."""
+    return TR.lr_gradient(spark, fitted(spark, sf_dir))

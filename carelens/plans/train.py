@@ -15,7 +15,9 @@ predict the test rows -> metrics and best model -> score every row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import warnings
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -47,7 +49,7 @@ class Fitted:
     lr: PipelineModel
     rf: PipelineModel
     gb: PipelineModel
-    data: DataFrame  # imputed, split, weighted, checkpointed
+    data: DataFrame | None  # imputed, split, weighted, checkpointed (None after load)
     medians: dict | None = None  # imputation values (batch variant)
     aucs: dict = field(default_factory=dict)
     best: str = ""
@@ -94,13 +96,16 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     # Read by three fits, evaluation and scoring: cut the lineage once.
     data = data.checkpoint(eager=True)
     train = data.filter(~F.col("is_test"))
-    n_train, sum_w = train.agg(F.count(F.lit(1)), F.sum("weight")).first()
-    sum_w = sum_w or 1.0
-    # Tree learners run a few jobs per level and round; size partitions by rows
-    # (about TRAIN_ROWS_PER_PARTITION each) so small inputs do not pay for idle tasks.
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-n_train // TRAIN_ROWS_PER_PARTITION)))
-    if parts < data.rdd.getNumPartitions():
-        train = train.coalesce(parts)
+    n_train, n_pos, sum_w = train.agg(F.count(F.lit(1)), F.sum("REINGRESO"), F.sum("weight")).first()
+    if not n_pos or n_pos == n_train:
+        raise ValueError(f"training needs rows of both classes; {n_pos or 0} of {n_train} training rows are readmissions")
+    if n_pos < C.FEW_POSITIVES:
+        warnings.warn(f"only {n_pos} readmissions among {n_train} training rows; results may be unreliable", stacklevel=2)
+    # Tree learners run a few jobs per level and round; partitions by rows (about
+    # TRAIN_ROWS_PER_PARTITION each), whatever the cluster's size, so small inputs do
+    # not pay for idle tasks and the fitted forest does not depend on the cluster.
+    parts = max(1, -(-n_train // TRAIN_ROWS_PER_PARTITION))
+    train = train.repartitionByRange(parts, "INGRESO_ACTUAL").sortWithinPartitions("INGRESO_ACTUAL")
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     raw, scaled = _assemblers(feats)
 
@@ -122,6 +127,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     lr_m = Pipeline(stages=[scaled, lr]).fit(train)
     rf_m = Pipeline(stages=[raw, rf]).fit(train)
     gb_m = Pipeline(stages=[raw, gb]).fit(train)
+    train.unpersist()
     fitted = Fitted(cfg, feats, stats, w, 1.0 / sum_w, lr_m, rf_m, gb_m, data, medians=fill)
     metrics = E.model_metrics(test_predictions(fitted))
     rows = {r["model"]: r for r in metrics.collect()}  # one row per model
@@ -133,6 +139,33 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     return fitted
 
 
+def save(spark: SparkSession, fitted: Fitted, path: str) -> None:
+    """The three models, and as one row of JSON everything else scoring needs:
+    variant, features, imputation values, scaler statistics, weights, best model."""
+    for key in ("lr", "rf", "gb"):
+        getattr(fitted, key).write().overwrite().save(f"{path}/{key}")
+    state = {"cfg": asdict(fitted.cfg), "features": fitted.features, "stats": fitted.stats, "weights": fitted.weights,
+             "reg_param": fitted.reg_param, "medians": fitted.medians, "aucs": fitted.aucs, "best": fitted.best}
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    """A fit saved by ``save``, ready for ``score_new``."""
+    state = json.loads(spark.read.text(f"{path}/state").first()[0])
+    models = {key: PipelineModel.load(f"{path}/{key}") for key in ("lr", "rf", "gb")}
+    return Fitted(Config(**state["cfg"]), state["features"], {k: tuple(v) for k, v in state["stats"].items()},
+                  state["weights"], state["reg_param"], data=None, medians=state["medians"], aucs=state["aucs"],
+                  best=state["best"], **models)
+
+
+def score_new(fitted: Fitted, prepared: DataFrame) -> DataFrame:
+    """Prepared admissions scored with a fit (batch variant: medians of the fit;
+    service variant: rows must be imputed already)."""
+    if fitted.medians is not None:
+        prepared = impute_median(prepared, fitted.features, values=fitted.medians)
+    return score_columns(probabilities(fitted, standardize(prepared, fitted.stats, suffix=Z)), fitted.best)
+
+
 def probabilities(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Adds PROB_REINGRESO_LR/RF/GB (positive-class probability of each model)."""
     out = fitted.lr.transform(df)
@@ -163,6 +196,18 @@ def score_all(fitted: Fitted) -> DataFrame:
     return score_columns(probabilities(fitted, fitted.data), fitted.best)
 
 
+def importance_table(spark: SparkSession, fitted: Fitted, which: str) -> DataFrame:
+    """One model's ranking, ascending: LR coefficients by their size, tree importances."""
+    names = fitted.features
+    if which == "lr":
+        coef = fitted.lr.stages[-1].coefficients.toArray()
+        rows = [(f, float(coef[i]), float(abs(coef[i]))) for i, f in enumerate(names)]
+        return spark.createDataFrame(rows, "Variable string, Coeficiente double, Importancia_Abs double").orderBy("Importancia_Abs")
+    imp = (fitted.rf if which == "rf" else fitted.gb).stages[-1].featureImportances.toArray()
+    rows = [(f, float(imp[i])) for i, f in enumerate(names)]
+    return spark.createDataFrame(rows, "Variable string, Importancia double").orderBy("Importancia")
+
+
 def variable_weights(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """Per feature: LR coefficient and |coef| share, RF and GB importance (x100), their mean."""
     coef = list(fitted.lr.stages[-1].coefficients.toArray())
@@ -182,3 +227,20 @@ def variable_weights(spark: SparkSession, fitted: Fitted) -> DataFrame:
     df = spark.createDataFrame(rows, schema)
     return df.withColumn("direction", F.when(F.col("Coef_RegLogistica") > 0, F.lit("aumenta riesgo"))
                                        .otherwise(F.lit("disminuye riesgo")))
+
+
+def lr_gradient(spark: SparkSession, fitted: Fitted, places: int = 4) -> DataFrame:
+    """(feature, gradient): the gradient of the weighted mean loss plus penalty at
+    the fitted logistic regression, over the training rows, rounded. One aggregate."""
+    model = fitted.lr.stages[-1]
+    coef, intercept = model.coefficients.toArray(), float(model.intercept)
+    rows = fitted.data.filter(~F.col("is_test"))
+    z = F.lit(intercept)
+    for f, b in zip(fitted.features, coef, strict=True):
+        z = z + F.lit(float(b)) * F.col(f + Z)
+    miss = (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("REINGRESO")) * F.col("weight")
+    sums = rows.agg(F.sum("weight").alias("w"), F.sum(miss).alias("g"),
+                    *[F.sum(miss * F.col(f + Z)).alias(f"g{i}") for i, f in enumerate(fitted.features)]).first()
+    out = [(f, sums[f"g{i}"] / sums["w"] + fitted.reg_param * float(coef[i])) for i, f in enumerate(fitted.features)]
+    out.append(("(intercept)", sums["g"] / sums["w"]))
+    return spark.createDataFrame([(f, abs(round(g, places))) for f, g in out], "feature string, gradient double")

@@ -53,8 +53,51 @@ def check_schema(df: DataFrame, required: list[str] | None = None) -> DataFrame:
     return df
 
 
+def conform(df: DataFrame) -> DataFrame:
+    """The source columns in the types of ``SOURCE_SCHEMA``: NaN becomes NULL, text
+    dates and numbers are parsed (bad text -> NULL), other types must cast without loss of meaning."""
+    have = dict(df.dtypes)
+    out = {}
+    for f in SOURCE_SCHEMA.fields:
+        if f.name not in have:
+            continue
+        want, kind, c = f.dataType, have[f.name], F.col(f.name)
+        number = isinstance(want, (T.IntegerType, T.LongType, T.DoubleType))
+        if kind.startswith(("array", "map", "struct", "binary", "variant")):
+            raise ValueError(f"episode source column {f.name} has type {kind}")
+        if number:
+            if kind == "string":
+                c = X.parse_number(c)
+            elif kind in ("double", "float"):
+                c = X.nan_to_null(c)
+            elif kind in ("date", "boolean") or kind.startswith("timestamp"):
+                raise ValueError(f"episode source column {f.name} has type {kind}")
+            out[f.name] = c.try_cast(want)
+        elif isinstance(want, T.TimestampNTZType):
+            if kind != "string" and kind != "date" and not kind.startswith("timestamp"):
+                raise ValueError(f"episode source column {f.name} has type {kind}")
+            # Real timestamps keep their type.
+            out[f.name] = X.parse_timestamp(c, dtype=kind).cast(want) if kind in ("string", "date") else c
+        else:
+            out[f.name] = X.nan_to_null(c).cast("string") if kind in ("double", "float") else c.cast("string")
+    return df.withColumns(out)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return check_schema(spark.read.parquet(path))
+    return conform(check_schema(spark.read.parquet(path)))
+
+
+def jdbc_options(url: str, table: str, partition_column: str, lower_bound: int | None, upper_bound: int | None,
+                 num_partitions: int, properties: dict | None = None) -> dict[str, str]:
+    """Options of a partitioned JDBC scan. Without both bounds Spark would read the
+    whole table over one connection, so that has to be asked for by ``num_partitions=1``."""
+    options = {"url": url, "dbtable": table, **{k: str(v) for k, v in (properties or {}).items()}}
+    if num_partitions == 1:
+        return options
+    if lower_bound is None or upper_bound is None:
+        raise ValueError("a JDBC scan needs lower_bound and upper_bound (or num_partitions=1 for a small table)")
+    return options | {"partitionColumn": partition_column, "lowerBound": str(lower_bound), "upperBound": str(upper_bound),
+                      "numPartitions": str(num_partitions)}
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str = "INGRESO_ACTUAL",
@@ -65,15 +108,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: st
     Credentials come only from ``properties`` (user, password, driver); none are
     kept in code. Bounds only shape the partition ranges, no row is dropped.
     """
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if lower_bound is not None and upper_bound is not None:
-        reader = (reader.option("partitionColumn", partition_column)
-                        .option("lowerBound", str(lower_bound))
-                        .option("upperBound", str(upper_bound))
-                        .option("numPartitions", str(num_partitions)))
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    return check_schema(reader.load())
+    options = jdbc_options(url, table, partition_column, lower_bound, upper_bound, num_partitions, properties)
+    return conform(check_schema(spark.read.format("jdbc").options(**options).load()))
 
 
 def inpatient_filter(df: DataFrame) -> DataFrame:
@@ -82,7 +118,7 @@ def inpatient_filter(df: DataFrame) -> DataFrame:
 
 def extract(df: DataFrame, only_inpatient: bool = False) -> DataFrame:
     """The fixed 23-column source projection with coded categories and range guards."""
-    check_schema(df)
+    df = conform(check_schema(df))
     if only_inpatient:
         df = inpatient_filter(df)
     return df.select(

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_TABLE_ROWS = 10_000
-
-
 def write_table(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Write a result table as Parquet, CSV (with header) or a catalog table.
@@ -27,13 +24,7 @@ def write_table(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "o
     w.format(fmt).save(target)
 
 
-def write_small_table(df: DataFrame, target: str, fmt: str = "csv", mode: str = "overwrite",
-                      max_rows: int = SMALL_TABLE_ROWS) -> None:
-    """Write a bounded result table (metrics, weights, correlation) as one file.
-
-    Refuses tables above ``max_rows``: one file means one task.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{target}: {n} rows is not a small table; use write_table")
+def write_small_table(df: DataFrame, target: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+    """Write a table that is small by what it holds (one row per model, variable
+    or pair of variables) as one file. Tables that grow with the data: ``write_table``."""
     write_table(df.coalesce(1), target, fmt, mode)

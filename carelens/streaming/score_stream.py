@@ -3,16 +3,13 @@
 Structured Streaming reads new episode files, applies the same stateless
 projections as the batch job (extract, prepare, median imputation with the
 fitted values, scaling with the fitted statistics, the three models, tiers)
-and appends each micro-batch to the output with ``foreachBatch``. The stream's
-progress lives in ``checkpoint_location`` (default: under the cluster's
-``spark.checkpoint.dir``), so a restarted query resumes where it stopped.
+and writes each micro-batch to its own folder with ``foreachBatch``. The stream's
+progress lives in ``checkpoint_location``, a stable folder of the caller's.
 Only the batch variant streams: KNN imputation needs the whole donor table.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +18,6 @@ from carelens.operators.prepare import prepare
 from carelens.operators.split import standardize
 from carelens.plans import train as TR
 from carelens.plans.scoring import export_projection, score_columns
-from carelens.session import ensure_checkpoint_dir
 from carelens.sources.episodes import SOURCE_SCHEMA, extract
 
 
@@ -37,13 +33,15 @@ def scored_stream(spark: SparkSession, fitted: TR.Fitted, source_dir: str) -> Da
 
 
 def score_stream(spark: SparkSession, fitted: TR.Fitted, source_dir: str, sink_dir: str,
-                 checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
-    location = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "streams", "score_stream")
+                 checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
+    """Starts the query. ``checkpoint_location`` must outlive the application: a
+    restart with the same folder goes on where it stopped. A batch is written to a
+    folder of its own (``batch_id=N``), replacing it, so a retried batch leaves no row twice."""
     out = scored_stream(spark, fitted, source_dir)
 
-    def append(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").partitionBy("NIVEL_RIESGO_REINGRESO").parquet(sink_dir)
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("NIVEL_RIESGO_REINGRESO").parquet(f"{sink_dir}/batch_id={epoch_id}")
 
-    writer = out.writeStream.foreachBatch(append).option("checkpointLocation", location)
+    writer = out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -107,3 +107,47 @@ def test_constant_column_correlation_is_null(spark):
                                            ("1_20", None), ("NaN", None), ("Infinity", None), ("0x10", None)])
 def test_number_parse(spark, text, expected):
     assert spark.createDataFrame([(text,)], "v string").select(X.parse_number("v").alias("n")).first().n == expected
+
+
+def test_nan_and_text_dates_through_prepare(spark):
+    from carelens.operators.impute import impute_median
+    from carelens.operators.prepare import prepare
+    from carelens.operators.profile import null_profile
+    from carelens.sources.episodes import SOURCE_SCHEMA, extract
+    nan = float("nan")
+    blank = {f.name: None for f in SOURCE_SCHEMA.fields}
+    rows = [blank | {"DOCUMENTO": "1", "INGRESO_ACTUAL": 1.0, "EDAD": nan, "PESO": nan, "TALLA": 170.0, "PRESION_ARTERIAL": "120/80",
+                     "FECHA_INGRESO_ACTUAL": "2020-01-10 08:00:00", "FECHA_EGRESO_DEL_INGRESO_ACTUAL": "2020-01-12"},
+            blank | {"DOCUMENTO": "1", "INGRESO_ACTUAL": 2.0, "EDAD": 40.0, "PESO": 70.0, "TALLA": 170.0, "PRESION_ARTERIAL": "nan/80",
+                     "FECHA_INGRESO_ACTUAL": "2020-02-01 08:00:00", "FECHA_EGRESO_DEL_INGRESO_ACTUAL": "bad"}]
+    types = {"INGRESO_ACTUAL": "double", "EDAD": "double", "PESO": "double", "TALLA": "double"}
+    schema = ", ".join(f"`{f.name}` {types.get(f.name, 'string')}" for f in SOURCE_SCHEMA.fields)
+    raw = spark.createDataFrame([tuple(r[f.name] for f in SOURCE_SCHEMA.fields) for r in rows], schema)
+    out = prepare(extract(raw), with_previous_discharge=True).orderBy("INGRESO_ACTUAL").collect()
+    assert (out[0].GRUPO_EDAD, out[0].CATEGORIA_IMC, out[0].IMC) == ("Sin dato", "Sin dato", None)
+    assert out[0].FECHA_INGRESO_ACTUAL.isoformat() == "2020-01-10T08:00:00"
+    assert out[1].FECHA_EGRESO_ANTERIOR.isoformat() == "2020-01-12T00:00:00" and out[1].FECHA_EGRESO_DEL_INGRESO_ACTUAL is None
+    assert out[1].PRESION_SISTOLICA is None
+    prepared = prepare(extract(raw))
+    missing = {r.feature: r.n_null for r in null_profile(prepared, C.BATCH_FEATURES).collect()}
+    filled = impute_median(prepared, C.BATCH_FEATURES)
+    for f in ("EDAD", "IMC", "PRESION_ARTERIAL_MEDIA"):
+        assert missing[f] == 1 and filled.filter(F.col(f).isNull()).count() == 0
+    with pytest.raises(ValueError, match="EDAD"):
+        extract(raw.withColumn("EDAD", F.array("EDAD")))
+
+
+def test_jdbc_options():
+    from carelens.sources.episodes import jdbc_options
+    with pytest.raises(ValueError, match="lower_bound"):
+        jdbc_options("jdbc:x", "t", "id", 1, None, 8)
+    assert jdbc_options("jdbc:x", "t", "id", 1, 9, 8, {"user": "u"}) == {
+        "url": "jdbc:x", "dbtable": "t", "user": "u", "partitionColumn": "id", "lowerBound": "1", "upperBound": "9", "numPartitions": "8"}
+    assert "numPartitions" not in jdbc_options("jdbc:x", "t", "id", None, None, 1)
+
+
+def test_overall_histogram_and_service_name(spark):
+    df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "score double")
+    assert sum(r.n for r in E.score_histogram(df, []).collect()) == 3
+    m = spark.createDataFrame([("Regresion Logistica", 70.0), (C.MODEL_RF, 70.0)], "model string, roc_auc_pct double")
+    assert E.best_model(m).first().best_model == "Regresion Logistica"

@@ -77,18 +77,44 @@ def test_stream_scores_every_arriving_admission(spark, fitted, tmp_path):
     out = spark.read.parquet(sink)
     assert out.count() == eps.count()
     batch = TR.score_all(fitted).select("INGRESO_ACTUAL", "PROB_REINGRESO_LR")
+    score_stream(spark, fitted, source, sink, checkpoint_location=ckpt).awaitTermination(300)
+    assert spark.read.parquet(sink).count() == eps.count()      # a restart adds no row twice
     joined = out.join(batch, "INGRESO_ACTUAL").select(
         F.max(F.abs(F.col("PROBABILIDAD_REG_LOGISTICA") - F.col("PROB_REINGRESO_LR")))).first()[0]
     assert joined < 1e-9
 
 
 def test_pipeline_writes_all_tables(spark, tmp_path):
-    from carelens.plans.pipeline import load, run
+    from carelens.plans.pipeline import load, run, score_saved
     out = str(tmp_path / "job")
     fitted = run(spark, load(spark, SF0001), out, Config("batch"))
     scored = spark.read.parquet(f"{out}/scored")
     assert scored.count() == I.prepared(spark, SF0001).count()
-    assert spark.read.option("header", True).csv(f"{out}/variable_weights").count() == len(fitted.features)
-    assert spark.read.option("header", True).csv(f"{out}/correlation_matrix").count() == (len(fitted.features) + 1) ** 2
-    from pyspark.ml import PipelineModel
-    assert PipelineModel.load(f"{out}/models/gb") is not None
+    csv = lambda name: spark.read.option("header", True).csv(f"{out}/{name}")
+    n = len(fitted.features)
+    for name, rows in (("variable_weights", n), ("importance_rf", n), ("importance_gb", n), ("coefficients_lr", n),
+                       ("correlation_matrix", (n + 1) ** 2), ("target_correlation", n), ("model_metrics", 3)):
+        assert csv(name).count() == rows
+    assert csv("scored_csv").count() == scored.count()
+    again = score_saved(spark, load(spark, SF0001), f"{out}/models")
+    cols = ["INGRESO_ACTUAL", "PROBABILIDAD_REINGRESO_MEJOR_MODELO", "NIVEL_RIESGO_REINGRESO", "MODELO_USADO"]
+    assert sorted(again.select(cols).collect()) == sorted(scored.select(cols).collect())
+
+
+def test_same_seed_same_result_and_stationary(spark, fitted):
+    again = TR.fit(spark, I.prepared(spark, SF0001), Config("batch"))
+    assert again.best == fitted.best and again.aucs == fitted.aucs
+    key = lambda f: sorted(TR.probabilities(f, f.data).select("INGRESO_ACTUAL", "PROB_REINGRESO_RF", "PROB_REINGRESO_GB").collect())
+    assert key(again) == key(fitted)
+    assert all(r.gradient == 0 for r in TR.lr_gradient(spark, fitted).collect())
+
+
+def test_planted_signal_is_found(spark):
+    planted = I.prepared(spark, SF0001).withColumn("REINGRESO", F.coalesce(F.col("DURACION_ESTANCIA_ACTUAL") % 2 == 0, F.lit(False)).cast("int")).withColumn(
+        "EDAD", F.when(F.col("REINGRESO") == 1, F.col("EDAD") + 25).otherwise(F.col("EDAD")))
+    assert min(TR.fit(spark, planted, Config("batch"), trees=20, rounds=10).aucs.values()) > 0.6
+
+
+def test_one_class_is_an_error(spark):
+    with pytest.raises(ValueError, match="both classes"):
+        TR.fit(spark, I.prepared(spark, SF0001).withColumn("REINGRESO", F.lit(0)), Config("batch"))

@@ -139,8 +139,7 @@ def test_knn_matches_brute_force(spark):
     pdf.loc[5, ["a", "b"]] = pdf.loc[6, ["a", "b"]].values  # exact twins: zero distance
     feats = ["a", "b", "c"]
     df = spark.createDataFrame(pdf)
-    # Small chunks so the test crosses several receiver and donor chunks.
-    got = impute_knn(df, feats, id_col="id", pairs_per_task=4000, min_tasks=6).toPandas().sort_values("id")
+    got = impute_knn(df, feats, id_col="id").toPandas().sort_values("id")
     want = _knn_brute(pdf, feats)
     assert np.allclose(got[feats].to_numpy(), want, atol=1e-9)
 
@@ -159,8 +158,90 @@ def test_knn_grid_matches_brute_force(spark):
     feats = ["a", "b", "c"]
     df = spark.createDataFrame(pdf)
     want = _knn_brute(pdf, feats)
-    for width, chunk, levels in ((0.5, 16, 3), (1.0, 1024, 1), (0.1, 16, 2)):
-        got = (impute_knn(df, feats, id_col="id", use_grid=True, cell_width=width, chunk_rows=chunk,
-                          grid_levels=levels, direct_pairs=0, pairs_per_task=4000, min_tasks=4)
-               .toPandas().sort_values("id"))
-        assert np.allclose(got[feats].to_numpy(), want, atol=1e-9), (width, chunk, levels)
+    # Narrow cells and small chunks: several levels, packed buckets and cut cells.
+    for width, chunk in ((0.5, 16), (0.1, 16)):
+        got = impute_knn(df, feats, id_col="id", cell_width=width, chunk_rows=chunk).toPandas().sort_values("id")
+        assert np.allclose(got[feats].to_numpy(), want, atol=1e-9), (width, chunk)
+
+
+def test_knn_outliers_match_brute_force(spark):
+    """Coordinates a thousand deviations out, donors a hair apart."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    a = rng.normal(0, 1, n)
+    a[:40] = 5e6 + np.arange(40) * 1e-3
+    pdf = pd.DataFrame({"id": np.arange(n), "a": a, "b": rng.integers(0, 50, n).astype(float)})
+    pdf.loc[:19, "b"] = np.nan
+    pdf.loc[100:104, "b"] = np.nan
+    mu, sd = pdf[["a", "b"]].mean().to_numpy(), pdf[["a", "b"]].std(ddof=0).to_numpy()
+    z = (pdf[["a", "b"]].to_numpy() - mu) / sd
+    got = impute_knn(spark.createDataFrame(pdf), ["a", "b"], id_col="id").toPandas().sort_values("id")
+    donors = np.flatnonzero(~np.isnan(z[:, 1]))
+    for i in [*range(20), *range(100, 105)]:
+        d = np.sqrt(2 * (z[donors, 0] - z[i, 0]) ** 2)
+        top = donors[np.lexsort((donors, np.round(d, 9)))[:5]]
+        dist = np.sqrt(2 * (z[top, 0] - z[i, 0]) ** 2)
+        want = pdf["b"].to_numpy()[top][dist == 0].mean() if (dist == 0).any() else np.average(pdf["b"].to_numpy()[top], weights=1 / dist)
+        assert abs(got["b"].to_numpy()[i] - want) < 1e-6 * max(1, abs(want)), i
+
+
+def _dense(spark, n=200_000):
+    return spark.range(n).select(
+        F.lit("m").alias("model"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 13), 16, 10).cast("double") / 2.0 ** 52
+         + (F.col("id") % 3 == 0).cast("double") * 0.1).alias("score"))
+
+
+def test_ranking_metrics_do_not_depend_on_partitions(spark):
+    df = _dense(spark)
+    pdf = df.toPandas()
+    assert pdf["score"].nunique() == len(pdf)
+    r = pdf["score"].rank()
+    n1 = pdf["label"].sum()
+    want = (r[pdf["label"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(pdf) - n1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for parts in ("4", "8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            auc = roc_auc(df)
+            assert "SPARK_PARTITION_ID" not in auc._jdf.queryExecution().toString().upper()
+            got += [auc.first().roc_auc, roc_auc(df).first().roc_auc]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(got) - min(got) < 1e-12 and abs(got[0] - want) < 1e-12
+
+
+def test_exact_medians(spark):
+    from carelens.operators.windows import exact_medians
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": np.where(rng.random(5001) < .7, "a", "b"), "x": rng.normal(size=5001), "y": rng.integers(0, 5, 5001).astype(float),
+                        "z": np.nan})
+    pdf.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("x") > 2, F.lit(None)).otherwise(F.col("x")))
+    pdf.loc[pdf["x"] > 2, "x"] = np.nan
+    got = {r.feature: r.median for r in exact_medians(df, ["x", "y", "z"]).collect()}
+    assert got == {"x": pdf["x"].median(), "y": pdf["y"].median()}
+    by = {(r.g, r.feature): r.median for r in exact_medians(df, ["x"], by=["g"]).collect()}
+    assert by == {(g, "x"): m for g, m in pdf.groupby("g")["x"].median().items()}
+
+
+def test_split_share_is_exact(spark):
+    df = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") % 2).alias("y"))
+    for share, per_class in ((0.25, 250), (0.33, 330), (0.3, 300), (0.001, 1)):
+        s = stratified_split(df, label="y", id_col="i", share=share).filter("is_test").groupBy("y").count().collect()
+        assert {r["y"]: r["count"] for r in s} == {0: per_class, 1: per_class}
+
+
+def test_lag_splits_hot_slices(spark):
+    rows = [("hot", None, i, float(i)) for i in range(700)]                              # no date at all
+    rows += [("hot", "2020-05-05 00:00:00", 1000 + i, float(i)) for i in range(600)]       # one placeholder time
+    rows += [("hot", f"2020-05-06 {i % 24:02d}:{i % 60:02d}:00", 3000 + i, float(i)) for i in range(500)]
+    rows += [("cold", "2020-05-06 01:00:00", 9000, 1.0), (None, None, 9001, 2.0), ("cold", None, 9002, 3.0)]
+    df = spark.createDataFrame(rows, "k string, d string, t long, v double").withColumn("d", F.to_timestamp("d")).repartition(5)
+    w = Window.partitionBy("k").orderBy(F.col("d").asc_nulls_last(), "t")
+    want = df.select("t", F.when(F.col("k").isNotNull(), F.lag("v").over(w)).alias("prev"))
+    for size in (50, 100_000):
+        got = lag_by_key(df, "k", "d", "t", {"prev": "v"}, slice_rows=size)
+        assert got.columns == [*df.columns, "prev"]
+        assert sorted(got.select("t", "prev").collect()) == sorted(want.collect())
