@@ -215,3 +215,36 @@ def op9_pii(spark, sf_dir):
     listed = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["begin"], e["stop"]))
     return out.select(F.col("row.doc_id").alias("doc_id"), "text", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"),
                       F.coalesce(F.array_join(listed, ","), F.lit("")).alias("entities"))
+
+
+def _repetition_twin() -> str:
+    from carelens.llm.repetition import LIMITS, LINE_LIMIT
+    grams = "".join(f""",
+x{k} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY i) AS nth, count(*) OVER (PARTITION BY doc_id, phrase) AS times
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS phrase
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k}))),
+c{k} AS (SELECT c.doc_id, sum(length(w[p])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {k})) AS p FROM x{k} WHERE nth > 1) c
+  JOIN d USING (doc_id) GROUP BY c.doc_id)""" for k in LIMITS)
+    shares = ", ".join(f"coalesce(c{k}.chars, 0)::DOUBLE / greatest(word_chars, 1)::DOUBLE AS repeat_chars_{k}" for k in LIMITS)
+    joins = " ".join(f"LEFT JOIN c{k} ON c{k}.doc_id = m.doc_id" for k in LIMITS)
+    within = " AND ".join(f"repeat_chars_{k} <= {limit}::DOUBLE" for k, limit in LIMITS.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+l AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth
+      FROM (SELECT doc_id, line, k, strlen(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS size
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM d))
+      WHERE size > 0),
+lines AS (SELECT doc_id, count(*) FILTER (WHERE nth > 1) AS dup, coalesce(sum(size) FILTER (WHERE nth > 1), 0)::DOUBLE / sum(size)::DOUBLE AS share
+          FROM l GROUP BY doc_id){grams},
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM x5 WHERE times > 1) GROUP BY doc_id),
+a AS (SELECT m.*, CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, {shares},
+             coalesce(lines.share, 0)::DOUBLE AS dup_line_chars
+      FROM m LEFT JOIN lines ON lines.doc_id = m.doc_id LEFT JOIN r ON r.doc_id = m.doc_id {joins}),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT}::DOUBLE AND {within} AS kept FROM b
+"""
+
+
+ORACLES["op1_repetition"] = _repetition_twin()
