@@ -158,3 +158,39 @@ def weight_report(spark, sf_dir):
     from carelens.plans.q_models import fitted
     from carelens.plans.train import variable_weights
     return L.weight_report(variable_weights(spark, fitted(spark, sf_dir, "service")))
+
+
+def _spread_weights_sql() -> str:
+    """Weights of the formula scores: |coefficient| times the variable's deviation."""
+    def part(model, f):
+        coef = dict(FM.FORMULAS[model][1]).get("EDAD_F" if f == "EDAD" else f, 0.0)
+        x = "coalesce(CAST(EDAD AS DOUBLE), 50e0)" if f == "EDAD" else f'CAST("{f}" AS DOUBLE)'
+        return f"{abs(coef)}e0 * coalesce(stddev_pop({x}), 0)"
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{f}' AS var, " + ", ".join(f"{part(m, f)} AS {FM.SHORT[m]}" for m in FM.FORMULAS) + " FROM prep_b"
+        for i, f in enumerate(C.BATCH_FEATURES))
+    share = ", ".join(f"{m} / sum({m}) OVER () * 100 AS {m}" for m in ("LR", "RF", "GB"))
+    excluded = ", ".join(f"'{v}'" for v in C.REPORT_EXCLUDED_VARIABLES)
+    return S.with_steps(S.prepared_sql("batch"), f"w0 AS ({rows})", f"w1 AS (SELECT position, var, {share} FROM w0)",
+                        "w2 AS (SELECT *, (LR + RF + GB) / 3 AS mean FROM w1)") + f"""
+ SELECT row_number() OVER (ORDER BY mean DESC, position) AS rank, name AS "Descripcion",
+   printf('%.2f', mean) || '%' AS "Promedio modelos (%)", printf('%.2f', LR) || '%' AS "(%) Regresion logistica",
+   printf('%.2f', RF) || '%' AS "(%) Random Forest", printf('%.2f', GB) || '%' AS "(%) Gradient Boosting",
+   {r6('mean')} AS "PesoNum"
+ FROM (SELECT w2.*, coalesce(n.name, var) AS name, row_number() OVER (PARTITION BY coalesce(n.name, var) ORDER BY mean DESC, position) AS rn
+       FROM w2 LEFT JOIN (VALUES {NAMES_VALUES}) n(var2, name) ON var = n.var2 WHERE var NOT IN ({excluded})) WHERE rn = 1"""
+
+
+@query("weight_report_formula", _spread_weights_sql())
+def weight_report_formula(spark, sf_dir):
+    """The weight report over the formula scores' weights (one aggregate of the episodes)."""
+    def column(f):
+        return F.coalesce(F.col(f).cast("double"), F.lit(50.0)) if f == "EDAD" else F.col(f).cast("double")
+    sd = I.prepared(spark, sf_dir).agg(*[F.stddev_pop(column(f)).alias(f"s{i}") for i, f in enumerate(C.BATCH_FEATURES)]).first()
+    raw = {m: [abs(dict(terms).get("EDAD_F" if f == "EDAD" else f, 0.0)) * (sd[f"s{i}"] or 0.0) for i, f in enumerate(C.BATCH_FEATURES)]
+           for m, (_, terms) in FM.FORMULAS.items()}
+    pct = {m: [x / sum(v) * 100 for x in v] for m, v in raw.items()}
+    rows = [(i, f, *(pct[m][i] for m in FM.FORMULAS), sum(pct[m][i] for m in FM.FORMULAS) / 3) for i, f in enumerate(C.BATCH_FEATURES)]
+    weights = spark.createDataFrame(rows, "position int, Variable string, `Peso_RegLogistica_%` double, `Peso_RandomForest_%` double, "
+                                          "`Peso_GradientBoosting_%` double, `Peso_Promedio_%` double")
+    return rounded(L.weight_report(weights))
