@@ -146,6 +146,7 @@ class Config:
     fit_on: str = "all"  # imputation statistics from "all" rows (as analysed) or "train"
     seed: int = SEED
     max_bins: int = 128
+    collation: str | None = None  # of category texts in the source; None: exact
 
     def __post_init__(self):
         if self.variant not in ("batch", "service"):

@@ -45,9 +45,10 @@ def parse_timestamp(c, fmt: str | None = None, dtype: str = "string") -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
 
 
-def encode(c, codes: dict[str, int]) -> Column:
-    """Category text -> code; unknown or NULL -> 0."""
-    c = col(c)
+def encode(c, codes: dict[str, int], collation: str | None = None) -> Column:
+    """Category text -> code; unknown or NULL -> 0. Text compares exactly, or by
+    ``collation`` (``UTF8_LCASE_RTRIM``: blind to case and trailing spaces)."""
+    c = F.collate(col(c), collation) if collation else col(c)
     expr = None
     for text, code in codes.items():
         expr = F.when(c == text, F.lit(code)) if expr is None else expr.when(c == text, F.lit(code))

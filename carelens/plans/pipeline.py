@@ -43,7 +43,7 @@ def load(spark: SparkSession, source: str, jdbc: dict | None = None) -> DataFram
 
 
 def run(spark: SparkSession, episodes: DataFrame, out_dir: str, cfg: Config = Config()) -> TR.Fitted:
-    prepared = prepare(extract(episodes, cfg.only_inpatient), cfg)
+    prepared = prepare(extract(episodes, cfg.only_inpatient, cfg.collation), cfg)
     fitted = TR.fit(spark, prepared, cfg)
     out = out_dir.rstrip("/")
 
@@ -69,7 +69,7 @@ def run(spark: SparkSession, episodes: DataFrame, out_dir: str, cfg: Config = Co
 def score_saved(spark: SparkSession, episodes: DataFrame, models_dir: str) -> DataFrame:
     """The export of admissions scored with a saved fit."""
     fitted = TR.load(spark, models_dir)
-    prepared = prepare(extract(episodes, fitted.cfg.only_inpatient), fitted.cfg)
+    prepared = prepare(extract(episodes, fitted.cfg.only_inpatient, fitted.cfg.collation), fitted.cfg)
     if fitted.medians is None:
         prepared = impute_knn(prepared, fitted.features, id_col="INGRESO_ACTUAL")
     return export_projection(TR.score_new(fitted, prepared), fitted.cfg.variant, fitted.best if fitted.cfg.variant == "batch" else None)

@@ -58,6 +58,23 @@ def encode_categories(spark, sf_dir):
                     X.encode("CAUSA_INGRESO", C.CAUSE_CODES).alias("CAUSA_INGRESO"))
 
 
+def _blind(col: str, codes: dict[str, int]) -> str:
+    return "CASE lower(rtrim(x." + col + ")) " + " ".join(f"WHEN lower('{t}') THEN {k}" for t, k in codes.items()) + " ELSE 0 END"
+
+
+@query("encode_collated", S.with_steps(FIX) + f"""
+ SELECT INGRESO_ACTUAL, {_blind('SEXO', C.SEX_CODES)} AS SEXO, {_blind('CAUSA_INGRESO', C.CAUSE_CODES)} AS CAUSA_INGRESO
+ FROM (SELECT INGRESO_ACTUAL, lower(SEXO) || '  ' AS SEXO, CASE INGRESO_ACTUAL % 2 WHEN 0 THEN lower(CAUSA_INGRESO) ELSE ' ' || CAUSA_INGRESO END
+         AS CAUSA_INGRESO FROM episodes) x""")
+def encode_collated_q(spark, sf_dir):
+    """Category codes under a collation blind to case and trailing spaces, on texts written otherwise."""
+    e = I.episodes(spark, sf_dir).select(
+        "INGRESO_ACTUAL", F.concat(F.lower("SEXO"), F.lit("  ")).alias("SEXO"),
+        F.when(F.col("INGRESO_ACTUAL") % 2 == 0, F.lower("CAUSA_INGRESO")).otherwise(F.concat(F.lit(" "), "CAUSA_INGRESO")).alias("CAUSA_INGRESO"))
+    return e.select("INGRESO_ACTUAL", X.encode("SEXO", C.SEX_CODES, "UTF8_LCASE_RTRIM").alias("SEXO"),
+                    X.encode("CAUSA_INGRESO", C.CAUSE_CODES, "UTF8_LCASE_RTRIM").alias("CAUSA_INGRESO"))
+
+
 @query("decode_labels", S.with_steps(PREP_B) + """
  SELECT INGRESO_ACTUAL, SEXO_TEXTO, ESTADO_EGRESO_TEXTO, ADHERENCIA_TEXTO FROM prep_b""")
 def decode_labels(spark, sf_dir):
@@ -162,6 +179,3 @@ def alias_resolution(spark, sf_dir):
              ["patient_id", "admission_date", "hospitalizations", "days_since_discharge", "adherence", "cause"]}
     found = resolve_columns(df, roles, required=["patient_id"])
     return df.select(*[F.col(c).alias(role) for role, c in found.items() if c], "INGRESO_ACTUAL")
-
-
-__all__ = ["inpatient_filter"]

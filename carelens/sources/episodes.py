@@ -116,25 +116,26 @@ def inpatient_filter(df: DataFrame) -> DataFrame:
     return df.filter(F.col("TIPO_INGRESO") == C.INPATIENT)
 
 
-def extract(df: DataFrame, only_inpatient: bool = False) -> DataFrame:
-    """The fixed 23-column source projection with coded categories and range guards."""
+def extract(df: DataFrame, only_inpatient: bool = False, collation: str | None = None) -> DataFrame:
+    """The fixed 23-column source projection with coded categories and range guards.
+    ``collation``: how category texts compare (default: exactly)."""
     df = conform(check_schema(df))
     if only_inpatient:
         df = inpatient_filter(df)
     return df.select(
         "DOCUMENTO",
-        X.encode("SEXO", C.SEX_CODES).alias("SEXO"),
+        X.encode("SEXO", C.SEX_CODES, collation).alias("SEXO"),
         "EDAD", "ASEGURADOR", "INGRESO_ACTUAL",
         "FECHA_INGRESO_ACTUAL", "FECHA_EGRESO_DEL_INGRESO_ACTUAL",
         "COD_DX_INGRESO", "NOM_DX_INGRESO", "COD_DX_EGRESO", "NOM_DX_EGRESO",
-        X.encode("ESTADO_EGRESO", C.DISCHARGE_STATE_CODES).alias("ESTADO_EGRESO"),
+        X.encode("ESTADO_EGRESO", C.DISCHARGE_STATE_CODES, collation).alias("ESTADO_EGRESO"),
         "ANTECEDENTES_PERSONALES", "ANTECEDENTES_FAMILIARES",
         X.range_guard("PESO", *C.WEIGHT_RANGE).alias("PESO"),
         X.range_guard("TALLA", *C.HEIGHT_RANGE).alias("TALLA"),
         "PRESION_ARTERIAL", C.HOSP, "TIEMPO_ULTIMA_HOSPITALIZACION",
         "DURACION_ESTANCIA_ACTUAL", "NUMERO_MEDICAMENTOS",
-        X.encode("ADHERENCIA_PREVIA", C.ADHERENCE_CODES).alias("ADHERENCIA_PREVIA"),
-        X.encode("CAUSA_INGRESO", C.CAUSE_CODES).alias("CAUSA_INGRESO"),
+        X.encode("ADHERENCIA_PREVIA", C.ADHERENCE_CODES, collation).alias("ADHERENCIA_PREVIA"),
+        X.encode("CAUSA_INGRESO", C.CAUSE_CODES, collation).alias("CAUSA_INGRESO"),
     )
 
 
@@ -143,6 +144,11 @@ def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
+def resolve_report_columns(df: DataFrame) -> dict[str, str | None]:
+    """The patient report's columns by their known names; an error without its critical ones."""
+    return resolve_columns(df, C.COLUMN_CANDIDATES, C.REQUIRED_REPORT_COLUMNS)
+
+
 def resolve_columns(df: DataFrame, roles: dict[str, list[str]], required: list[str] = ()) -> dict[str, str | None]:
     found = {role: resolve_column(df, cands) for role, cands in roles.items()}
     missing = [r for r in required if found.get(r) is None]

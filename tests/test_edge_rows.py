@@ -151,3 +151,18 @@ def test_overall_histogram_and_service_name(spark):
     assert sum(r.n for r in E.score_histogram(df, []).collect()) == 3
     m = spark.createDataFrame([("Regresion Logistica", 70.0), (C.MODEL_RF, 70.0)], "model string, roc_auc_pct double")
     assert E.best_model(m).first().best_model == "Regresion Logistica"
+
+
+def test_collation_option(spark):
+    df = _one_col(spark, ["MISMA CAUSA", "misma causa  ", " MISMA CAUSA", "Diferente Causa", None, "x"])
+    exact = [r.c for r in df.select("i", X.encode("v", C.CAUSE_CODES).alias("c")).orderBy("i").collect()]
+    blind = [r.c for r in df.select("i", X.encode("v", C.CAUSE_CODES, "UTF8_LCASE_RTRIM").alias("c")).orderBy("i").collect()]
+    assert exact == [2, 0, 0, 0, 0, 0] and blind == [2, 2, 0, 1, 0, 0]
+
+
+def test_report_columns(spark):
+    from carelens.sources.episodes import resolve_report_columns
+    df = spark.createDataFrame([("1", 0.1, 0.2, 0.3)], "DOCUMENTO string, PROB_GB double, PROB_RF double, PROB_REINGRESO_LR double")
+    assert resolve_report_columns(df)["prob_lr"] == "PROB_REINGRESO_LR"
+    with pytest.raises(ValueError, match="prob_lr"):
+        resolve_report_columns(df.drop("PROB_REINGRESO_LR"))
