@@ -7,9 +7,9 @@ Training (``fit_toxicity``) uses a bounded sample of labelled documents, at most
    stands in many toxic and few clean sample documents marks the tokens of toxic
    documents that have it; every other token is labelled clean. The counts are
    taken by Spark.
-2. Segments of ``SEGMENT`` tokens, at most ``MAX_SEGMENTS``, train a chain with
+2. Segments of ``SEGMENT`` tokens, about ``MAX_SEGMENTS``, train a chain with
    the states clean and toxic: forward-backward marginals against the token
-   labels, by Adam on the driver. Features are hashed to 64 bits; only those of
+   labels, by Adam in one task of bounded size. Features are hashed to 64 bits; only those of
    toxic tokens have weights, so the model is small.
 3. The marginals of each sample document are summed up (expected toxic tokens,
    greatest marginal, share) and a logistic regression turns them into a score.
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from carelens.llm.words import _BYTES, _TABLE, mix
 
 #: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN, MAX_SEGMENTS = 2000, 4000, 16_000
+MAX_TOXIC, MAX_CLEAN, MAX_SEGMENTS = 2000, 4000, 12_000
 SEGMENT = 64
+CHAIN = "ids binary, weights binary, bias double, transition array<double>"
 #: A feature marks toxic tokens from this many toxic sample documents (and this
 #: share of them), at this log ratio of its shares among toxic and clean ones.
 MIN_DOCS, MIN_SHARE, MIN_LIFT = 3, 0.01, 3.0
@@ -241,7 +242,7 @@ def _train_chain(segments: list, epochs: int = 6, batch: int = 256, rate: float
     marked = [np.frombuffer(f, np.uint64).reshape(-1, N_FEATURES)[np.frombuffer(y, np.uint8) == 1] for f, y in segments]
     ids = np.unique(np.concatenate(marked)) if marked else np.empty(0, np.uint64)
     n = len(ids)
-    features = np.full((len(segments), SEGMENT, N_FEATURES), n, np.int64)     # n: a feature without a weight
+    features = np.full((len(segments), SEGMENT, N_FEATURES), n, np.int32)     # n: a feature without a weight
     labels = np.zeros((len(segments), SEGMENT))
     used = np.zeros((len(segments), SEGMENT), bool)
     for k, (f, y) in enumerate(segments):
@@ -275,6 +276,18 @@ def _train_chain(segments: list, epochs: int = 6, batch: int = 256, rate: float
     return ids, weights[:n], float(weights[n + 1]), np.exp(weights[n + 2:].reshape(2, 2))
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chain's parameters from all segments: one bounded task, nothing of them
+    comes to the driver. Sorted first, so that the result does not depend on their order."""
+    segments = sorted((f, y) for batch in batches for f, y in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    if segments:
+        ids, weights, bias, transition = _train_chain(segments)
+        columns = ([ids.tobytes()], [weights.tobytes()], [bias], [transition.ravel().tolist()])
+        types = (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                         names=["ids", "weights", "bias", "transition"])
+
+
 def _pair_marginals(emissions: np.ndarray, used: np.ndarray, a: np.ndarray):
     """Token marginals and the expected counts of the four transitions, of segments."""
     odds = np.exp(np.clip(emissions, -30, 30))
@@ -338,11 +351,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not len(ids):
         return None
     rows = sample.mapInArrow(partial(_segments, lexicon=np.sort(ids)), "order long, marked boolean, features binary, labels binary")
-    segments = []
-    for kind in (True, False):
-        segments += rows.filter(F.col("marked") == kind).orderBy("order", "features").limit(MAX_SEGMENTS // 2).select(
-            "features", "labels").collect()
-    chain = _train_chain([(bytes(r[0]), bytes(r[1])) for r in segments])
+    # About MAX_SEGMENTS / 2 of either kind: those whose hash lies below a share.
+    many = {r["marked"]: r["n"] for r in rows.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = F.lit(False)
+    for kind, n in many.items():
+        share = min(1.0, MAX_SEGMENTS / 2 / n)
+        below = below | ((F.col("marked") == kind) & (F.col("order") <= min((1 << 63) - 1, int(share * 2.0 ** 63))))
+    fitted = rows.filter(below).select("features", "labels").repartition(1).mapInArrow(_trained, CHAIN).first()
+    chain = (np.frombuffer(fitted["ids"], np.uint64), np.frombuffer(fitted["weights"]), fitted["bias"],
+             np.array(fitted["transition"]).reshape(2, 2))
     raw = ToxicModel(*chain, np.zeros(4))
     table = np.array([tuple(r) for r in sample.mapInArrow(partial(_summaries, model=raw),
                       "toxic int, a double, b double, c double, d double").orderBy("toxic", "a", "b", "c", "d").collect()], float)
