@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.llm.skew import apart
 from carelens.llm.words import normalised, window_hashes, word_hashes, word_ranges
 
 WINDOW, CORE = 50, 8
@@ -106,7 +107,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int, core: int) -> Iterat
 
 def _asked(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple]:
     """(id, request, normalised text, starts, ends) of the requests of one kind."""
-    for o, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for o, text, asked in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
         wanted = [p for p in asked or () if p["hot"] == hot]
         if wanted:
             joined = normalised(text)
@@ -224,8 +225,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, buck
     keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"),
                          F.xxhash64("text").alias("th"))
     pieces = keyed.select("ord", "th", "text").mapInArrow(partial(_pieces, window=window, core=min(core, window)), PIECE)
-    repeated = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1).select("core")
-    pieces = pieces.join(repeated, "core", "left_semi").select("ord", "th", "begin", "n", "core", "k1", "k2").checkpoint()
+    repeated = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1).select(
+        apart(F.col("core")).alias("key"))
+    pieces = pieces.withColumn("key", apart(F.col("core"))).join(repeated, "key", "left_semi").select("ord", "th", "begin", "n", "core", "k1", "k2").checkpoint()
 
     first = pieces.groupBy("k1", "k2").agg(F.min(F.struct("ord", "th", "begin", "n", "core")).alias("f")).select(
         "k1", "k2", "f.*").checkpoint()
@@ -233,20 +235,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, buck
     any_hot = not shared.filter(F.col("strings") > bucket).isEmpty()
     asked = first.join(shared, "core").groupBy("ord", "th").agg(F.collect_list(
         F.struct("core", "k1", "k2", "begin", "n", (F.col("strings") > bucket).alias("hot"))).alias("asked"))
-    # No checkpoint here: this join and the last one then share the texts' exchange.
-    joined = keyed.join(asked, ["ord", "th"], "left").select("ord", "text", "asked")
+    # No checkpoint here, and the same columns as in the last join: both then read
+    # one exchange of the texts.
+    joined = keyed.join(asked, ["ord", "th"], "left").select("doc_id", "ord", "text", "asked")
     partly = (joined.mapInArrow(partial(_packed, window=window), PACKED)
               .repartition("core").sortWithinPartitions("core").mapInArrow(partial(_counted, window=window), FOUND))
     if any_hot:
         single = joined.mapInArrow(partial(_single, window=window), SINGLE)
-        least = single.groupBy("w1", "w2").agg(F.min("ord").alias("least"))
+        least = single.groupBy("w1", "w2").agg(F.min("ord").alias("least")).select(apart(F.col("w1")).alias("key"), "w2", "least")
         partly = partly.unionAll(
-            single.join(least, ["w1", "w2"]).filter(F.col("ord") > F.col("least"))
+            single.withColumn("key", apart(F.col("w1"))).join(least, ["key", "w2"]).filter(F.col("ord") > F.col("least"))
             .groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("spans")))
 
     verdict = first.select("k1", "k2", F.col("ord").alias("first_ord")).join(partly, ["k1", "k2"], "left")
     later = F.col("ord") > F.col("first_ord")
-    covers = (pieces.join(verdict, ["k1", "k2"]).filter(later | F.col("spans").isNotNull())
+    verdict = verdict.select(apart(F.col("k1")).alias("key"), F.col("k2").alias("key2"), "first_ord", "spans")
+    covers = (pieces.join(verdict, (apart(F.col("k1")) == F.col("key")) & (F.col("k2") == F.col("key2"))).filter(later | F.col("spans").isNotNull())
               .select("ord", "th", F.when(later, F.array(F.col("begin"), F.col("begin") + F.col("n")))
                       .otherwise(F.transform("spans", lambda s: s + F.col("begin"))).alias("spans"))
               .groupBy("ord", "th").agg(F.collect_list("spans").alias("spans")))
