@@ -31,6 +31,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelens.llm.skew import apart
+
 #: Fixed value: what separates words after A-Z have been lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
@@ -87,7 +89,7 @@ def candidates(docs: DataFrame, items: DataFrame, window: int, shingle: int, bro
     tokens = parts[0]
     for p in parts[1:]:
         tokens = tokens.unionByName(p)
-    wanted = _bounded(tokens.select("s", "h").distinct(), rows * window, broadcast_rows)
+    wanted = tokens.select("s", "h").distinct()
     text = docs.select(_key(F.col(id_col), F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("w"))
     found = []
     for s in sizes:
@@ -123,7 +125,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     cands = candidates(docs, items, window, shingle, broadcast_rows, id_col, text_col, item_id, item_text)
     rows = docs.select(_key(F.col(id_col), F.col(text_col)).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        F.col(text_col).alias("text"))
-    joined = rows.join(cands, "key", "left").select("row", "cands", words_of(F.col("text")).alias("w"))
+    cands = cands.select(apart(F.col("key")).alias("found_key"), "cands")
+    joined = rows.join(cands, apart(F.col("key")) == F.col("found_key"), "left").select("row", "cands", words_of(F.col("text")).alias("w"))
     hits = F.filter("cands", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["size"]), " ") == c["phrase"])
     return joined.select("row", F.size("w").cast("long").alias("n_words"),
                          F.when(F.col("cands").isNotNull(), F.array_sort(hits)).alias("hits"))
