@@ -13,17 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.llm.skew import apart
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("hi", "lo").unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-    return (both.join(least, "hi").filter(F.col("lo") > F.col("hi"))
+    least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(apart(F.col("hi")).alias("key"), F.least("hi", "m").alias("m"))
+    return (both.withColumn("key", apart(F.col("hi"))).join(least, "key").filter(F.col("lo") > F.col("hi"))
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    keyed = least.select(apart(F.col("hi")).alias("key"), "m")
+    moved = (edges.withColumn("key", apart(F.col("hi"))).join(keyed, "key").filter(F.col("lo") != F.col("m"))
+             .select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
     return moved.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 

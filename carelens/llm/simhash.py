@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.llm.components import connected_components
+from carelens.llm.skew import apart
 from carelens.llm.words import word_ranges
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -68,7 +69,9 @@ def fingerprint_column(text, shingle: int = SHINGLE):
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64).view(np.int64))
-    return of(text)
+    # Declared nondeterministic so that a filter on the fingerprint (a join's null
+    # test) does not compute it a second time.
+    return of.asNondeterministic()(text)
 
 
 # -- comparison ---------------------------------------------------------------
@@ -279,7 +282,8 @@ def near_duplicate_components(prints: DataFrame, radius: int = RADIUS, bucket: i
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("m"))
-    return labelled.join(first, "root").select("fp", F.col("m.least_id").alias("component_id"), F.col("m.fp").alias("first_fp"))
+    first = first.select(apart(F.col("root")).alias("key"), "m")
+    return labelled.withColumn("key", apart(F.col("root"))).join(first, "key").select("fp", F.col("m.least_id").alias("component_id"), F.col("m.fp").alias("first_fp"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET,
