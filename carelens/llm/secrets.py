@@ -4,8 +4,9 @@ A text is the first layer. Each layer is scanned for the secret patterns, then
 unwrapped: URL escapes and Unicode escapes give the layer's text again with the
 escapes replaced; runs of base64 give the decoded bytes, and compressed bytes
 (gzip, zlib, bzip2, xz, zstandard) what they hold. New layers join the worklist
-until it is empty. A digest of every layer seen keeps a layer from being worked
-on twice, so the loop ends also on texts that decode to themselves.
+until it is empty. A digest of every layer seen (its text and the part of the
+original it came from) keeps a layer from being worked on twice, so the loop ends
+also on texts that decode to themselves, and repeated blocks are all worked on.
 
 A layer knows which part of its parent each of its characters came from, so a
 secret found three layers deep has a span in the original text: exact characters
@@ -208,7 +209,7 @@ def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
     spans are (start, kind number, end, kind with its way)."""
     root = Layer(text or "", "", None, [])
     base = base_matches(root.text)
-    seen, work, extra, layers = {hashlib.blake2b(root.text.encode()).digest()}, deque([root]), set(), 0
+    seen, work, extra, layers = {hashlib.blake2b(f"{(0, len(root.text))}{root.text}".encode()).digest()}, deque([root]), set(), 0
     while work:
         layer = work.popleft()
         layers += 1
@@ -226,7 +227,7 @@ def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
         for new in found:
             if new is None:
                 continue
-            key = hashlib.blake2b(f"{new.to_root(0, 1) if new.how in ('base64', 'packed') else ''}{new.text}".encode()).digest()
+            key = hashlib.blake2b(f"{new.to_root(0, len(new.text))}{new.text}".encode()).digest()
             if key not in seen:
                 seen.add(key)
                 work.append(new)

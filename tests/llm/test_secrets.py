@@ -78,3 +78,14 @@ def test_ends_on_odd_input():
         scan(text)
     loop = "QUtJQQ" * 10
     assert scan(loop)[2] < 50
+
+
+def test_nested_secret_at_two_places():
+    for ways in (["url", "base64"], ["unicode", "base64"], ["quote", "url", "base64"], ["url", "gzip"]):
+        inner = SECRET
+        for way in ways:
+            inner = wrapped(way, inner)
+        text = f"first {inner} then {inner} end"
+        extra = scan(text)[1]
+        for a in (text.index(inner), text.rindex(inner)):
+            assert any(k == 1 and a <= s < e <= a + len(inner) for s, k, e, _ in extra), ways
