@@ -2,8 +2,9 @@
 
 A text is the first layer. Each layer is scanned for the secret patterns, then
 unwrapped: URL escapes and Unicode escapes give the layer's text again with the
-escapes replaced; runs of base64 give the decoded bytes, and compressed bytes
-(gzip, zlib, bzip2, xz, zstandard) what they hold. New layers join the worklist
+escapes replaced; runs of base64 (also wrapped in lines, or glued to other
+characters) give the decoded bytes, and compressed bytes (gzip, zlib, bzip2, xz,
+zstandard) what they hold. New layers join the worklist
 until it is empty. A digest of every layer seen (its text and the part of the
 original it came from) keeps a layer from being worked on twice, so the loop ends
 also on texts that decode to themselves, and repeated blocks are all worked on.
@@ -24,17 +25,18 @@ may hold more than any memory); that documented bound is not met by ordinary dat
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property, partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +53,12 @@ KINDS = ("assign", "access", "hex")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_CHAR, _END = "[A-Za-z0-9+/_-]", r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
+#: Base64, wrapped or not: lines of 16 and more characters; the first and the last may be shorter.
+_BASE64 = re.compile(rf"(?<!{_CHAR})(?:{_CHAR}{{1,15}}+{_END})?{_CHAR}{{16,}}+(?:{_END}{_CHAR}{{16,}}+)*+(?:{_END}{_CHAR}{{1,15}}+)?={{0,2}}")
+_LINE = re.compile(rf"{_CHAR}+={{0,2}}")
+#: How compressed data begins: gzip, zlib, bzip2, xz, zstandard.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 MAX_UNPACKED = 1 << 26
 
 
@@ -68,28 +75,23 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text. ``pieces`` are (start here, start in the parent, length
-    here, length there, decoded), in order and without gaps."""
+    """A text and where it came from. This class is the original, or data that maps
+    to one range ``at`` of its parent as a whole."""
 
-    def __init__(self, text: str, how: str, parent: Layer | None, pieces: list[tuple[int, int, int, int, bool]]):
-        self.text, self.how, self.parent, self.pieces = text, how, parent, pieces
-        self.begins = [p[0] for p in pieces]
+    def __init__(self, text: str, how: str = "", parent: Layer | None = None, at: tuple[int, int] = (0, 0)):
+        self.text, self.how, self.parent, self.at = text, how, parent, at
 
     def decoded(self, start: int, end: int) -> bool:
-        k = max(0, bisect_right(self.begins, start) - 1)
-        while k < len(self.pieces) and self.pieces[k][0] < end:
-            if self.pieces[k][4]:
-                return True
-            k += 1
-        return False
+        return True
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the parent that a range of this text came from."""
+        return self.at
 
     def to_root(self, start: int, end: int) -> tuple[int, int]:
         layer = self
         while layer.parent is not None:
-            a = layer.pieces[bisect_right(layer.begins, start) - 1]
-            b = layer.pieces[bisect_right(layer.begins, end - 1) - 1]
-            start = a[1] if a[4] else a[1] + start - a[0]
-            end = b[1] + b[3] if b[4] else b[1] + end - b[0]
+            start, end = layer.up(start, end)
             layer = layer.parent
         return start, end
 
@@ -101,6 +103,67 @@ class Layer:
         return "/".join(names)
 
 
+class Replaced(Layer):
+    """A layer's text with its escapes decoded. ``pieces`` are (start here, start in
+    the parent, length here, length there, decoded), in order and without gaps."""
+
+    def __init__(self, text: str, how: str, parent: Layer, pieces: list[tuple[int, int, int, int, bool]]):
+        super().__init__(text, how, parent)
+        self.pieces, self.begins = pieces, [p[0] for p in pieces]
+
+    def decoded(self, start: int, end: int) -> bool:
+        k = max(0, bisect_right(self.begins, start) - 1)
+        while k < len(self.pieces) and self.pieces[k][0] < end:
+            if self.pieces[k][4]:
+                return True
+            k += 1
+        return False
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        a = self.pieces[bisect_right(self.begins, start) - 1]
+        b = self.pieces[bisect_right(self.begins, end - 1) - 1]
+        return a[1] if a[4] else a[1] + start - a[0], b[1] + b[3] if b[4] else b[1] + end - b[0]
+
+
+class Run:
+    """A run of base64, joined over line ends: its characters from ``first`` on are
+    decoded. ``lines`` are the (start, end) of its lines in the text."""
+
+    def __init__(self, text: str, lines: list[tuple[int, int]], first: int):
+        self.starts, self.first = [a for a, _ in lines], first
+        self.joined = [0, *accumulate(b - a for a, b in lines)]
+        chars = "".join(text[a:b] for a, b in lines).rstrip("=")[first:].replace("-", "+").replace("_", "/")
+        chars = chars[:len(chars) - (len(chars) % 4 == 1)]
+        self.data = binascii.a2b_base64(chars + "=" * (-len(chars) % 4))
+
+    def _place(self, k: int) -> int:
+        line = min(bisect_right(self.joined, k), len(self.starts)) - 1
+        return self.starts[line] + k - self.joined[line]
+
+    def range(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the text that a range of the bytes came from: whole groups."""
+        last = min(self.joined[-1], self.first + 4 * ((end - 1) // 3) + 4)
+        return self._place(self.first + 4 * (start // 3)), self._place(last - 1) + 1
+
+
+class Based(Layer):
+    """The text of a base64 run."""
+
+    def __init__(self, text: str, parent: Layer, run: Run):
+        super().__init__(text, "base64", parent)
+        self.run = run
+
+    @cached_property
+    def offsets(self) -> Sequence[int]:
+        """The byte that each character begins at, and the end."""
+        if len(self.text) == len(self.run.data):
+            return range(len(self.text) + 1)
+        return array("I", [0, *accumulate(len(c.encode("utf-8")) for c in self.text)])
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        return self.run.range(self.offsets[start], self.offsets[end])
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | None:
     """The layer's text with each run of the pattern decoded, or None."""
     parts, pieces, at, done = [], [], 0, 0
@@ -123,7 +186,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
     if done < len(layer.text):
         pieces.append((at, done, len(layer.text) - done, len(layer.text) - done, False))
         parts.append(layer.text[done:])
-    return Layer("".join(parts), how, layer, pieces)
+    return Replaced("".join(parts), how, layer, pieces)
 
 
 def _url_chars(run: str) -> list[tuple[str, int]] | None:
@@ -173,41 +236,38 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
+def _packed(parent: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], most: int) -> Iterator[Layer]:
+    """What the compressed data among the bytes holds; ``place`` gives the parent's range of a range of bytes."""
+    for m in _MAGIC.finditer(data):
+        inner = _unpacked(data[m.start():], most)
+        text = None
+        while inner and (text := _readable(inner)) is None:
+            inner = _unpacked(inner, most)
+        if text is not None:
+            yield Layer(text, "packed", parent, place(m.start(), len(data)))
+
+
+def _runs(text: str) -> Iterator[Run]:
+    """Every line of base64 from its start, and every block of lines from each of the
+    four places where a group may begin: glued characters may stand before the data."""
+    for m in _BASE64.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m.group())]
+        if len(lines) > 1:
+            yield from (Run(text, [(a, b)], 0) for a, b in lines if b - a >= 16)
+        yield from (Run(text, lines, first) for first in range(4))
+
+
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        text, how, packed = _readable(data), "base64", False
-        while text is None:
-            inner = _unpacked(data, most)
-            if not inner:
-                break
-            data, packed, how = inner, True, "packed"
-            text = _readable(data)
-        if text is None:
-            continue
-        size = m.end() - m.start()
-        if packed:
-            pieces = [(0, m.start(), len(text), size, True)]
-        else:
-            pieces, byte = [], 0
-            for i, c in enumerate(text):
-                width = len(c.encode("utf-8"))
-                first, last = 4 * (byte // 3), min(size, 4 * ((byte + width - 1) // 3) + 4)
-                pieces.append((i, m.start() + first, 1, last - first, True))
-                byte += width
-        yield Layer(text, how, layer, pieces)
+    for run in _runs(layer.text):
+        if (text := _readable(run.data)) is not None:
+            yield Based(text, layer, run)
+        yield from _packed(layer, run.data, run.range, most)
 
 
 def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
     """(base matches, decoded spans, layers): all secrets of one text. Decoded
     spans are (start, kind number, end, kind with its way)."""
-    root = Layer(text or "", "", None, [])
+    root = Layer(text or "")
     base = base_matches(root.text)
     seen, work, extra, layers = {hashlib.blake2b(f"{(0, len(root.text))}{root.text}".encode()).digest()}, deque([root]), set(), 0
     while work:

@@ -89,3 +89,30 @@ def test_nested_secret_at_two_places():
         extra = scan(text)[1]
         for a in (text.index(inner), text.rindex(inner)):
             assert any(k == 1 and a <= s < e <= a + len(inner) for s, k, e, _ in extra), ways
+
+
+def lined(data, width, end):
+    return end.join(data[k:k + width] for k in range(0, len(data), width))
+
+
+def found(text, kind=1):
+    return [(s, e) for s, k, e, _ in scan(text)[1] if k == kind]
+
+
+def test_wrapped_and_glued_base64():
+    import random
+    prose = " ".join(str(random.Random(4).random()) for _ in range(60))
+    for how in ("base64", "gzip", "bz2"):
+        for pad in range(0, 48, 5):
+            for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n    ")):
+                inner = lined(wrapped(how, prose + "+" * pad + SECRET + prose), width, end)
+                for text in (f"data: {inner} end", f"data:\n{inner}\n\nthe end"):
+                    a = text.index(inner)
+                    assert any(a - 80 <= s < e <= a + len(inner) + 80 for s, e in found(text)), (how, pad, width)
+        for glue in ("host/", "key_", "a-", "abc/", "x", "/"):
+            assert how == "base64" or found(glue + wrapped(how, f"x {SECRET} y")), (how, glue)
+    inner = wrapped("base64", "ü" * 40 + SECRET + " " * 30)
+    text = f"k: {lined(inner, 64, chr(10))}."
+    s, e = found(text)[0]
+    got = base64.b64decode(text[s:e].replace("\n", ""))
+    assert KEY.encode() in got and len(got) < len(KEY) + 6
