@@ -8,6 +8,9 @@ zstandard) what they hold. New layers join the worklist
 until it is empty. A digest of every layer seen (its text and the part of the
 original it came from) keeps a layer from being worked on twice, so the loop ends
 also on texts that decode to themselves, and repeated blocks are all worked on.
+Every layer is worked on, readable or not: bytes that are not UTF-8 are read as
+Latin-1. ``n_layers`` counts the text, and the layers that are readable or hold
+a secret.
 
 A layer knows which part of its parent each of its characters came from, so a
 secret found three layers deep has a span in the original text: exact characters
@@ -33,7 +36,6 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, partial
 from itertools import accumulate
@@ -76,10 +78,11 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
 
 class Layer:
     """A text and where it came from. This class is the original, or data that maps
-    to one range ``at`` of its parent as a whole."""
+    to one range ``at`` of its parent as a whole. ``data`` are the bytes of a text
+    that was decoded from bytes."""
 
-    def __init__(self, text: str, how: str = "", parent: Layer | None = None, at: tuple[int, int] = (0, 0)):
-        self.text, self.how, self.parent, self.at = text, how, parent, at
+    def __init__(self, text: str, how: str = "", parent: Layer | None = None, at: tuple[int, int] = (0, 0), data: bytes | None = None):
+        self.text, self.how, self.parent, self.at, self.data = text, how, parent, at, data
 
     def decoded(self, start: int, end: int) -> bool:
         return True
@@ -100,7 +103,7 @@ class Layer:
         while layer.parent is not None:
             names.append(layer.how)
             layer = layer.parent
-        return "/".join(names)
+        return "/".join(filter(None, names))      # data packed twice is one step
 
 
 class Replaced(Layer):
@@ -149,16 +152,17 @@ class Run:
 class Based(Layer):
     """The text of a base64 run."""
 
-    def __init__(self, text: str, parent: Layer, run: Run):
-        super().__init__(text, "base64", parent)
+    def __init__(self, parent: Layer, run: Run):
+        super().__init__(_text(run.data), "base64", parent, data=run.data)
         self.run = run
 
     @cached_property
     def offsets(self) -> Sequence[int]:
         """The byte that each character begins at, and the end."""
-        if len(self.text) == len(self.run.data):
+        if len(self.text) == len(self.data):
             return range(len(self.text) + 1)
-        return array("I", [0, *accumulate(len(c.encode("utf-8")) for c in self.text)])
+        raw = self.data.decode("utf-8", "surrogateescape")
+        return array("I", accumulate((len(c.encode("utf-8", "surrogateescape")) for c in raw), initial=0))
 
     def up(self, start: int, end: int) -> tuple[int, int]:
         return self.run.range(self.offsets[start], self.offsets[end])
@@ -228,23 +232,30 @@ def _unpacked(data: bytes, most: int) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
+_LATIN = {0xDC00 + b: b for b in range(0x80, 0x100)}
+
+
+def _text(data: bytes) -> str:
+    """Bytes as text: UTF-8, and each byte that is not UTF-8 as its Latin-1 character."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return data.decode("utf-8", "surrogateescape").translate(_LATIN)
+
+
+def _readable(data: bytes) -> bool:
+    """Whether bytes are plain text; layers that are not and hold no secret are not counted."""
+    try:
+        return data.decode("utf-8").translate({9: 32, 10: 32, 13: 32}).isprintable()
+    except UnicodeDecodeError:
+        return False
 
 
-def _packed(parent: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], most: int) -> Iterator[Layer]:
+def _packed(parent: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], most: int, how: str = "packed") -> Iterator[Layer]:
     """What the compressed data among the bytes holds; ``place`` gives the parent's range of a range of bytes."""
     for m in _MAGIC.finditer(data):
-        inner = _unpacked(data[m.start():], most)
-        text = None
-        while inner and (text := _readable(inner)) is None:
-            inner = _unpacked(inner, most)
-        if text is not None:
-            yield Layer(text, "packed", parent, place(m.start(), len(data)))
+        if inner := _unpacked(data[m.start():], most):
+            yield Layer(_text(inner), how, parent, place(m.start(), len(data)), inner)
 
 
 def _runs(text: str) -> Iterator[Run]:
@@ -259,38 +270,44 @@ def _runs(text: str) -> Iterator[Run]:
 
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
     for run in _runs(layer.text):
-        if (text := _readable(run.data)) is not None:
-            yield Based(text, layer, run)
+        yield Based(layer, run)
         yield from _packed(layer, run.data, run.range, most)
 
 
+def _children(layer: Layer, most: int) -> Iterator[Layer]:
+    if layer.data is not None and layer.how in ("packed", ""):
+        yield from _packed(layer, layer.data, lambda start, end: (0, len(layer.text)), most, "")
+    for sign, pattern, decode, how in (("%", _URL, _url_chars, "url"), ("\\", _UNICODE, _unicode_chars, "unicode")):
+        if sign in layer.text and (new := _replaced(layer, pattern, decode, how)):
+            yield new
+    yield from _base64_layers(layer, most)
+
+
 def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
     """(base matches, decoded spans, layers): all secrets of one text. Decoded
     spans are (start, kind number, end, kind with its way)."""
     root = Layer(text or "")
     base = base_matches(root.text)
-    seen, work, extra, layers = {hashlib.blake2b(f"{(0, len(root.text))}{root.text}".encode()).digest()}, deque([root]), set(), 0
+    seen, extra, layers = set(), set(), 0
+    work = [iter([root])]
     while work:
-        layer = work.popleft()
-        layers += 1
-        if layer.parent is not None:
-            for start, kind, end in base_matches(layer.text):
-                if layer.decoded(start, end):
-                    a, b = layer.to_root(start, end)
-                    extra.add((a, kind, b, f"{KINDS[kind]}/{layer.way()}"))
-        found = []
-        if "%" in layer.text:
-            found.append(_replaced(layer, _URL, _url_chars, "url"))
-        if "\\u" in layer.text or "\\x" in layer.text:
-            found.append(_replaced(layer, _UNICODE, _unicode_chars, "unicode"))
-        found += _base64_layers(layer, max_unpacked)
-        for new in found:
-            if new is None:
-                continue
-            key = hashlib.blake2b(f"{new.to_root(0, len(new.text))}{new.text}".encode()).digest()
-            if key not in seen:
-                seen.add(key)
-                work.append(new)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        at = layer.to_root(0, len(layer.text)) if layer.text else ()
+        content = layer.text.encode("utf-8", "surrogatepass") if layer.data is None else layer.data
+        key = hashlib.blake2b(f"{at}".encode() + content).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        hits = base_matches(layer.text) if layer.parent is not None else []
+        for start, kind, end in hits:
+            if layer.decoded(start, end):
+                a, b = layer.to_root(start, end)
+                extra.add((a, kind, b, f"{KINDS[kind]}/{layer.way()}"))
+        layers += layer.data is None or bool(hits) or _readable(layer.data)
+        work.append(_children(layer, max_unpacked))
     return base, sorted(extra), layers
 
 

@@ -110,9 +110,24 @@ def test_wrapped_and_glued_base64():
                     a = text.index(inner)
                     assert any(a - 80 <= s < e <= a + len(inner) + 80 for s, e in found(text)), (how, pad, width)
         for glue in ("host/", "key_", "a-", "abc/", "x", "/"):
-            assert how == "base64" or found(glue + wrapped(how, f"x {SECRET} y")), (how, glue)
+            assert found(glue + wrapped(how, f"x {SECRET} y")), (how, glue)
     inner = wrapped("base64", "ü" * 40 + SECRET + " " * 30)
     text = f"k: {lined(inner, 64, chr(10))}."
     s, e = found(text)[0]
     got = base64.b64decode(text[s:e].replace("\n", ""))
     assert KEY.encode() in got and len(got) < len(KEY) + 6
+
+
+def test_layers_that_are_not_readable():
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200b", "\f", "\0", "\x1b[0m", "\x85"):
+        for how in ("base64", "gzip", "bz2"):
+            assert found(f"a {wrapped(how, odd + SECRET + odd)} b"), (odd, how)
+            assert found(f"a {wrapped('base64', wrapped(how, odd + SECRET))} b"), (odd, how)
+    for raw in (b"caf\xe9 " + SECRET.encode(), SECRET.encode() + b"\xff\xfe\x80", "ü".encode() + b"\xfc" + SECRET.encode()):
+        run = base64.b64encode(raw).decode()
+        s, e = found(f"a {run} b")[0]
+        assert KEY.encode() in base64.b64decode(run[s - 2:e - 2]) and e - s <= len(KEY) * 4 / 3 + 8
+        assert found(f"a {base64.b64encode(gzip.compress(raw)).decode()} b")
+    twice = base64.b64encode(zlib.compress(gzip.compress(SECRET.encode()))).decode()
+    assert {w for *_, w in scan(twice)[1]} == {"assign/packed", "access/packed"}
+    assert scan("x " * 9 + "a" * 40)[2] == 1
