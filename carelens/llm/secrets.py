@@ -22,8 +22,12 @@ Spans are ``kind:start:end`` (code points, end exclusive). The kind of a decoded
 one carries its way down, e.g. ``assign/base64/url``.
 
 Defined cases: a null or empty text has no secrets. Repeated rows give repeated
-results. Compressed data is unpacked up to ``max_unpacked`` bytes a run (a bomb
-may hold more than any memory); that documented bound is not met by ordinary data.
+results. Compressed data is unpacked to its end, all members of it, but never more
+than ``max_unpacked`` bytes of it are held at once (a bomb may hold more than any
+memory): it is worked on in pieces, each beginning with the last quarter of the one
+before. What is longer than that quarter (16 MB) inside compressed data is seen in
+parts: a longer secret as parts of it; of compressed data within longer base64
+there, what one piece has of it. Damaged data gives what comes before the damage.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ from functools import cached_property, partial
 from itertools import accumulate
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
@@ -60,8 +65,11 @@ _CHAR, _END = "[A-Za-z0-9+/_-]", r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
 _BASE64 = re.compile(rf"(?<!{_CHAR})(?:{_CHAR}{{1,15}}+{_END})?{_CHAR}{{16,}}+(?:{_END}{_CHAR}{{16,}}+)*+(?:{_END}{_CHAR}{{1,15}}+)?={{0,2}}")
 _LINE = re.compile(rf"{_CHAR}+={{0,2}}")
 #: How compressed data begins: gzip, zlib, bzip2, xz, zstandard.
-_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00"
+                    rb"|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18")
 MAX_UNPACKED = 1 << 26
+#: Bytes of compressed data taken at a time, and of its output.
+STEP, PART, ZSTD_STEP = 1 << 12, 1 << 20, 1 << 8
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -213,23 +221,85 @@ def _unicode_chars(run: str) -> list[tuple[str, int]] | None:
     return None if any(0xD800 <= ord(c) < 0xE000 for c, _ in out) else out
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """What compressed data holds, or None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and not int.from_bytes(data[:2], "big") % 31:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, most)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:most]
-    except Exception:  # damaged data of any of the formats: not a layer
-        return None
-    return None
+def _inflated(d, data: bytes, at: int) -> Iterator[bytes]:
+    """zlib and gzip: one member, and (as the result) where it ends."""
+    rest = b""
+    while not d.eof and (rest or at < len(data)):
+        if not rest:
+            rest = data[at:at + STEP]
+            at += len(rest)
+        yield d.decompress(rest, PART)
+        rest = d.unconsumed_tail
+    if not d.eof:
+        yield d.flush()
+    return at - len(d.unused_data)
+
+
+def _expanded(d, data: bytes, at: int) -> Iterator[bytes]:
+    """bzip2 and xz."""
+    while not d.eof and (not d.needs_input or at < len(data)):
+        step = data[at:at + STEP] if d.needs_input else b""
+        at += len(step)
+        yield d.decompress(step, PART)
+    return at - len(d.unused_data)
+
+
+def _unframed(d, data: bytes, at: int) -> Iterator[bytes]:
+    """zstandard, which has no bound for the output: a small input at a time."""
+    while not d.eof and at < len(data):
+        step = data[at:at + ZSTD_STEP]
+        at += len(step)
+        yield d.decompress(step)
+    return at - len(d.unused_data)
+
+
+def _unpacked(data: bytes, at: int) -> Iterator[bytes]:
+    """What the compressed members (or frames) from ``at`` on hold, in parts of
+    bounded size, and (as the result) where the last ends, or None if it is damaged."""
+    while m := _MAGIC.match(data, at):
+        kind = m[0][:2]
+        try:
+            if m[0][1:] == b"\x2a\x4d\x18":       # a zstandard frame to be skipped
+                at = min(len(data), at + 8 + int.from_bytes(data[at + 4:at + 8], "little"))
+            elif kind == b"\x1f\x8b":
+                at = yield from _inflated(zlib.decompressobj(31), data, at)
+            elif kind[:1] == b"x":
+                at = yield from _inflated(zlib.decompressobj(), data, at)
+            elif kind == b"BZ":
+                at = yield from _expanded(bz2.BZ2Decompressor(), data, at)
+            elif kind == b"\xfd7":
+                at = yield from _expanded(lzma.LZMADecompressor(), data, at)
+            else:
+                at = yield from _unframed(zstandard.ZstdDecompressor().decompressobj(), data, at)
+        except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
+            return None
+        while data[at:at + 1] == b"\0":            # padding between members
+            at += 1
+    return at
+
+
+def _measured(parts: Iterator[bytes]) -> tuple[int, int | None]:
+    """(bytes, result) of parts."""
+    size = 0
+    while True:
+        try:
+            size += len(next(parts))
+        except StopIteration as end:
+            return size, end.value
+
+
+def _pieces(parts: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """The parts as pieces of up to ``most`` bytes. Each begins with the last quarter of the one before."""
+    held, new = bytearray(), 0
+    for part in parts:
+        held += part
+        new += len(part)
+        while len(held) >= most:
+            yield bytes(held[:most])
+            del held[:most - most // 4]
+            new = len(held) - most // 4
+    if new > 0:
+        yield bytes(held)
 
 
 _LATIN = {0xDC00 + b: b for b in range(0x80, 0x100)}
@@ -246,16 +316,20 @@ def _text(data: bytes) -> str:
 def _readable(data: bytes) -> bool:
     """Whether bytes are plain text; layers that are not and hold no secret are not counted."""
     try:
-        return data.decode("utf-8").translate({9: 32, 10: 32, 13: 32}).isprintable()
+        return data.translate(None, b"\t\n\r").decode("utf-8").isprintable()
     except UnicodeDecodeError:
         return False
 
 
 def _packed(parent: Layer, data: bytes, place: Callable[[int, int], tuple[int, int]], most: int, how: str = "packed") -> Iterator[Layer]:
     """What the compressed data among the bytes holds; ``place`` gives the parent's range of a range of bytes."""
-    for m in _MAGIC.finditer(data):
-        if inner := _unpacked(data[m.start():], most):
-            yield Layer(_text(inner), how, parent, place(m.start(), len(data)), inner)
+    at = 0
+    while m := _MAGIC.search(data, at):
+        start = at = m.start()
+        size, end = _measured(_unpacked(data, start))
+        for piece in _pieces(_unpacked(data, start), most) if size else ():
+            yield Layer(_text(piece), how, parent, place(start, end or len(data)), piece)
+        at = end or start + 1
 
 
 def _runs(text: str) -> Iterator[Run]:

@@ -2,10 +2,13 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
 
+import zstandard
+
 from carelens.llm.secrets import base_matches, scan, scan_secrets
 
 from .util import documents, some_texts
@@ -131,3 +134,28 @@ def test_layers_that_are_not_readable():
     twice = base64.b64encode(zlib.compress(gzip.compress(SECRET.encode()))).decode()
     assert {w for *_, w in scan(twice)[1]} == {"assign/packed", "access/packed"}
     assert scan("x " * 9 + "a" * 40)[2] == 1
+
+
+def test_all_members_and_all_of_long_data():
+    filler, secret = b"plain words " * 500, SECRET.encode()
+    zstd = zstandard.ZstdCompressor().compress
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstd):
+        for data in (pack(filler) + pack(filler) + pack(secret), pack(filler) + b"\0" * 4 + pack(secret), pack(filler) + zstd(secret),
+                     pack(filler + secret[:9]) + pack(secret[9:])):
+            run = base64.b64encode(data).decode()
+            assert [(2, 2 + len(run))] == found(f"a {run} b"), pack
+        for size in range(1000, 1100, 7):      # wherever pieces end, the secret is whole in one
+            run = base64.b64encode(pack(filler + secret + filler)).decode()
+            assert len([1 for _, k, _, _ in scan(f"a {run} b", size)[1] if k == 1]) == 1
+    run = base64.b64encode(b"\x50\x2a\x4d\x18\x03\0\0\0abc" + zstd(secret)).decode()
+    assert found(f"a {run} b")
+    for pack in (gzip.compress, zlib.compress):     # cut short
+        assert found(f"a {base64.b64encode(pack(secret + filler)[:-9]).decode()} b")
+
+
+def test_data_beyond_the_piece_size():
+    packer = zlib.compressobj(1)
+    data = b"".join(packer.compress(b"\n" * (1 << 20)) for _ in range(70)) + packer.compress(SECRET.encode()) + packer.flush()
+    run = base64.b64encode(data).decode()
+    assert found(f"a {run} b")
+    assert scan(base64.b64encode(zlib.compress("é".encode() * 999 + SECRET.encode())).decode(), 1001)[1]
