@@ -4,7 +4,7 @@ A text is the first layer. Each layer is scanned for the secret patterns, then
 unwrapped: URL escapes and Unicode escapes give the layer's text again with the
 escapes replaced; runs of base64 (also wrapped in lines, or glued to other
 characters) give the decoded bytes, and compressed bytes (gzip, zlib, bzip2, xz,
-zstandard) what they hold. New layers join the worklist
+zstandard; in base64 or written as URL or Unicode escapes) what they hold. New layers join the worklist
 until it is empty. A digest of every layer seen (its text and the part of the
 original it came from) keeps a layer from being worked on twice, so the loop ends
 also on texts that decode to themselves, and repeated blocks are all worked on.
@@ -60,6 +60,13 @@ KINDS = ("assign", "access", "hex")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
+#: The same, each byte for itself: escapes of compressed data (some byte is not ASCII text); short ones of Python, C and JSON.
+_URL_BINARY = re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]")
+_UNICODE_BINARY = re.compile(r"\\x[0189A-Fa-f]|\\u00[0189A-Fa-f]|\\u\{")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
+_SHORT = {"\\" + k: v for k, v in zip("abfnrtv0\\'\"/", "\a\b\f\n\r\t\v\0\\'\"/", strict=True)}
+_ESCAPE = re.compile(rf"\\[abfnrtv0\\'\"/]|{_UNICODE.pattern}")
+_BYTES = re.compile("[\0-\xff]+")
 _CHAR, _END = "[A-Za-z0-9+/_-]", r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
 #: Base64, wrapped or not: lines of 16 and more characters; the first and the last may be shorter.
 _BASE64 = re.compile(rf"(?<!{_CHAR})(?:{_CHAR}{{1,15}}+{_END})?{_CHAR}{{16,}}+(?:{_END}{_CHAR}{{16,}}+)*+(?:{_END}{_CHAR}{{1,15}}+)?={{0,2}}")
@@ -67,6 +74,8 @@ _LINE = re.compile(rf"{_CHAR}+={{0,2}}")
 #: How compressed data begins: gzip, zlib, bzip2, xz, zstandard.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00"
                     rb"|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18")
+#: What "surrogateescape" makes of bytes that are not UTF-8, and their Latin-1 characters.
+_LATIN = {0xDC00 + b: b for b in range(0x80, 0x100)}
 MAX_UNPACKED = 1 << 26
 #: Bytes of compressed data taken at a time, and of its output.
 STEP, PART, ZSTD_STEP = 1 << 12, 1 << 20, 1 << 8
@@ -181,15 +190,13 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
     parts, pieces, at, done = [], [], 0, 0
     for m in pattern.finditer(layer.text):
         chars = decode(m.group())
-        if chars is None:
-            continue
         if m.start() > done:
             pieces.append((at, done, m.start() - done, m.start() - done, False))
             parts.append(layer.text[done:m.start()])
             at += m.start() - done
         old = m.start()
-        for char, width in chars:
-            pieces.append((at, old, 1, width, True))
+        for char, width, decoded in chars:
+            pieces.append((at, old, 1, width, decoded))
             parts.append(char)
             at, old = at + 1, old + width
         done = m.end()
@@ -201,24 +208,43 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, how: str) -> Layer | No
     return Replaced("".join(parts), how, layer, pieces)
 
 
-def _url_chars(run: str) -> list[tuple[str, int]] | None:
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return [(c, 3 * len(c.encode("utf-8"))) for c in text]
+Chars = list[tuple[str, int, bool]]
+
+
+def _url_chars(run: str) -> Chars:
+    """(character, its width in the run, whether it is decoded); bytes that are not
+    UTF-8 are Latin-1."""
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [(c.translate(_LATIN), 3 * len(c.encode("utf-8", "surrogateescape")), True) for c in text]
+
 
+def _url_bytes(run: str) -> Chars:
+    """Each byte as its Latin-1 character; a plus (of a form) as a space."""
+    return [(" ", 1, True)] if run == "+" else [(chr(b), 3, True) for b in bytes.fromhex(run.replace("%", ""))]
 
-def _unicode_chars(run: str) -> list[tuple[str, int]] | None:
-    out: list[tuple[str, int]] = []
+
+def _unicode_chars(run: str) -> Chars:
+    """As ``_url_chars``; escapes that are no character stay."""
+    out: list[tuple[int, str]] = []
     for m in _UNICODE_ONE.finditer(run):
-        code, width = int(m[1] or m[2] or m[3], 16), m.end() - m.start()
-        if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1][0]) < 0xDC00:
-            code, width = 0x10000 + ((ord(out[-1][0]) - 0xD800) << 10) + code - 0xDC00, width + out.pop()[1]
-        if code > 0x10FFFF:
-            return None
-        out.append((chr(code), width))
-    return None if any(0xD800 <= ord(c) < 0xE000 for c, _ in out) else out
+        code, escape = int(m[1] or m[2] or m[3], 16), m[0]
+        if 0xDC00 <= code < 0xE000 and out and 0xD800 <= out[-1][0] < 0xDC00:
+            high, before = out.pop()
+            code, escape = 0x10000 + ((high - 0xD800) << 10) + code - 0xDC00, before + escape
+        out.append((code, escape))
+    chars: Chars = []
+    for code, escape in out:
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            chars += [(c, 1, False) for c in escape]
+        else:
+            chars.append((chr(code), len(escape), True))
+    return chars
+
+
+def _escaped_bytes(run: str) -> Chars:
+    if (plain := _SHORT.get(run)) is not None:
+        return [(plain, 2, True)]
+    return _unicode_chars(run)
 
 
 def _inflated(d, data: bytes, at: int) -> Iterator[bytes]:
@@ -302,9 +328,6 @@ def _pieces(parts: Iterator[bytes], most: int) -> Iterator[bytes]:
         yield bytes(held)
 
 
-_LATIN = {0xDC00 + b: b for b in range(0x80, 0x100)}
-
-
 def _text(data: bytes) -> str:
     """Bytes as text: UTF-8, and each byte that is not UTF-8 as its Latin-1 character."""
     try:
@@ -348,12 +371,28 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[Layer]:
         yield from _packed(layer, run.data, run.range, most)
 
 
+def _packed_views(layer: Layer, most: int) -> Iterator[Layer]:
+    """What compressed data holds whose bytes are written as URL or Unicode escapes.
+    Bytes that are letters stand in it as they are, so the whole text is read."""
+    views = []
+    if _URL_BINARY.search(layer.text):
+        views.append(_replaced(layer, _URL, _url_bytes, "url"))
+        if "+" in layer.text:
+            views.append(_replaced(layer, _FORM, _url_bytes, "url"))
+    if _UNICODE_BINARY.search(layer.text):
+        views.append(_replaced(layer, _ESCAPE, _escaped_bytes, "unicode"))
+    for view in filter(None, views):
+        for m in _BYTES.finditer(view.text):
+            yield from _packed(view, m[0].encode("latin-1"), lambda start, end, at=m.start(): (at + start, at + end), most)
+
+
 def _children(layer: Layer, most: int) -> Iterator[Layer]:
     if layer.data is not None and layer.how in ("packed", ""):
         yield from _packed(layer, layer.data, lambda start, end: (0, len(layer.text)), most, "")
     for sign, pattern, decode, how in (("%", _URL, _url_chars, "url"), ("\\", _UNICODE, _unicode_chars, "unicode")):
         if sign in layer.text and (new := _replaced(layer, pattern, decode, how)):
             yield new
+    yield from _packed_views(layer, most)
     yield from _base64_layers(layer, most)
 
 

@@ -5,7 +5,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import zstandard
 
@@ -159,3 +159,25 @@ def test_data_beyond_the_piece_size():
     run = base64.b64encode(data).decode()
     assert found(f"a {run} b")
     assert scan(base64.b64encode(zlib.compress("é".encode() * 999 + SECRET.encode())).decode(), 1001)[1]
+
+
+def test_compressed_data_as_escapes():
+    import json
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        for seed in range(4):
+            data = pack(f"{seed} a b {SECRET} plain words {seed}".encode())
+            for inner in ("".join(f"%{b:02x}" for b in data), quote(data), quote_plus(data), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1],
+                          json.dumps(data.decode("latin-1")), "".join(f"\\u{{{b:x}}}" for b in data), quote(quote(data))):
+                text = f"Ünd {inner} and 1+1 = 100%25 \\x41 東京 end"
+                assert any(4 <= s < e <= 4 + len(inner) for s, e in found(text)), (pack, inner)
+    assert {w for *_, w in scan(quote(gzip.compress(SECRET.encode()), safe=""))[1]} == {"assign/packed/url", "access/packed/url"}
+
+
+def test_valid_parts_of_mixed_runs():
+    latin = "".join(f"%{b:02X}" for b in ("ü" + SECRET + "é").encode("latin-1"))
+    assert [latin[s:e] for s, e in found(latin)] == ["".join(f"%{b:02X}" for b in KEY.encode())]
+    for odd in ("\\ud800", "\\u{110000}", "\\udc00\\ud83d"):
+        text = odd + wrapped("unicode", SECRET) + odd
+        assert [text[s:e] for s, e in found(text)] == [wrapped("unicode", KEY)]
+    plain = "\\ud800" + "deadbeef" * 4 + "\\u0041"
+    assert scan(plain)[1] == []
