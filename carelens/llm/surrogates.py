@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from hashlib import blake2b
+from ipaddress import ip_address
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,21 +63,30 @@ RANGES = ((0x430, 0x44F), (0x410, 0x42F), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x5D0
 
 _TITLES = {t: g for g, names in ADDRESS.items() for t in names}
 _NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 PATTERNS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?!\w|:[\w:]|\.[0-9])"
+                        rf"|(?<![\w:])(?:{_GROUPS})?::(?:{_GROUPS})?(?!\w|:[\w:]|\.[0-9])")),
     ("ipv4", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")),
-    ("card", re.compile(r"(?<![\w-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w-])[0-9]{4}(?:(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{4,5})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    # Phones: with a country code; with a trunk 0 or of ten digits; of short groups.
+    ("phone", re.compile(r"(?<![\w.+-])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,10}(?:[ ./-][0-9]{2,10}){0,6}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w.+-])(?:0[0-9]{2,5} ?/ ?[0-9]{2,10}(?:[ -][0-9]{2,10}){0,3}|0[0-9]{10,11}"
+                         r"|(?:\([0-9]{2,6}\)[ .-]?)?[0-9]{2,10}(?:[ .-][0-9]{2,10}){0,5})(?![\w-]|\.[0-9])")),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,5}(?![\w-])"
                          r"|(?<![\w.+-])\+[0-9]{7,15}(?!\w)")),
     ("name", re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(_TITLES, key=len, reverse=True)))})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME})?)")),
 )
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_SHORT_GROUPS = re.compile(r"(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,5}")
+_DAY = re.compile(r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?= )")
+_DECIMAL = re.compile(r"[0-9]+\.[0-9]+")
 _DATE = re.compile(r"(19|20)[0-9]{2}[-. ][0-9]{2}([-. ][0-9]{2,4})?|[0-9]{2}[-. ][0-9]{2}[-. ](19|20)?[0-9]{2}|(19|20)[0-9]{2}[- ](19|20)[0-9]{2}")
 #: A text without a match of this (Java) pattern holds no entity. The look-ahead
 #: lets most characters fail one class instead of every alternative.
-CANDIDATE = (r"(?=[@0-9:A-Zг])(?:@|[0-9][0-9 ().-]{4,}[0-9]|:[0-9A-Fa-f]{1,4}:|[A-Z]{2}[0-9]{2}|"
+CANDIDATE = (r"(?=[@0-9:A-Zг])(?:@|[0-9][0-9 ()./-]{4,}[0-9]|:(?::|[0-9A-Fa-f]{1,4}:)|[A-Z]{2}[0-9]{2}|"
              + "|".join(sorted(_TITLES)) + ")")
 
 
@@ -94,14 +104,33 @@ def _canonical(kind: str, text: str) -> str | None:
     if kind == "ipv4":
         return text if all(int(p) < 256 and (p == "0" or p[0] != "0") for p in text.split(".")) else None
     if kind == "ipv6":
-        return text.lower()
+        # Without a digit and of one or two groups (a::b) it is a name of some program.
+        if not digits and len(re.findall("[A-Fa-f]+", text)) < 3:
+            return None
+        try:
+            address = ip_address(text)
+        except ValueError:
+            return None
+        return None if address.is_unspecified or address.is_loopback else address.compressed
     if kind == "card":
         return digits if 13 <= len(digits) <= 19 else None
     if kind == "ssn":
         return digits
     if not 7 <= len(digits) <= 15 or _DATE.fullmatch(text):
         return None
-    return ("+" if text.lstrip("(").startswith("+") else "") + digits
+    if text.startswith("+"):
+        return "+" + digits if len(digits) <= 11 or text[1] not in "17" else None
+    national = digits.startswith("00") or digits[0] == "0" and len(digits) <= 12 or len(digits) == 10
+    return digits if _SHORT_GROUPS.fullmatch(text) or national and not _DECIMAL.fullmatch(text) else None
+
+
+def _phone(text: str) -> tuple[int, str | None]:
+    """(end, canonical form) of the longest number that groups of digits begin with:
+    other numbers may follow it. Without one, the end of the first group (or of a date)."""
+    if day := _DAY.match(text):
+        return day.end(), None
+    ends = [m.end() + (text[m.end():m.end() + 1] == ")") for m in re.finditer("[0-9]+", text)]
+    return next(((e, canon) for e in reversed(ends) if (canon := _canonical("phone", text[:e]))), (ends[0], None))
 
 
 def _script(name: str) -> str:
@@ -137,9 +166,19 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         b = a + len(text[a:b].rstrip("-"))
         take(a, b, "email", text[a:b].lower())
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
             if kind != "name":
-                take(m.start(), m.end(), kind, _canonical(kind, m[0]))
+                if kind != "phone":
+                    take(m.start(), at, kind, _canonical(kind, m[0]))
+                elif taken[m.start()]:
+                    at = taken.find(0, m.start()) % (len(text) + 1)
+                else:
+                    other = taken.find(1, m.start(), at)
+                    end, canon = _phone(m[0] if other < 0 else text[m.start():other])
+                    at = m.start() + end
+                    take(m.start(), at, kind, canon)
                 continue
             parts = [(m.start(2) + p.start(), p[0]) for p in re.finditer(_NAME, m[2])]
             for k, (at, part) in enumerate(parts):
@@ -247,13 +286,14 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ipv4":
         return _ipv4(canon, key, tweak)
     if kind == "ipv6":
-        size = [len(p) for p in canon.split(":")]
-        x = permuted(int(canon.replace(":", ""), 16), 16 ** sum(size), key, f"{tweak}|{size}")
+        # Drawn anew, groups may grow: short ones have few values.
+        size = [len(p) and (4 if attempt else len(p)) for p in canon.split(":")]
+        x = permuted(int("".join(p.zfill(n) for p, n in zip(canon.split(":"), size, strict=True)), 16), 16 ** sum(size), key, f"{tweak}|{size}")
         digits, out = f"{x:0{sum(size)}x}", []
         for n in size:
             out.append(digits[:n])
             digits = digits[n:]
-        return ":".join(out)
+        return ip_address(":".join(out)).compressed
     if kind == "phone":
         plus = canon.startswith("+")
         keep = 1 + (1 if canon[1] in "17" else 2) if plus else int(canon[0] == "0")
@@ -285,6 +325,11 @@ def rendered(kind: str, mention: str, canon: str, replacement: str) -> str:
         return "".join(out)
     if kind.startswith(("given", "family")):
         return replacement.upper() if len(mention) > 1 and mention.isupper() else replacement[0].upper() + replacement[1:]
+    if kind == "ipv6":
+        if "::" not in mention:
+            groups = ip_address(replacement).exploded.split(":")
+            replacement = ":".join(f"{int(r, 16):0{len(g)}x}" for r, g in zip(groups, mention.split(":"), strict=True))
+        return replacement.upper() if mention.isupper() else replacement
     if len(mention) == len(replacement):
         return "".join(r.upper() if c.isupper() else r for c, r in zip(mention, replacement, strict=True))
     return replacement

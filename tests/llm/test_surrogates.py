@@ -96,3 +96,35 @@ def test_odd_texts(text):
         assert rendered(kind, text[a:b], canon, surrogate(kind, canon, KEY))
     java_digits = re.compile(S.CANDIDATE)
     assert not mentions(text) or java_digits.search(text)
+
+
+PHONES = ("+49 170 1234567", "+44 20 79460958", "030 12345678", "5551234567", "+33 1 23 45 67 89", "+49 (0)30 1234567", "(030) 12345678", "030/1234567",
+          "015112345678", "0049 170 1234567", "+86 10 1234 5678", "555 1234567", "+41 44 6681800", "+1 (017) 555-7713", "555-123-4567")
+OTHERS = (("2001:db8::1", "ipv6"), ("fe80::1ff:fe23:4567:890a", "ipv6"), ("2001:DB8::FF00:42:8329", "ipv6"), ("2001:db8::", "ipv6"),
+          ("2001:0db8:0000:0000:0000:0000:0000:0001", "ipv6"), ("3782 822463 10005", "card"), ("3782-822463-10005", "card"), ("378282246310005", "card"))
+
+
+@pytest.mark.parametrize("entity,kind", [*((p, "phone") for p in PHONES), *OTHERS])
+def test_numbers_and_addresses_of_other_forms(entity, kind):
+    for text in (f"call {entity} now", f"{entity}, or:", f"({entity}).", f"x: {entity}"):
+        got = mentions(text)
+        assert [(text[a:b], k) for a, b, k, _ in got] == [(entity, kind)]
+        assert re.search(S.CANDIDATE, text)
+    canon = got[0][3]
+    new = rendered(kind, entity, canon, surrogate(kind, canon, KEY))
+    assert new != entity and mentions(f"x {new}")[0][2] == kind
+    if kind != "ipv6":
+        assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", entity)
+    if kind == "card":
+        assert luhn_ok(re.sub(r"\D", "", new))
+
+
+def test_forms_that_are_none():
+    for text in ("pi is 3.1415926535 or 1234567.890", "on 01/02/2024 or 01.02.2024", "1 200 000", "std::add a::b :: ::1 12:30:45", "12345678 rows", "123456 789012"):
+        assert mentions(text) == [], text
+    text = "2001:DB8::1 is 2001:0db8:0:0:0:0:0:1; +1 555 123 4567 555 123 4567"
+    assert len({c for *_, k, c in mentions(text) if k == "ipv6"}) == 1
+    assert [text[a:b] for a, b, k, _ in mentions(text) if k == "phone"] == ["+1 555 123 4567", "555 123 4567"]
+    for text, phone in (("room 12 5551234567", "5551234567"), ("5551234567 12 rooms", "5551234567"), ("030 12345678 20 Uhr", "030 12345678"),
+                        ("2024-01-15 030 12345678", "030 12345678"), ("+49 170 1234567 123456 x", "+49 170 1234567")):
+        assert [text[a:b] for a, b, k, _ in mentions(text)] == [phone], text
