@@ -62,7 +62,13 @@ RANGES = ((0x430, 0x44F), (0x410, 0x42F), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x5D0
           (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 _TITLES = {t: g for g, names in ADDRESS.items() for t in names}
-_NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_TITLE = f"(?:{'|'.join(map(re.escape, sorted(_TITLES, key=len, reverse=True)))})"
+_UPPER = r"[^\W\d_a-zà-öø-ÿа-я]"
+_INITIALS = rf"(?:{_UPPER}(?:\.-?[ \t]*|[ \t]+)){{0,4}}"
+_NAME = rf"{_UPPER}[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: A word of a name, with the initials and the particle before it. No title is a name.
+_WORD = (rf"{_INITIALS}(?:(?:von|van|de|del|di|da|dos|du)(?:[ \t]+(?:der|den|la))?[ \t]+)?"
+         rf"(?!{_TITLE}(?!\w)){_NAME}")
 _GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 PATTERNS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -77,7 +83,7 @@ PATTERNS = (
                          r"|(?:\([0-9]{2,6}\)[ .-]?)?[0-9]{2,10}(?:[ .-][0-9]{2,10}){0,5})(?![\w-]|\.[0-9])")),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,5}(?![\w-])"
                          r"|(?<![\w.+-])\+[0-9]{7,15}(?!\w)")),
-    ("name", re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(_TITLES, key=len, reverse=True)))})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME})?)")),
+    ("name", re.compile(rf"(?<!\w)({_TITLE}(?:\.?[ \t]+{_TITLE}(?!\w))*)\.?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,3}})")),
 )
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _SHORT_GROUPS = re.compile(r"(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,5}")
@@ -181,11 +187,12 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                     take(m.start(), at, kind, canon)
                 continue
             parts = [(m.start(2) + p.start(), p[0]) for p in re.finditer(_NAME, m[2])]
-            for k, (at, part) in enumerate(parts):
-                given = len(parts) > 1 and k == 0
-                label = f"given-{_TITLES[m[1]]}-{_script(part)}" if given else f"family-{_script(part)}"
+            genders = [_TITLES[t] for t in re.findall(_TITLE, m[1])]
+            gender = next((g for g in genders if g != "u"), "u")
+            for k, (begin, part) in enumerate(parts):
+                label = f"given-{gender}-{_script(part)}" if k < len(parts) - 1 else f"family-{_script(part)}"
                 label = names.setdefault(part, label)
-                take(at, at + len(part), label, part.casefold())
+                take(begin, begin + len(part), label, part.casefold())
     if names:
         alone = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)")
         for m in alone.finditer(text):

@@ -128,3 +128,17 @@ def test_forms_that_are_none():
     for text, phone in (("room 12 5551234567", "5551234567"), ("5551234567 12 rooms", "5551234567"), ("030 12345678 20 Uhr", "030 12345678"),
                         ("2024-01-15 030 12345678", "030 12345678"), ("+49 170 1234567 123456 x", "+49 170 1234567")):
         assert [text[a:b] for a, b, k, _ in mentions(text)] == [phone], text
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Herr Dr. Müller kam", {"Müller": "family-latin"}), ("Prof. Dr. Anna Schmidt", {"Anna": "given-u-latin", "Schmidt": "family-latin"}),
+    ("Frau Prof. Dr. Anna Schmidt", {"Anna": "given-f-latin", "Schmidt": "family-latin"}), ("Dr. Mrs. Anna Berg", {"Anna": "given-f-latin", "Berg": "family-latin"}),
+    ("Mr. John F. Kennedy spoke", {"John": "given-m-latin", "Kennedy": "family-latin"}), ("Mr J.F. Kennedy", {"Kennedy": "family-latin"}),
+    ("Mr J F Kennedy", {"Kennedy": "family-latin"}), ("Herr Karl-Heinz von der Berg", {"Karl-Heinz": "given-m-latin", "Berg": "family-latin"}),
+    ("Mrs Anna Maria Lopez and", {"Anna": "given-f-latin", "Maria": "given-f-latin", "Lopez": "family-latin"}),
+    ("Mr. Smith Mrs. Jones", {"Smith": "family-latin", "Jones": "family-latin"}), ("г-н Dr Иван Петров", {"Иван": "given-m-cyrillic", "Петров": "family-cyrillic"}),
+    ("Mr. Drew and I met", {"Drew": "family-latin"}), ("Dr. Dr. and Prof.", {})])
+def test_titles_initials_and_long_names(text, names):
+    text += ". A Dr stays"
+    assert {text[a:b]: k for a, b, k, _ in mentions(text)} == names
+    assert not names or re.search(S.CANDIDATE, text)
