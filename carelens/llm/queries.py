@@ -248,3 +248,57 @@ SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT}::DOUBLE AND {within
 
 
 ORACLES["op1_repetition"] = _repetition_twin()
+
+
+@_query
+def op12_merkle(spark, sf_dir):
+    """Every document's proof against the manifest, a third of them with tampered texts."""
+    from carelens.llm.merkle import manifest_proofs
+    out = manifest_proofs(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", F.col("siblings").alias("proof_sha256"), "folded_root", "verified")
+
+
+def _merkle_twin(levels: int = 7, top_levels: int = 3) -> str:
+    """Trees of at most 8^levels rows a language and 8^top_levels languages, level by level."""
+    def digest(text):
+        fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+    def tree(name, start, depth):
+        out = f"{name}0 AS ({start})"
+        for k in range(depth):
+            out += f""",
+{name}{k}s AS (SELECT *, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef,
+  coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft
+  FROM {name}{k} WINDOW r AS (PARTITION BY g, pos // 8 ORDER BY pos)),
+{name}{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h,
+  (any_value(m) + 7) // 8 AS m FROM {name}{k} GROUP BY g, pos // 8)"""
+        return out
+
+    def folds(name, state, depth, key, pos):
+        out = ""
+        for k in range(depth):
+            out += f""",
+{state}{k + 1} AS (SELECT f.* REPLACE (CASE WHEN m > 1 THEN sha256(bef || f.fold || aft) ELSE f.fold END AS fold, f.proof || bef || aft AS proof)
+  FROM {state}{k} f JOIN {name}{k}s s ON s.g = f.{key} AND s.pos = f.{pos} // {8 ** k})"""
+        return out
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {byte}), 4294967295)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('v' || lang, 'n') AS g, {digest('text')} AS leaf,
+                  CASE WHEN {crc} % 3 = 0 THEN {digest(low)} ELSE {digest('text')} END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM d),
+{tree('t', 'SELECT g, pos, leaf AS h, m FROM p', levels)},
+{tree('u', "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS m FROM t" + str(levels), top_levels)},
+names AS (SELECT g AS name, row_number() OVER (ORDER BY g) - 1 AS place, '' AS top FROM t{levels}),
+f0 AS (SELECT doc_id, leaf, g, pos, other AS fold, '' AS proof FROM p){folds('t', 'f', levels, 'g', 'pos')},
+e0 AS (SELECT f.*, place, top FROM f{levels} f JOIN names ON name = g){folds('u', 'e', top_levels, 'top', 'place')}
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.h AS verified
+FROM e{top_levels} e JOIN t{levels} t ON t.g = e.g CROSS JOIN u{top_levels} u
+"""
+
+
+ORACLES["op12_merkle"] = _merkle_twin()
