@@ -250,6 +250,16 @@ SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT}::DOUBLE AND {within
 ORACLES["op1_repetition"] = _repetition_twin()
 
 
+@_query
+def op11_alignment(spark, sf_dir):
+    """Byte-level BPE against piece BPE: groups, links and their counts of every document."""
+    import public_tokenizers
+
+    from carelens.llm.alignment import alignment_counts
+    return alignment_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op12_merkle(spark, sf_dir):
     """Every document's proof against the manifest, a third of them with tampered texts."""
@@ -302,3 +312,26 @@ FROM e{top_levels} e JOIN t{levels} t ON t.g = e.g CROSS JOIN u{top_levels} u
 
 
 ORACLES["op12_merkle"] = _merkle_twin()
+
+
+@_query
+def op13_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that repeat fifty at a time from a smaller id."""
+    from carelens.llm.suffixes import remove_byte_repeats
+    return remove_byte_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLES["op13_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS phrase
+      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+m AS (SELECT phrase, min(doc_id) AS first_id FROM s GROUP BY phrase),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN m USING (phrase) WHERE doc_id > first_id),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS spans
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+b AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM g)),
+k AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS kept FROM b ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
