@@ -151,9 +151,9 @@ def groups_text(found: Aligned, size: int, n: int) -> list[str]:
     ahead = np.append(key[1:], -1)
     mark = np.where(ahead == key, 0, np.where((ahead == key + 1) & (key % 2 == 0), 1, 2))
     index = (ids + mark * size).tolist()
-    stops = np.cumsum(np.bincount(found.doc_a, minlength=n) + np.bincount(found.doc_b, minlength=n)).tolist()
+    cuts = [0, *np.cumsum(np.bincount(found.doc_a, minlength=n) + np.bincount(found.doc_b, minlength=n)).tolist()]
     words = _decimals(size)
-    return ["".join(map(words.__getitem__, index[x:y]))[:-1] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+    return ["".join(map(words.__getitem__, index[x:y]))[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[list[tuple]]:

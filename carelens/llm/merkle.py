@@ -162,9 +162,11 @@ def _numbered_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def numbered(leaves: DataFrame, order: Sequence[str] = ("id", "digest", "other")) -> DataFrame:
     """(tree, n, lo, hi, id, digest, other) from (tree, id, digest, other): leaves lo
-    to hi (exclusive) of the n of a tree are equal rows, in ``order``."""
+    to hi (exclusive) of the n of a tree are equal rows, in ``order``. The ranges are
+    cut at a short beginning of the digest, as their bounds are sampled to the driver."""
     counted = leaves.groupBy("tree", "id", "digest", "other").agg(F.count(F.lit(1)).alias("copies"))
-    placed = (counted.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    ranges = [F.substring(c, 1, 8) if c == "digest" else F.col(c) for c in order[:2]]
+    placed = (counted.repartitionByRange("tree", *ranges).sortWithinPartitions("tree", *order)
               .select(F.spark_partition_id().alias("part"), "tree", "id", "digest", "other", "copies")
               .mapInArrow(_numbered_inside, PLACED).checkpoint())
     earlier = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

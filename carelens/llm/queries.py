@@ -323,15 +323,18 @@ def op13_suffix_dedup(spark, sf_dir):
 
 ORACLES["op13_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS phrase
-      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+c AS (SELECT doc_id, at, substr(x, 2 * at + 1, 2 * 249) AS y
+      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 200)) AS at FROM d WHERE len(x) >= 100)),
+s AS (SELECT doc_id, at + j AS i, substr(y, 2 * j + 1, 100) AS phrase FROM (SELECT *, unnest(range(0, len(y) // 2 - 49)) AS j FROM c)),
 m AS (SELECT phrase, min(doc_id) AS first_id FROM s GROUP BY phrase),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN m USING (phrase) WHERE doc_id > first_id),
-g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS spans
-      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
-b AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM g)),
-k AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS kept FROM b ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(kept, '') END)) AS kept_sha256
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN m USING (phrase) WHERE doc_id > first_id),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+between AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS z FROM spans),
+g AS (SELECT d.doc_id, count(*) AS spans, sum(b - a) AS n,
+             string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY run) || substr(any_value(x), 2 * max(b) + 1) AS kept
+      FROM between JOIN d ON d.doc_id = between.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
