@@ -323,9 +323,9 @@ def op13_suffix_dedup(spark, sf_dir):
 
 ORACLES["op13_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-c AS (SELECT doc_id, at, substr(x, 2 * at + 1, 2 * 249) AS y
-      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 200)) AS at FROM d WHERE len(x) >= 100)),
-s AS (SELECT doc_id, at + j AS i, substr(y, 2 * j + 1, 100) AS phrase FROM (SELECT *, unnest(range(0, len(y) // 2 - 49)) AS j FROM c)),
+c AS (SELECT doc_id, base, substr(x, 2 * base + 1, 2 * 249) AS y
+      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49, 200)) AS base FROM d WHERE len(x) >= 100)),
+s AS (SELECT doc_id, base + j AS i, substr(y, 2 * j + 1, 100) AS phrase FROM (SELECT *, unnest(range(0, len(y) // 2 - 49)) AS j FROM c)),
 m AS (SELECT phrase, min(doc_id) AS first_id FROM s GROUP BY phrase),
 gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN m USING (phrase) WHERE doc_id > first_id),
 runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),

@@ -3,14 +3,17 @@
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document
 with a smaller id. Strings lie inside one document, and are judged on the input.
 
-1. Filter. Every window of LENGTH bytes has an anchor, the least hash of its ``CORE``-
+The texts are stored once, bucketed by a row number, and only the stored copy is
+read: the four steps that need texts join it without moving it.
+
+1. Copies of a whole text are settled by digest: a copy with a greater id loses all.
+   One row of each text goes on.
+2. Filter. Every window of LENGTH bytes has an anchor, the least hash of its ``CORE``-
    byte runs; neighbouring windows with one anchor are a stretch. Equal windows have
    equal anchors, so a stretch can only matter if another text has its anchor. A task
    asks for each anchor of its slice of texts once, packed in binary columns, whatever
    number of its texts hold it; what a slice shares inside is known there. So a
    hot anchor costs a row entry per slice, not per document.
-2. Copies of a whole text are settled by digest: a copy with a greater id loses all.
-   Of the other texts those with shared anchors are stored, once a text.
 3. Equal stretches are aggregated to their smallest id (a later copy is covered whole).
    Where different stretches share an anchor, their first copies travel to it as strings.
 4. There the strings of many anchors are joined to one text, and sorted by prefixes of
@@ -24,9 +27,8 @@ with a smaller id. Strings lie inside one document, and are judged on the input.
    aggregation, skew join), so no task holds such an anchor's strings.
 6. The covered stretches of a text are joined to it and cut out.
 
-Texts and windows are told apart by digests (SHA-256 for texts, its first 60 bits in
-the filter; 128 bits of XXH3 for equal stretches and the windows of step 5); in step 4
-by their bytes.
+Whole texts are told apart by SHA-256, equal stretches by 128 bits (anchor and XXH3),
+the windows of step 5 by 128 bits of XXH3; in step 4 bytes are compared.
 
 Defined cases: a null or empty text, and one shorter than LENGTH, loses nothing. A
 null id counts as greater than every id; rows with equal ids (repeated rows among
@@ -45,11 +47,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.llm.skew import apart
-from carelens.llm.words import word_hashes
+from carelens.llm.words import mix
 from carelens.session import ensure_checkpoint_dir
 
 LENGTH, CORE = 50, 20
@@ -57,18 +59,23 @@ LENGTH, CORE = 50, 20
 LONGEST = 256
 #: Strings of an anchor that are compared in one task.
 BUCKET = 2000
-#: Bytes of text that a task hashes, or sorts, at a time.
-SLICE, SORTED = 1 << 20, 1 << 20
+#: Bytes of text that a task hashes, or sorts, at a time, and hashes that stay in a cache.
+SLICE, SORTED, CACHED = 1 << 20, 1 << 20, 1 << 15
+#: Bytes of text in a bucket of the stored table, and least number of buckets.
+BUCKET_BYTES, BUCKETS = 1 << 25, 32
 #: Least number of slots of anchors, and bytes of text a slot stands for beyond it.
 SLOTS, SLOT_BYTES = 512, 1 << 24
 NO_ID = (1 << 63) - 1
 
 ASK = "slot int, asks binary, rid long, cores binary"
 ANSWER = "rid long, cores binary"
-PIECE = "row long, ord long, begin long, n int, core long, k1 long, k2 long"
-STRING = "core long, ord long, k1 long, k2 long, packed binary"
-SINGLE = "ord long, k1 long, k2 long, w1 long, w2 long, at int"
-FOUND = "k1 long, k2 long, spans array<int>"
+#: ``at`` is the first window times 512, plus the number of windows.
+PIECE = "row long, ord long, at long, core long, k long"
+STRING = "core long, ord long, k long, packed binary"
+SINGLE = "ord long, core long, k long, w1 long, w2 long, i int"
+FOUND = "core long, k long, spans array<int>"
+#: Odd multipliers of the hash of a run of bytes.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 CUT = "digest string, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -106,26 +113,44 @@ def slices(rows: Sequence[tuple], length: int, size: int) -> Iterator[tuple[byte
         yield made()
 
 
+def _anchors(data: bytes, length: int, core: int) -> np.ndarray:
+    """The least hash of the ``core``-byte runs of each window. A run is read as
+    overlapping words of eight bytes, all offsets at once."""
+    n, span = len(data), length - core
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    tail = np.uint64((1 << 8 * min(core, 8)) - 1)
+    at = [*range(0, core - 8, 8), max(0, core - 8)]
+    out = np.empty(n - length + 1, np.uint64)
+    for a in range(0, len(out), CACHED):
+        m = min(CACHED, len(out) - a) + span
+        x = np.zeros(m, np.uint64)
+        for k, o in enumerate(at):
+            x ^= words[a + o:a + o + m] & tail
+            x *= np.uint64(_ODD[k % len(_ODD)])
+            x ^= x >> np.uint64(29)
+        out[a:a + m - span] = _least(mix(x), span + 1)
+    return out
+
+
 def stretches(data: bytes, ends: np.ndarray, length: int, core: int):
     """(part, first window, windows, anchor) of the stretches of joined parts."""
     n = len(data)
     if n < length:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    hashes = word_hashes(data, np.arange(n - core + 1), np.arange(core, n + 1))
-    least = _least(hashes, length - core + 1)
-    part = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:len(least)]
-    inside = np.arange(len(least)) + length <= ends[part]
-    new = np.ones(len(least), bool)
-    new[1:] = (least[1:] != least[:-1]) | (part[1:] != part[:-1]) | (inside[1:] != inside[:-1])
-    first = np.flatnonzero(new)
+    least = _anchors(data, length, core)
+    # A stretch ends where the anchor changes, where a part begins, and where its windows would leave it.
+    cuts = np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, ends - np.diff(ends, prepend=0), ends - length + 1))
+    first = np.unique(cuts[(cuts >= 0) & (cuts < len(least))])
     size = np.diff(np.append(first, len(least)))
     if size.max() > LONGEST:
         first = np.concatenate([np.arange(f, f + s, LONGEST) for f, s in zip(first.tolist(), size.tolist(), strict=True)])
         size = np.diff(np.append(first, len(least)))
-    keep = inside[first]
+    part = np.searchsorted(ends, first, side="right")
+    keep = first + length <= ends[part]
     first, size = first[keep], size[keep]
-    return part[first], first, size, least[first]
+    return part[keep], first, size, least[first]
 
 
 def _names(schema: str) -> list[str]:
@@ -137,6 +162,22 @@ def _by_run(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
 
 
+#: The part of an anchor that asks and answers carry.
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _pack(anchor: np.ndarray, rid: np.ndarray) -> bytes:
+    """Five bytes of each anchor (the slot tells of the others), then the row numbers."""
+    return anchor.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + rid.tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 13
+    anchor = np.zeros((n, 8), np.uint8)
+    anchor[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(-1, 5)
+    return anchor.view(np.uint64).ravel(), np.frombuffer(blob, np.int64, n, 5 * n)
+
+
 def _asks(batches: Iterator[pa.RecordBatch], length: int, core: int, slots: int) -> Iterator[pa.RecordBatch]:
     """What a slice asks of the slots: (anchor, text) for anchors of one text, (anchor, -1)
     for those it knows to be shared; and the shared anchors of its own texts."""
@@ -159,13 +200,13 @@ def _asks(batches: Iterator[pa.RecordBatch], length: int, core: int, slots: int)
             order = np.argsort(slot, kind="stable")
             slot, asked, asker = slot[order].astype(np.int32), asked[order], asker[order]
             cuts = _by_run(slot)
-            blobs = [asked[a:b].tobytes() + asker[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            blobs = [_pack(asked[a:b], asker[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             none = [None] * len(blobs)
             yield pa.RecordBatch.from_arrays([pa.array(slot[cuts[:-1]]), pa.array(blobs, pa.binary()), pa.array(none, pa.int64()),
                                               pa.array(none, pa.binary())], names=_names(ASK))
             shared = np.repeat(several, np.diff(runs))
             if shared.any():
-                out = _answers(anchor[shared], rid[shared])
+                out = _answers(anchor[shared] & _LOW, rid[shared])
                 own = pa.array((out.column(0).to_numpy() % slots).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([own, pa.array([None] * len(own), pa.binary()), *out.columns], names=_names(ASK))
 
@@ -181,8 +222,7 @@ def _answers(anchor: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
 
 def _settled(asks: list[bytes]) -> pa.RecordBatch:
     """The texts of one slot's asks whose anchor another one asks for too."""
-    anchor = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in asks])
-    rid = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in asks])
+    anchor, rid = map(np.concatenate, zip(*map(_unpack, asks), strict=True))
     order = np.lexsort((rid, anchor))
     anchor, rid = anchor[order], rid[order]
     fresh = np.ones(len(rid), bool)
@@ -228,39 +268,40 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterat
         rows = ((k, t.encode("utf-8")) for k, t in enumerate(texts))
         for data, ends, owners, offsets in slices(rows, length, SLICE):
             part, first, size, anchor = stretches(data, ends, length, core)
+            low = anchor & _LOW
             keep = np.zeros(len(part), bool)
             cuts = np.searchsorted(part, np.arange(len(ends) + 1)).tolist()
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 mine = wanted[owners[p]]
-                at = np.minimum(np.searchsorted(mine, anchor[a:b]), len(mine) - 1)
-                keep[a:b] = mine[at] == anchor[a:b]
+                found = np.minimum(np.searchsorted(mine, low[a:b]), len(mine) - 1)
+                keep[a:b] = mine[found] == low[a:b]
             if not keep.any():
                 continue
             part, first, size, anchor = part[keep], first[keep], size[keep], anchor[keep]
-            digests = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (first + size + length - 1).tolist(), strict=True))
-            keys = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            digest = xxhash.xxh3_64_intdigest
+            keys = np.array([digest(data[a:b]) for a, b in zip(first.tolist(), (first + size + length - 1).tolist(), strict=True)], np.uint64)
             owner = owners[part]
             begin = first - (ends - np.diff(ends, prepend=0))[part] + offsets[part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(numbers, np.int64)[owner]), pa.array(np.array(ords, np.int64)[owner]), pa.array(begin.astype(np.int64)),
-                 pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(np.ascontiguousarray(keys[:, 0])),
-                 pa.array(np.ascontiguousarray(keys[:, 1]))], names=_names(PIECE))
+                [pa.array(np.array(numbers, np.int64)[owner]), pa.array(np.array(ords, np.int64)[owner]),
+                 pa.array((begin * 512 + size).astype(np.int64)), pa.array(anchor.view(np.int64)), pa.array(keys.view(np.int64))], names=_names(PIECE))
 
 
 def _asked(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple]:
+    """(id, anchor, key, first window, windows, text) of the requests of one kind."""
     for o, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         wanted = [p for p in asked if p["hot"] == hot]
         if wanted:
             data = text.encode("utf-8")
             for p in wanted:
-                yield o, p, data
+                yield o, p["core"], p["k"], *divmod(p["at"], 512), data
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The strings asked of each text."""
-    types = [pa.int64()] * 4 + [pa.binary()]
+    types = [pa.int64()] * 3 + [pa.binary()]
     for batch in batches:
-        rows = [(p["core"], o, p["k1"], p["k2"], data[p["begin"]:p["begin"] + p["n"] + length - 1]) for o, p, data in _asked(batch, hot=False)]
+        rows = [(core, o, k, data[begin:begin + n + length - 1]) for o, core, k, begin, n, data in _asked(batch, hot=False)]
         yield from _batches(STRING, rows, types)
 
 
@@ -269,10 +310,10 @@ def _singles(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     types = [pa.int64()] * 5 + [pa.int32()]
     for batch in batches:
         rows = []
-        for o, p, data in _asked(batch, hot=True):
-            for i in range(p["n"]):
-                d = xxhash.xxh3_128_digest(data[p["begin"] + i:p["begin"] + i + length])
-                rows.append((o, p["k1"], p["k2"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i))
+        for o, core, k, begin, n, data in _asked(batch, hot=True):
+            for i in range(n):
+                d = xxhash.xxh3_128_digest(data[begin + i:begin + i + length])
+                rows.append((o, core, k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i))
         yield from _batches(SINGLE, rows, types)
 
 
@@ -287,7 +328,7 @@ def sorted_suffixes(symbols: np.ndarray, length: int) -> np.ndarray:
     for k in range(reach):
         key = key << 9 | padded[k:k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if reach >= length:
             return order
         ranked = key[order]
@@ -369,9 +410,9 @@ def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
     def settled():
         out = []
-        for r, f in zip(held, repeated_windows([r[1] for r in held], [r[4] for r in held], length), strict=True):
+        for r, f in zip(held, repeated_windows([r[1] for r in held], [r[3] for r in held], length), strict=True):
             if f.any():
-                out.append((r[2], r[3], _spans(f)))
+                out.append((r[0], r[2], _spans(f)))
         return out
 
     total = 0
@@ -381,7 +422,7 @@ def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 yield from _batches(FOUND, settled(), types)
                 held, total = [], 0
             held.append(row)
-            total += len(row[4])
+            total += len(row[3])
     if held:
         yield from _batches(FOUND, settled(), types)
 
@@ -413,26 +454,43 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _text_number(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Written once to the shared folder, in buckets of the key, and read again: joins
+    on the key leave these rows where they are. The table's name is dropped at once,
+    the files stay."""
+    spark = df.sparkSession
+    name = f"carelens_texts_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    (df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).format("parquet")
+     .bucketBy(buckets, key).saveAsTable(name))
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _beside(texts: DataFrame, side: DataFrame) -> DataFrame:
+    """The bucketed texts that have a row in ``side`` (one per row number, small beside
+    the text): a hash join in each bucket, without sorting texts."""
+    return texts.join(side.hint("shuffle_hash"), "row")
 
 
 def shared_anchors(texts: DataFrame, length: int, core: int, slots: int) -> DataFrame:
-    """(rid, lists): anchors of texts (rid, text) that also stand in another text."""
-    asks = texts.select("rid", "text").mapInArrow(partial(_asks, length=length, core=core, slots=slots), ASK)
+    """(row, lists): anchors of texts (row, text) that also stand in another text."""
+    asks = texts.select("row", "text").mapInArrow(partial(_asks, length=length, core=core, slots=slots), ASK)
     answers = asks.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared, ANSWER)
-    return answers.groupBy("rid").agg(F.collect_list("cores").alias("lists"))
+    return answers.groupBy(F.col("rid").alias("row")).agg(F.collect_list("cores").alias("lists"))
 
 
-def covered_stretches(held: DataFrame, length: int, core: int, bucket: int) -> DataFrame:
-    """(row, spans): the windows to remove of the stored texts (row, ord, text, lists)."""
-    pieces = _stored(held.select("row", "ord", "text", "lists").mapInArrow(partial(_pieces, length=length, core=core), PIECE), "pieces")
-    first = pieces.groupBy("k1", "k2").agg(F.min(F.struct("ord", "row", "begin", "n", "core")).alias("f")).select("k1", "k2", "f.*").checkpoint()
+def covered_stretches(texts: DataFrame, lists: DataFrame, length: int, core: int, bucket: int) -> DataFrame:
+    """(row, spans): the windows to remove of the stored texts (row, ord, text)."""
+    known = _beside(texts.select("row", "ord", "text"), lists).select("row", "ord", "text", "lists")
+    pieces = _stored(known.mapInArrow(partial(_pieces, length=length, core=core), PIECE), "pieces")
+    first = pieces.groupBy("core", "k").agg(F.min(F.struct("ord", "row", "at")).alias("f")).select("core", "k", "f.*").checkpoint()
     several = first.groupBy("core").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") > 1).checkpoint()
     any_hot = not several.filter(F.col("strings") > bucket).isEmpty()
-    listed = F.struct("core", "k1", "k2", "begin", "n", (F.col("strings") > bucket).alias("hot"))
-    asked = first.join(several, "core").groupBy("row").agg(F.collect_list(listed).alias("asked"))
-    joined = held.select("row", "ord", "text").join(asked, "row").select("ord", "text", "asked")
+    asked = first.join(several, "core").groupBy("row").agg(F.collect_list(
+        F.struct("core", "k", "at", (F.col("strings") > bucket).alias("hot"))).alias("asked"))
+    joined = _beside(texts.select("row", "ord", "text"), asked).select("ord", "text", "asked")
     found = (joined.mapInArrow(partial(_strings, length=length), STRING)
              .repartition("core").sortWithinPartitions("core").mapInArrow(partial(_expanded, length=length), FOUND))
     if any_hot:
@@ -440,14 +498,14 @@ def covered_stretches(held: DataFrame, length: int, core: int, bucket: int) -> D
         least = single.groupBy("w1", "w2").agg(F.min("ord").alias("least")).select(apart(F.col("w1")).alias("key"), "w2", "least")
         found = found.unionAll(
             single.withColumn("key", apart(F.col("w1"))).join(least, ["key", "w2"]).filter(F.col("ord") > F.col("least"))
-            .groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("spans")))
-    verdict = (first.select("k1", "k2", F.col("ord").alias("first_ord")).join(found, ["k1", "k2"], "left")
-               .select(apart(F.col("k1")).alias("key"), F.col("k2").alias("key2"), "first_ord", "spans"))
+            .groupBy("core", "k").agg(F.flatten(F.collect_list(F.array(F.col("i"), F.col("i") + 1))).alias("spans")))
+    verdict = (first.select("core", "k", F.col("ord").alias("first_ord")).join(found, ["core", "k"], "left")
+               .select(apart(F.col("k")).alias("key"), F.col("core").alias("of"), "first_ord", "spans"))
     later = F.col("ord") > F.col("first_ord")
-    begin = F.col("begin").cast("int")
-    return (pieces.join(verdict, (apart(F.col("k1")) == F.col("key")) & (F.col("k2") == F.col("key2")))
+    begin, n = F.shiftright("at", 9).cast("int"), F.col("at").bitwiseAND(F.lit(511)).cast("int")
+    return (pieces.join(verdict, (apart(F.col("k")) == F.col("key")) & (F.col("core") == F.col("of")))
             .filter(later | F.col("spans").isNotNull())
-            .select("row", F.when(later, F.array(begin, begin + F.col("n"))).otherwise(F.transform("spans", lambda s: s + begin)).alias("spans"))
+            .select("row", F.when(later, F.array(begin, begin + n)).otherwise(F.transform("spans", lambda s: s + begin)).alias("spans"))
             .groupBy("row").agg(F.collect_list("spans").alias("spans")))
 
 
@@ -455,20 +513,18 @@ def remove_byte_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row per row of docs: the bytes
     that stay, one after another (``with_text=False``: kept_sha256, their digest)."""
+    core = min(core, length)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text", F.sha2("text", 256).alias("digest"),
                          F.octet_length("text").cast("long").alias("n_bytes"))
     long = texts.filter(F.col("n_bytes") >= length)
-    firsts = long.groupBy("digest").agg(F.min("ord").alias("ord"), F.sum("n_bytes").alias("bytes"))
-    firsts = firsts.select("digest", "ord", "bytes", _text_number(F.col("digest")).alias("rid")).checkpoint()
-    total = firsts.agg(F.sum("bytes")).first()[0] or 0
-    slots = max(SLOTS, -(-total // SLOT_BYTES))
-    lists = shared_anchors(long.select(_text_number(F.col("digest")).alias("rid"), "text"), length, min(core, length), slots)
-    wanted = firsts.join(lists, "rid").select("digest", "ord", "lists")
-    once = long.groupBy("digest", "ord").agg(F.first("text").alias("text"))
-    held = _stored(once.join(wanted, ["digest", "ord"]).select(F.monotonically_increasing_id().alias("row"), "digest", "ord", "text", "lists"), "held")
-    covers = covered_stretches(held, length, min(core, length), bucket)
-    cut = held.select("row", "digest", "text").join(covers, "row").select("digest", "text", "spans").mapInArrow(partial(_cut, length=length), CUT)
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    table = _bucketed(long.select(F.monotonically_increasing_id().alias("row"), "digest", "ord", "text"), "row",
+                      max(BUCKETS, -(-total // BUCKET_BYTES)))
+    firsts = table.groupBy("digest").agg(F.min(F.struct("ord", "row")).alias("f")).select("digest", "f.*").checkpoint()
+    lists = shared_anchors(_beside(table.select("row", "text"), firsts.select("row")), length, core, max(SLOTS, -(-total // SLOT_BYTES)))
+    covers = covered_stretches(table, lists, length, core, bucket)
+    cut = _beside(table.select("row", "digest", "text"), covers).select("digest", "text", "spans").mapInArrow(partial(_cut, length=length), CUT)
     cut = cut if with_text else cut.drop("kept")
     verdict = firsts.select("digest", F.col("ord").alias("first_ord")).join(cut, "digest", "left")
     verdict = verdict.withColumn("key", F.reverse("digest")).drop("digest")         # see skew.py
