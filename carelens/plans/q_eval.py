@@ -10,6 +10,7 @@ from carelens.functions import clinical as X
 from carelens.operators import correlation as CORR
 from carelens.operators import evaluate as E
 from carelens.operators import profile as P
+from carelens.operators.deal import deal, partition_count
 from carelens.operators.impute import impute_median
 from carelens.operators.split import class_weights, scaler_stats, standardize, stratified_split
 from carelens.plans import formula as FM
@@ -75,6 +76,27 @@ def target_correlation(spark, sf_dir):
     return rounded(CORR.target_correlation(rounded(m), "REINGRESO"))
 
 
+#: Rows of a training partition in ``training_partitions`` (fits use more).
+DEALT_ROWS = 500
+
+
+@query("training_partitions", FM.chain() + f""", train_d AS (SELECT INGRESO_ACTUAL, REINGRESO,
+   CAST('0x' || substr(md5('{C.SEED}:' || CAST(INGRESO_ACTUAL AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM split_b WHERE NOT is_test)
+ SELECT CAST(h % (SELECT (count(*) + {DEALT_ROWS - 1}) // {DEALT_ROWS} FROM train_d) AS INT) AS partition, count(*) AS n,
+   CAST(sum(REINGRESO) AS BIGINT) AS positives, min(INGRESO_ACTUAL) AS first_id, max(INGRESO_ACTUAL) AS last_id,
+   md5(string_agg(CAST(INGRESO_ACTUAL AS VARCHAR), ',' ORDER BY INGRESO_ACTUAL)) AS ids_md5
+ FROM train_d GROUP BY ALL""")
+def training_partitions_q(spark, sf_dir):
+    """Where the training rows stand when the tree learners read them."""
+    train = stratified_split(I.prepared(spark, sf_dir), label="REINGRESO", id_col="INGRESO_ACTUAL").filter(~F.col("is_test"))
+    train = train.select("INGRESO_ACTUAL", "REINGRESO").checkpoint()
+    dealt = deal(train, "INGRESO_ACTUAL", partition_count(train.count(), DEALT_ROWS))
+    ids = F.transform(F.sort_array(F.collect_list("INGRESO_ACTUAL")), lambda i: i.cast("string"))      # a partition's rows
+    return dealt.groupBy(F.spark_partition_id().alias("partition")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("REINGRESO").cast("long").alias("positives"), F.min("INGRESO_ACTUAL").alias("first_id"),
+        F.max("INGRESO_ACTUAL").alias("last_id"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+
+
 @query("stratified_split", FM.chain() + " SELECT INGRESO_ACTUAL, REINGRESO, is_test FROM split_b")
 def stratified_split_q(spark, sf_dir):
     s = stratified_split(I.prepared(spark, sf_dir), label="REINGRESO", id_col="INGRESO_ACTUAL")

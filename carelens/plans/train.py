@@ -10,7 +10,8 @@ predict the test rows -> metrics and best model -> score every row.
   weighted mean loss + regParam/2 * |w|^2, so regParam = 1 / sum(weights).
   Features are standardised with the training rows' mean and population
   deviation beforehand (``standardization=False``).
-* Tree models run on raw features; class weights through ``weightCol``.
+* Tree models run on raw features; class weights through ``weightCol``. Training rows
+  are dealt by a hash of their id (``operators/deal.py``), so a fit can be repeated.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 from carelens import config as C
 from carelens.config import Config
 from carelens.operators import evaluate as E
+from carelens.operators.deal import deal, exact_weight, partition_count
 from carelens.operators.impute import impute_median, medians
 from carelens.operators.split import class_weights, scaler_stats, standardize, stratified_split, weight_column
 from carelens.plans.scoring import PROB_COLS, score_columns
 from carelens.session import ensure_checkpoint_dir
 
 Z = "__z"
+TREE_WEIGHT = "tree_weight"
 TRAIN_ROWS_PER_PARTITION = 15_000
 
 
@@ -85,6 +88,15 @@ def _assemblers(features: list[str]):
     return raw, scaled
 
 
+def training_rows(train: DataFrame, features: list[str], n_train: int) -> DataFrame:
+    """The training rows as the learners read them: dealt by a hash of the id into
+    about TRAIN_ROWS_PER_PARTITION rows each, whatever the cluster's size (tree
+    learners run a few jobs per level and round, so small inputs do not pay for idle
+    tasks), and sorted; with weights for the trees whose sums are exact."""
+    train = train.withColumn(TREE_WEIGHT, exact_weight("weight"))
+    return deal(train, "INGRESO_ACTUAL", partition_count(n_train, TRAIN_ROWS_PER_PARTITION), ["REINGRESO", *features])
+
+
 def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_imputed: DataFrame | None = None,
         trees: int = C.FOREST_TREES, rounds: int = C.BOOST_ROUNDS) -> Fitted:
     ensure_checkpoint_dir(spark)
@@ -101,19 +113,14 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
         raise ValueError(f"training needs rows of both classes; {n_pos or 0} of {n_train} training rows are readmissions")
     if n_pos < C.FEW_POSITIVES:
         warnings.warn(f"only {n_pos} readmissions among {n_train} training rows; results may be unreliable", stacklevel=2)
-    # Tree learners run a few jobs per level and round; partitions by rows (about
-    # TRAIN_ROWS_PER_PARTITION each), whatever the cluster's size, so small inputs do
-    # not pay for idle tasks and the fitted forest does not depend on the cluster.
-    parts = max(1, -(-n_train // TRAIN_ROWS_PER_PARTITION))
-    train = train.repartitionByRange(parts, "INGRESO_ACTUAL").sortWithinPartitions("INGRESO_ACTUAL")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = training_rows(train, feats, n_train).persist(StorageLevel.MEMORY_AND_DISK)
     raw, scaled = _assemblers(feats)
 
     lr = LogisticRegression(featuresCol="features_z", labelCol="REINGRESO", weightCol="weight",
                             regParam=1.0 / sum_w, elasticNetParam=0.0, standardization=False,
                             maxIter=C.LR_MAX_ITER, tol=1e-8, probabilityCol="p_lr", rawPredictionCol="r_lr",
                             predictionCol="y_lr")
-    rf = RandomForestClassifier(featuresCol="features_raw", labelCol="REINGRESO", weightCol="weight",
+    rf = RandomForestClassifier(featuresCol="features_raw", labelCol="REINGRESO", weightCol=TREE_WEIGHT,
                                 numTrees=trees, maxDepth=C.TREE_DEPTH, featureSubsetStrategy="sqrt",
                                 maxBins=cfg.max_bins, seed=cfg.seed, probabilityCol="p_rf",
                                 rawPredictionCol="r_rf", predictionCol="y_rf")
@@ -121,7 +128,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
                      stepSize=C.BOOST_RATE, seed=cfg.seed, maxBins=cfg.max_bins,
                      checkpointInterval=10, predictionCol="y_gb")
     if cfg.weighted_boosting:
-        gb_params["weightCol"] = "weight"
+        gb_params["weightCol"] = TREE_WEIGHT
     gb = GBTClassifier(**gb_params).setProbabilityCol("p_gb").setRawPredictionCol("r_gb")
 
     lr_m = Pipeline(stages=[scaled, lr]).fit(train)

@@ -109,6 +109,40 @@ def test_same_seed_same_result_and_stationary(spark, fitted):
     assert all(r.gradient == 0 for r in TR.lr_gradient(spark, fitted).collect())
 
 
+def _trees(f):
+    return [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (f.rf, f.gb)]
+
+
+def test_fits_repeat_on_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(TR, "TRAIN_ROWS_PER_PARTITION", 250)
+    small = dict(trees=12, rounds=5)
+    prepared = I.prepared(spark, SF0001).checkpoint()
+    once = TR.fit(spark, prepared, Config("batch"), **small)
+    train = once.data.filter(~F.col("is_test"))
+    assert TR.training_rows(train, once.features, train.count()).rdd.getNumPartitions() >= 4
+    again = TR.fit(spark, prepared, Config("batch"), **small)
+    other = TR.fit(spark, prepared.repartition(13, F.rand(5)), Config("batch"), **small)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spread = TR.fit(spark, prepared.orderBy(F.desc("INGRESO_ACTUAL")), Config("batch"), **small)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert _trees(once) == _trees(again) == _trees(other) == _trees(spread)
+
+
+def test_rows_are_dealt_by_their_id(spark):
+    from carelens.operators.deal import deal, exact_weight
+    df = spark.range(1000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
+    seen = lambda d: [[tuple(r) for r in part] for part in d.rdd.glom().collect()]
+    a, b = (seen(deal(x, "k", 6, ["v"])) for x in (df, df.repartition(3, "v").orderBy(F.desc("v"))))
+    assert a == b and len(a) == 6 and min(map(len, a)) > 100
+    assert all(p == sorted(p, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) for p in a)
+    assert not any(seen(deal(df.filter("v > 9"), "k", 4)))
+    w = spark.createDataFrame([(1 / 3,), (2.9,), (1e-9,)], "weight double").select(exact_weight("weight").alias("w")).collect()
+    assert [r.w * 65536 for r in w] == [21845.0, 190054.0, 1.0]
+
+
 def test_planted_signal_is_found(spark):
     planted = I.prepared(spark, SF0001).withColumn("REINGRESO", F.coalesce(F.col("DURACION_ESTANCIA_ACTUAL") % 2 == 0, F.lit(False)).cast("int")).withColumn(
         "EDAD", F.when(F.col("REINGRESO") == 1, F.col("EDAD") + 25).otherwise(F.col("EDAD")))
