@@ -2,13 +2,14 @@
 
 A plain ``lag() over (partition by patient ...)`` puts every row of a patient in
 one task. If one patient held a third of the table, one task would do a third
-of the work. Both operators here split a patient's history into calendar-day
-slices first:
-
-* ``lag_by_key``: lag inside each (patient, day) slice, then the first row of a
-  slice takes the last value of the patient's previous slice. The slice summary
-  holds one row per patient and calendar day. A day, or the rows of a patient
-  without a date, with very many rows is cut again by exact time and tie key.
+of the work.
+
+* ``lag_by_key``: one count per patient tells whether any history is longer than
+  ``SLICE_ROWS``. If none is, one window does it. Otherwise long histories are cut
+  into ranges of (date, tie key), so that even one day, one instant or the rows
+  without a date are spread. The lag runs inside (patient, range), and the first row
+  of a range takes its value in two steps: each range's last row, then the last row
+  of the range before it. That table has at most ``SLICES`` rows a patient.
 * ``latest_by_key``: ``max_by`` is an aggregate, so Spark pre-aggregates it on
   the map side and a hot patient costs one partial row per input partition.
 """
@@ -26,9 +27,45 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-#: Rows of one (key, day), or of one key without a date, that stay in one slice;
-#: also the width of the tie key's ranges beyond that.
-SLICE_ROWS = 100_000
+#: Rows of one key that stay in one range, ranges of a key at most, rows of a key
+#: that are looked at for each bound, and keys up to which their bounds are broadcast.
+SLICE_ROWS, SLICES, LOOKED_AT, BROADCAST_KEYS = 100_000, 256, 64, 1_000
+
+
+def _place(order_col: str, tie_col: str) -> Column:
+    """A row's place in its history: dates first and in order, then the tie key."""
+    return F.struct(F.col(order_col).isNull().alias("undated"), F.col(order_col).alias("date"), F.col(tie_col).alias("tie"))
+
+
+def history_bounds(df: DataFrame, long: DataFrame, key: str, order_col: str, tie_col: str, slice_rows: int) -> DataFrame:
+    """(key, bounds) for the long histories (key, n): the places that cut one into
+    ranges of similar size. A fixed share of a history's rows, chosen by a hash and
+    about LOOKED_AT for each range, is sorted; every LOOKED_AT-th is a bound. A row's
+    range depends on the row alone, so reruns and lost tasks see the same ranges."""
+    ranges = F.least(F.lit(SLICES), F.ceil(F.col("n") / slice_rows))
+    every = F.greatest(F.lit(1), F.floor(F.col("n") / (ranges * LOOKED_AT)))
+    looked = (df.select(key, _place(order_col, tie_col).alias("place")).join(long, key)
+                .withColumn("ranges", ranges).filter(F.pmod(F.xxhash64("place"), every) == 0)
+                .groupBy(key).agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("ranges").alias("ranges")))
+    step = F.col("ranges").cast("double")
+    cuts = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("ranges") - 1)),
+                       lambda i: F.get("places", F.floor(i * F.size("places") / step).cast("int")))
+    return looked.select(key, F.array_distinct(cuts).alias("bounds"))
+
+
+def history_ranges(df: DataFrame, key: str, order_col: str, tie_col: str, slice_rows: int = SLICE_ROWS, out: str = "__range") -> DataFrame | None:
+    """df with the number of each row's range of its history, null where the history
+    is one range; None if every history is."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows)
+    n_long = counts.count()
+    if not n_long:
+        return None
+    bounds = history_bounds(df, counts.checkpoint(), key, order_col, tie_col, slice_rows).checkpoint()
+    bounds = F.broadcast(bounds) if n_long <= BROADCAST_KEYS else bounds
+    place = _place(order_col, tie_col)
+    number = F.size(F.filter("__bounds", lambda b: b <= F.col("__place")))
+    return (df.withColumn("__place", place).join(bounds.withColumnRenamed("bounds", "__bounds"), key, "left")
+              .withColumn(out, F.when(F.col("__bounds").isNotNull(), number)).drop("__bounds", "__place"))
 
 
 def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
@@ -38,53 +75,24 @@ def lag_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,
     ``values`` maps output column -> source column. ``tie_col`` must be unique
     within a key, and numeric. Rows with a NULL key get NULL (a NULL patient has no history).
     """
-    sl_null, sl_day, sl_time, sl_tie = "__slice_null", "__slice_day", "__slice_time", "__slice_tie"
-    packed = "__packed"
-    srcs = list(dict.fromkeys(values.values()))
-    base = (df.withColumn(sl_null, F.col(order_col).isNull())
-              .withColumn(sl_day, F.coalesce(F.to_date(F.col(order_col)),
-                                              F.lit("1970-01-01").cast("date"))))
-    # Days (or a patient's rows without a date) of more than ``slice_rows`` rows are
-    # cut again, by the exact time and by ranges of the tie key.
-    hot = (base.filter(F.col(key).isNotNull()).groupBy(key, sl_null, sl_day).agg(F.count(F.lit(1)).alias("__n"))
-               .filter(F.col("__n") > slice_rows).select(key, sl_null, sl_day, F.lit(True).alias("__hot")).checkpoint())
-    none = F.lit(None)
-    if hot.isEmpty():
-        base = base.withColumn(sl_time, none.cast(df.schema[order_col].dataType)).withColumn(sl_tie, F.lit(0).cast("long"))
-    else:
-        base = base.join(hot, [key, sl_null, sl_day], "left")
-        base = (base.withColumn(sl_time, F.when(F.col("__hot"), F.col(order_col)))
-                    .withColumn(sl_tie, F.when(F.col("__hot"), F.floor(F.col(tie_col) / slice_rows)).otherwise(0).cast("long"))
-                    .drop("__hot"))
-    slice_cols = [sl_null, sl_day, sl_time, sl_tie]
-
-    in_slice = Window.partitionBy(key, *slice_cols).orderBy(F.col(order_col), F.col(tie_col))
-    with_local = (base.withColumn("__prev_tie", F.lag(tie_col).over(in_slice))
-                      .withColumn("__next_tie", F.lead(tie_col).over(in_slice)))
-    for out, src in values.items():
-        with_local = with_local.withColumn(f"__local_{out}", F.lag(src).over(in_slice))
-
-    # The last row of every (key, slice) carries its values to the key's next slice.
-    # This table has one row per key and slice.
-    last = (with_local.filter(F.col("__next_tie").isNull() & F.col(key).isNotNull())
-                      .select(key, *slice_cols, F.struct(*[F.col(s) for s in srcs]).alias(packed)))
-    slices = Window.partitionBy(key).orderBy(*[F.col(c) for c in slice_cols])
-    carried = last.select(F.col(key).alias("__k"), *[F.col(c).alias(f"{c}_r") for c in slice_cols],
-                          F.lag(packed).over(slices).alias("__carried"))
-
-    same = F.col(key) == F.col("__k")
-    for c in slice_cols:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    joined = with_local.join(carried, on=same, how="left").drop("__k", *[f"{c}_r" for c in slice_cols])
-    first_in_slice = F.col("__prev_tie").isNull()
-    for out, src in values.items():
-        joined = joined.withColumn(
-            out,
-            F.when(F.col(key).isNull(), F.lit(None))
-             .when(first_in_slice, F.col("__carried").getField(src))
-             .otherwise(F.col(f"__local_{out}")))
-    drop = [*slice_cols, "__prev_tie", "__next_tie", "__carried"] + [f"__local_{o}" for o in values]
-    return joined.drop(*drop)
+    columns, no_key = df.columns, F.col(key).isNull()
+    order = (F.col(order_col).asc_nulls_last(), F.col(tie_col).asc())
+    alone = F.when(no_key, F.col(tie_col))          # rows without a key are dealt one by one
+    ranged = history_ranges(df, key, order_col, tie_col, slice_rows)
+    if ranged is None:
+        history = Window.partitionBy(key, alone).orderBy(*order)
+        return df.select(*columns, *(F.when(~no_key, F.lag(src).over(history)).alias(out) for out, src in values.items()))
+
+    inside = Window.partitionBy(key, "__range", alone).orderBy(*order)
+    packed = F.struct(*(F.col(src) for src in dict.fromkeys(values.values())))
+    local = ranged.withColumn("__prev", F.lag(packed).over(inside))
+    # The last row of each range carries its values to the next one of its key.
+    ends = ranged.filter(F.col("__range").isNotNull()).groupBy(key, "__range").agg(F.max_by(packed, _place(order_col, tie_col)).alias("__end"))
+    before = Window.partitionBy(key).orderBy("__range")
+    carried = ends.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), F.lag("__end").over(before).alias("__carried"))
+    joined = local.join(carried, (F.col(key) == F.col("__key")) & (F.col("__range") == F.col("__of")), "left")
+    known = F.coalesce("__prev", "__carried")
+    return joined.select(*columns, *(F.when(~no_key, known.getField(src)).alias(out) for out, src in values.items()))
 
 
 def latest_by_key(df: DataFrame, key: str, order_col: str, tie_col: str,

@@ -151,6 +151,26 @@ def previous_discharge(spark, sf_dir):
     return add_previous_discharge(e).select("INGRESO_ACTUAL", "DOCUMENTO", "FECHA_EGRESO_ANTERIOR")
 
 
+#: Rows of a range in ``previous_discharge_hot`` (histories of real size: windows.SLICE_ROWS).
+HOT_SLICE = 100
+
+
+@query("previous_discharge_hot", S.with_steps(FIX) + """, h AS (SELECT INGRESO_ACTUAL, FECHA_EGRESO_DEL_INGRESO_ACTUAL AS e,
+   CASE INGRESO_ACTUAL % 3 WHEN 0 THEN 'hot' WHEN 1 THEN DOCUMENTO END AS patient,
+   CASE WHEN INGRESO_ACTUAL % 5 > 0 THEN FECHA_INGRESO_ACTUAL + to_microseconds(INGRESO_ACTUAL * 977 % 86400000000) END AS t FROM episodes)
+ SELECT INGRESO_ACTUAL, patient, t, CASE WHEN patient IS NOT NULL THEN
+   LAG(e) OVER (PARTITION BY patient ORDER BY t ASC NULLS LAST, INGRESO_ACTUAL) END AS FECHA_EGRESO_ANTERIOR FROM h""")
+def previous_discharge_hot(spark, sf_dir):
+    """Previous discharge where one patient holds a third of all admissions, a fifth of them undated."""
+    k = F.col("INGRESO_ACTUAL")
+    at = F.make_interval(secs=(k * 977 % 86_400_000_000) / F.lit(1_000_000).cast("decimal(18,6)"))
+    e = I.episodes(spark, sf_dir).select(
+        "INGRESO_ACTUAL", F.when(k % 3 == 0, "hot").when(k % 3 == 1, F.col("DOCUMENTO")).alias("patient"),
+        F.when(k % 5 > 0, F.col("FECHA_INGRESO_ACTUAL") + at).alias("t"), "FECHA_EGRESO_DEL_INGRESO_ACTUAL")
+    return windows.lag_by_key(e, "patient", "t", "INGRESO_ACTUAL", {"FECHA_EGRESO_ANTERIOR": "FECHA_EGRESO_DEL_INGRESO_ACTUAL"},
+                              slice_rows=HOT_SLICE).drop("FECHA_EGRESO_DEL_INGRESO_ACTUAL")
+
+
 LATEST_SQL = """
  SELECT DOCUMENTO, INGRESO_ACTUAL, FECHA_INGRESO_ACTUAL, "HOSPITALIZACIONES_ULTIMO_AÑO", n_episodes FROM (
    SELECT *, ROW_NUMBER() OVER (PARTITION BY DOCUMENTO

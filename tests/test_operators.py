@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,39 @@ def test_lag_by_key_matches_plain_window(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def _plain_lag(df):
+    w = Window.partitionBy("k").orderBy(F.col("d").asc_nulls_last(), "t")
+    return df.select("t", F.when(F.col("k").isNotNull(), F.lag("v").over(w)).alias("prev"))
+
+
+@pytest.mark.parametrize("date", ["distinct", "one_instant", "few_days", "undated", "mixed"])
+def test_long_histories_are_cut_evenly(spark, date):
+    """A million rows of one id (a tenth of it but for distinct instants), whatever their dates."""
+    from carelens.operators.windows import history_ranges
+    n = 1_000_000 if date == "distinct" else 100_000
+    t = F.col("id")
+    second = {"distinct": (t * 7919 % n) / 1e6, "one_instant": F.lit(5.0), "few_days": (t % 3) * 86400.0,
+              "undated": F.lit(None).cast("double"), "mixed": F.when(t % 4 > 0, F.when(t % 4 == 1, 1.0).otherwise(t / 1e6))}[date]
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.timestamp_seconds(second).alias("d"), t.alias("t"), (t % 11).cast("double").alias("v"))
+    df = df.unionAll(spark.range(500).select(F.when(t % 2 == 0, (t % 50).cast("string")), F.timestamp_seconds(t % 9), -t - 1, F.lit(0.5)))
+    sizes = [r.n for r in history_ranges(df, "k", "d", "t", n // 20).filter("k = 'hot'").groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2 * sorted(sizes)[10]
+    got = lag_by_key(df, "k", "d", "t", {"prev": "v"}, slice_rows=n // 20).select("t", "prev")
+    assert got.exceptAll(_plain_lag(df)).isEmpty() and got.count() == n + 500
+
+
+def test_lag_plans(spark):
+    """Without a long history: one exchange of the rows. Rows without a key are dealt out."""
+    df = _skewed(spark).withColumn("k", F.when(F.col("t") % 5 > 0, F.col("k")))
+    out = lag_by_key(df, "k", "d", "t", {"prev": "v", "prev_t": "t"})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert out.columns == [*df.columns, "prev", "prev_t"]
+    for size in (10, 400):
+        assert sorted(lag_by_key(df, "k", "d", "t", {"prev": "v"}, slice_rows=size).select("t", "prev").collect()) == sorted(_plain_lag(df).collect())
+    empty = lag_by_key(df.filter("t < 0"), "k", "d", "t", {"prev": "v"})
+    assert empty.collect() == [] and empty.columns == [*df.columns, "prev"]
+
+
 def test_latest_by_key_matches_row_number(spark):
     df = _skewed(spark)
     got = latest_by_key(df, "k", "d", "t", columns=["t"], count_as="n").select("k", "t", "n")
