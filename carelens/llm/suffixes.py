@@ -61,8 +61,9 @@ LONGEST = 256
 BUCKET = 2000
 #: Bytes of text that a task hashes, or sorts, at a time, and hashes that stay in a cache.
 SLICE, SORTED, CACHED = 1 << 20, 1 << 20, 1 << 15
-#: Bytes of text in a bucket of the stored table, and least number of buckets.
-BUCKET_BYTES, BUCKETS = 1 << 25, 32
+#: Bytes of text in a bucket of the stored table. There are no fewer buckets than shuffle
+#: partitions, or Spark would deal the texts out again for the sake of parallelism.
+BUCKET_BYTES = 1 << 25
 #: Least number of slots of anchors, and bytes of text a slot stands for beyond it.
 SLOTS, SLOT_BYTES = 512, 1 << 24
 NO_ID = (1 << 63) - 1
@@ -520,7 +521,7 @@ def remove_byte_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE,
     long = texts.filter(F.col("n_bytes") >= length)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
     table = _bucketed(long.select(F.monotonically_increasing_id().alias("row"), "digest", "ord", "text"), "row",
-                      max(BUCKETS, -(-total // BUCKET_BYTES)))
+                      max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     firsts = table.groupBy("digest").agg(F.min(F.struct("ord", "row")).alias("f")).select("digest", "f.*").checkpoint()
     lists = shared_anchors(_beside(table.select("row", "text"), firsts.select("row")), length, core, max(SLOTS, -(-total // SLOT_BYTES)))
     covers = covered_stretches(table, lists, length, core, bucket)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from carelens.llm import suffixes
 from carelens.llm.suffixes import common_prefixes, remove_byte_repeats, repeated_windows, slices, stretches
@@ -104,6 +105,15 @@ def test_many_equal_rows(spark):
     assert got == brute(ids, texts, 50)
 
 
+def test_texts_stay_in_their_buckets(spark):
+    table = suffixes._bucketed(documents(spark, corpus()).selectExpr("doc_id AS row", "text"), "row", 4)
+    side = spark.range(30).groupBy((F.col("id") % 10).alias("row")).agg(F.count("id").alias("n"))
+    joined = suffixes._beside(table, side)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+    assert joined.count() == 10
+
+
 def test_empty(spark):
     assert remove_byte_repeats(documents(spark, [])).collect() == []
     rows = remove_byte_repeats(documents(spark, [None, "", "short"]), with_text=False).collect()
