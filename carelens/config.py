@@ -147,6 +147,7 @@ class Config:
     seed: int = SEED
     max_bins: int = 128
     collation: str | None = None  # of category texts in the source; None: exact
+    median_error: float | None = None  # rank error of imputed medians, as a share of the rows; None: exact
 
     def __post_init__(self):
         if self.variant not in ("batch", "service"):

@@ -1,6 +1,6 @@
 """Missing-value treatment.
 
-``impute_median``: exact medians (``windows.exact_medians``: values counted and
+``impute_median``: exact medians, or sketched ones where the caller passes them in (``windows.exact_medians``: values counted and
 ranked in slices, one row per feature comes back to the driver), then ``coalesce(col, median)`` in the projection.
 ``impute_knn``: see ``carelens.operators.knn``.
 """
@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators.windows import exact_medians
+from carelens.operators.windows import approximate_medians, exact_medians
 
 
-def medians(df: DataFrame, features: list[str]) -> dict[str, float | None]:
-    """Exact median per feature, NaN counted as missing (None: no value). One row
-    per feature comes back to the driver."""
-    found = {r["feature"]: r["median"] for r in exact_medians(df, features).collect()}
+def medians(df: DataFrame, features: list[str], error: float | None = None) -> dict[str, float | None]:
+    """Median per feature, NaN counted as missing (None: no value): exact, or with
+    ``error`` a value whose rank is that close to the middle. One row per feature
+    comes back to the driver."""
+    rows = exact_medians(df, features) if error is None else approximate_medians(df, features, error)
+    found = {r["feature"]: r["median"] for r in rows.collect()}
     return {f: found.get(f) for f in features}
 
 

@@ -30,20 +30,22 @@ Execution (exact, no pair is materialised as a row, nothing unbounded broadcast)
    Every donor closer than ``U`` lies in a searched cell, so each layer's top
    ``k`` is exact; the global top ``k`` is the merge of the layers' top ``k``.
 4. Receivers without a usable radius in some layer (fewer than ``k`` donors in
-   the own cell, or ``U`` wider than a cell) retry on a grid ``GRID_STEP`` times
-   coarser, until a cell is as wide as the values' range: then the own cell holds
-   the whole layer and the search is complete. Every input takes this one path.
+   the own cell, or ``U`` wider than a cell) are searched best first over a tree of
+   the donors' cells (``knn_index.best_first``), which is exact too.
 5. Searching a cell is one ``cogroup`` + ``applyInPandas`` task per chunk pair:
    cells with many points are cut into receiver and donor chunks, so no task
    holds more than ``chunk_rows`` points of either side; each task returns at
    most ``k`` candidates per (receiver, feature).
 The work is the sum over cells of receivers x donors in the neighbourhood,
 instead of receivers x donors over the whole table.
+
+``method="lsh"`` replaces steps 3 and 4 by random projections (approximate).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -52,12 +54,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens import config as C
+from carelens.operators import knn_index
 from carelens.session import ensure_checkpoint_dir, ship_package
 
 SUB_BATCH = 512
 CELL_WIDTH = 1.0      # grid cell width, in standard deviations
 CHUNK_ROWS = 1024     # points of one side per grid task
-GRID_STEP = 4         # each next level's cells are wider by this
 
 
 def _stats(df: DataFrame, features: list[str], any_missing):
@@ -214,15 +216,19 @@ def _top_k(cand: DataFrame, k: int, keys=("rkey", "feature")) -> DataFrame:
     return cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict[int, int],
-                     don_patterns: dict[int, int], nf: int, k: int, cell_width: float, chunk_rows: int, whole: bool):
-    """Exact per-layer top k for receivers with a usable radius; returns
-    (candidates, receivers left for a coarser grid). ``whole``: a cell spans all
-    values, so the own cell holds every donor of the layer and nobody is left."""
+@dataclass
+class Layers:
+    """Receivers and donors by (shared coordinates, donor pattern)."""
+    receivers: DataFrame     # rkey, layer, R, D, S, n_shared, z0..
+    donors: DataFrame        # id, layer, S, z0.., x0..
+    n_points: int            # rows of the larger side: sizes the hash buckets
+
+
+def _layers(receivers: DataFrame, donors: DataFrame, rec_patterns: dict[int, int], don_patterns: dict[int, int], nf: int) -> Layers | None:
+    """None if no receiver shares a coordinate with a donor of a feature it lacks."""
     spark = receivers.sparkSession
     full = (1 << nf) - 1
-    # A layer is (shared coordinates S, donor pattern D): receiver patterns with the
-    # same S share the layer's donor copies.
+    # Receiver patterns with the same S share the layer's donor copies.
     layer_ids: dict[tuple[int, int], int] = {}
     rec_rows = []
     for r in rec_patterns:
@@ -231,26 +237,29 @@ def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict
             if s and (d & ~r):
                 rec_rows.append((layer_ids.setdefault((s, d), len(layer_ids)), r, d, s, bin(s).count("1")))
     if not rec_rows:
-        return None, None
+        return None
     don_rows = [(layer, d, s) for (s, d), layer in layer_ids.items()]
-    # Rows of each side after the layer replication: sizes the hash buckets.
     n_points = max(sum(rec_patterns[r] for _, r, _, _, _ in rec_rows), sum(don_patterns[d] for _, d, _ in don_rows))
     # At most (observed patterns)^2 rows: bounded by the feature count, not the data.
     rl = spark.createDataFrame(rec_rows, "layer int, R int, D int, S int, n_shared int")
     dl = spark.createDataFrame(don_rows, "layer int, D int, S int")
+    zs, xs = [f"z{i}" for i in range(nf)], [f"x{i}" for i in range(nf)]
+    return Layers(receivers.join(F.broadcast(rl), receivers["pat"] == rl["R"], "inner").select("rkey", "layer", "R", "D", "S", "n_shared", *zs),
+                  donors.join(F.broadcast(dl), donors["pat"] == dl["D"], "inner").select("id", "layer", "S", *zs, *xs), n_points)
+
+
+def _grid_candidates(layers: Layers, nf: int, k: int, cell_width: float, chunk_rows: int, whole: bool):
+    """Exact per-layer top k for receivers with a usable radius; returns
+    (candidates, receivers left over). ``whole``: a cell spans all
+    values, so the own cell holds every donor of the layer and nobody is left."""
+    n_points = layers.n_points
     cell_cols = [f"c{i}" for i in range(nf)]
     in_s = [F.col("S").bitwiseAND(F.lit(1 << i)) != 0 for i in range(nf)]
 
     def cell(x):
         return F.lit(0).cast("long") if whole else F.floor(x / F.lit(cell_width)).cast("long")
     cells = [F.when(in_s[i], cell(F.col(f"z{i}"))).otherwise(F.lit(0)).cast("long").alias(f"c{i}") for i in range(nf)]
-
-    rec_l = (receivers.join(F.broadcast(rl), receivers["pat"] == rl["R"], "inner")
-                      .select("rkey", "layer", "R", "D", "S", "n_shared", *[f"z{i}" for i in range(nf)]))
-    rec_l = rec_l.select("*", *cells)
-    don_l = (donors.join(F.broadcast(dl), donors["pat"] == dl["D"], "inner")
-                   .select("id", "layer", "S", *[f"z{i}" for i in range(nf)], *[f"x{i}" for i in range(nf)]))
-    don_l = don_l.select("*", *cells)
+    rec_l, don_l = layers.receivers.select("*", *cells), layers.donors.select("*", *cells)
 
     # Phase 1: own cell (and bucket mates). U_f = k-th distance of feature f over
     # all layers; a layer is then searched within the largest U_f of its features.
@@ -297,11 +306,20 @@ def _grid_candidates(receivers: DataFrame, donors: DataFrame, rec_patterns: dict
     return _dedup(own.unionByName(ring)), left
 
 
-def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
-               k: int = C.KNN_NEIGHBOURS, cell_width: float = CELL_WIDTH, chunk_rows: int = CHUNK_ROWS,
-               debug: bool = False) -> DataFrame:
-    """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
-    nf = len(features)
+@dataclass
+class Points:
+    """Both sides of the search, and what filling in needs."""
+    clean: DataFrame
+    receivers: DataFrame     # rkey, __vec, pat, z0..: one per distinct vector with a missing feature
+    donors: DataFrame        # id, pat, z0.., x0..
+    features: list[str]
+    means: list
+    span: float              # widest range of a feature, in deviations
+    any_missing: object
+
+
+def points(df: DataFrame, features: list[str], id_col: str, k: int) -> Points:
+    """``receivers`` is None if no row lacks a feature."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -316,13 +334,12 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     clean = clean.checkpoint()
     means, sds, span, n_incomplete = _stats(clean, features, any_missing)
     if n_incomplete == 0:
-        return clean
+        return Points(clean, None, None, features, means, span, any_missing)
 
     zcols = [((F.col(f) - F.lit(means[i] if means[i] is not None else 0.0)) / F.lit(sds[i])).alias(f"z{i}")
              for i, f in enumerate(features)]
     xcols = [F.col(f).alias(f"x{i}") for i, f in enumerate(features)]
     pat = sum((F.col(f).isNotNull().cast("int") * F.lit(1 << i) for i, f in enumerate(features)), F.lit(0))
-
     vec = F.struct(*[F.col(f) for f in features])
     # One receiver per distinct vector, keyed by its smallest row id (exact, unique).
     receivers = (clean.filter(any_missing).groupBy(vec.alias("__vec"))
@@ -337,37 +354,73 @@ def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL
     wv = Window.partitionBy(*[F.col(f) for f in features]).orderBy(F.col(id_col).cast("long"))
     donors = (clean.withColumn("__rn", F.row_number().over(wv)).filter(F.col("__rn") <= k)
                    .select(F.col(id_col).cast("long").alias("id"), pat.alias("pat"), *zcols, *xcols)).checkpoint()
+    return Points(clean, receivers, donors, features, means, span, any_missing)
+
+
+def _pattern_counts(side: DataFrame) -> dict[int, int]:
+    """Rows per observed null pattern: at most 2^n_features rows reach the driver."""
+    return {r["pat"]: r["n"] for r in side.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _far_candidates(remaining: DataFrame, pts: Points, don_patterns: dict[int, int], k: int, cell_width: float, chunk_rows: int) -> DataFrame | None:
+    nf = len(pts.features)
+    layers = _layers(remaining, pts.donors, _pattern_counts(remaining), don_patterns, nf)
+    if layers is None:
+        return None
+    zs = [f"z{i}" for i in range(nf)]
+    return knn_index.best_first(layers.receivers, layers.donors,
+                                lambda rec, don: _cell_search(rec, don, ["cell"], zs, k, chunk_rows, max(rec.count(), don.count())),
+                                nf, k, pts.span, cell_width)
+
+
+def neighbours(pts: Points, k: int = C.KNN_NEIGHBOURS, cell_width: float = CELL_WIDTH, chunk_rows: int = CHUNK_ROWS,
+               method: str = "exact") -> DataFrame:
+    """(rkey, feature, donor, dist, value, rn): the k nearest donors of each receiver
+    and missing feature. ``method``: ``exact``, or ``lsh``, which may miss some."""
+    nf, spark = len(pts.features), pts.clean.sparkSession
+    don_patterns = _pattern_counts(pts.donors)
+    layers = _layers(pts.receivers, pts.donors, _pattern_counts(pts.receivers), don_patterns, nf)
+    if layers is None:
+        return _top_k(spark.createDataFrame([], CAND_SCHEMA), k)
+    if method == "lsh":
+        near, left = _lsh_candidates(layers, nf, k, chunk_rows)
+    elif method == "exact":
+        near, left = _grid_candidates(layers, nf, k, cell_width, chunk_rows, cell_width > pts.span)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    if left is None:
+        return _top_k(near, k)
+    left = left.checkpoint()
+    if left.isEmpty():
+        return _top_k(near, k)
+    far = _far_candidates(pts.receivers.join(left, "rkey", "left_semi").checkpoint(), pts, don_patterns, k, cell_width, chunk_rows)
+    return _top_k(near.join(left, "rkey", "left_anti").unionByName(_dedup(far)), k)
+
+
+def _lsh_candidates(layers: Layers, nf: int, k: int, chunk_rows: int):
+    """Candidates that share a key with their receiver in some table, and the receivers
+    that lack k of them for some feature."""
+    zs = [f"z{i}" for i in range(nf)]
+    rec, don = knn_index.lsh_keys(layers.receivers, nf), knn_index.lsh_keys(layers.donors, nf)
+    found = _dedup(_cell_search(rec, don, ["cell"], zs, k, chunk_rows, layers.n_points * knn_index.TABLES)).checkpoint()
+    missing = layers.receivers.groupBy("rkey").agg(F.first("R").alias("R"))
+    lacks = missing.select("rkey", F.explode(F.array_compact(F.array(*(
+        F.when(F.col("R").bitwiseAND(F.lit(1 << i)) == 0, F.lit(i)) for i in range(nf))))).alias("feature"))
+    n = found.groupBy("rkey", "feature").agg(F.count(F.lit(1)).alias("n"))
+    left = lacks.join(n, ["rkey", "feature"], "left").filter(F.coalesce("n", F.lit(0)) < k).select("rkey").distinct()
+    return found, left
 
-    def pattern_counts(side: DataFrame) -> dict[int, int]:
-        # Rows per observed null pattern: at most 2^n_features rows reach the driver.
-        return {r["pat"]: r["n"] for r in side.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    don_patterns = pattern_counts(donors)
-    cand = spark.createDataFrame([], CAND_SCHEMA)
-    remaining, width = receivers, cell_width
-    # Receivers left without a usable radius retry on a coarser grid. The last one has
-    # cells as wide as the values' range: the own cell is the whole layer.
-    while True:
-        whole = width > span
-        grid, left = _grid_candidates(remaining, donors, pattern_counts(remaining), don_patterns,
-                                      nf, k, width, chunk_rows, whole)
-        if grid is None:
-            break
-        if whole:
-            cand = cand.unionByName(grid)
-            break
-        # Both are receiver subsets; checkpointing cuts each level's lineage so
-        # the next level's plan does not carry this one.
-        left = left.checkpoint(eager=True)
-        cand = cand.unionByName(grid.join(left, on="rkey", how="left_anti"))
-        remaining = remaining.join(left, on="rkey", how="left_semi").checkpoint(eager=True)
-        if debug:
-            print(f"knn: width {width}: {remaining.count()} receivers left", flush=True)
-        if remaining.isEmpty():
-            break
-        width *= GRID_STEP
-
-    top = _top_k(cand, k)
+
+def impute_knn(df: DataFrame, features: list[str], id_col: str = "INGRESO_ACTUAL",
+               k: int = C.KNN_NEIGHBOURS, cell_width: float = CELL_WIDTH, chunk_rows: int = CHUNK_ROWS,
+               method: str = "exact") -> DataFrame:
+    """Replace NULL/NaN features by the distance-weighted mean of the k nearest donors."""
+    pts = points(df, features, id_col, k)
+    if pts.receivers is None:
+        return pts.clean
+    top = neighbours(pts, k, cell_width, chunk_rows, method)
+    clean, receivers, any_missing, nf, means = pts.clean, pts.receivers, pts.any_missing, len(features), pts.means
+    vec = F.struct(*[F.col(f) for f in features])
     zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("rkey", "feature"))
     weighted = top.withColumn("wt", F.when(zero == 1, (F.col("dist") == 0).cast("double"))
                                      .otherwise(F.lit(1.0) / F.col("dist")))

@@ -203,6 +203,19 @@ def exact_medians(df: DataFrame, value_cols: list[str], by: list[str] = ()) -> D
     return weighted_medians(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), keys)
 
 
+def approximate_medians(df: DataFrame, value_cols: list[str], error: float) -> DataFrame:
+    """(feature, median): a value of the column whose rank is within ``error`` of the
+    middle, as a share of its values; NULL and NaN left out. Quantile sketches of a
+    bounded size, merged in one aggregate: one pass, one small row a task."""
+    if not 0 < error < 0.5:
+        raise ValueError(f"the rank error is a share of the rows between 0 and 0.5, not {error}")
+    accuracy = math.ceil(1 / error)
+    values = [F.col(c).cast("double") for c in value_cols]
+    row = df.agg(*(F.percentile_approx(F.when(~F.isnan(v), v), 0.5, accuracy).alias(f"q{i}") for i, v in enumerate(values)))
+    listed = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("median")) for i, c in enumerate(value_cols))))
+    return row.select(listed.alias("m")).select("m.*").filter(F.col("median").isNotNull())
+
+
 def weighted_medians(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, median) from (keys, value, n): how often each value occurs."""
     if not keys:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carelens import config as C
 from carelens.functions import clinical as X
 from carelens.operators import correlation as CORR
+from carelens.operators import delong as DL
 from carelens.operators import evaluate as E
 from carelens.operators import profile as P
 from carelens.operators.deal import deal, partition_count
@@ -321,3 +322,47 @@ def score_summary_dense(spark, sf_dir):
 def score_histogram_overall(spark, sf_dir):
     """One 30-bin histogram of a probability over every admission."""
     return rounded(E.score_histogram(FM.scored(spark, sf_dir), [], score="PROB_LR"))
+
+
+# Placement values row by row, from plain windows.
+PLACED = """placed AS (
+  SELECT *, CASE WHEN label = 1 THEN (negs - neg_ties / 2.0) / nullif(N, 0) ELSE (P - poss + pos_ties / 2.0) / nullif(P, 0) END AS v FROM (
+    SELECT *, COUNT(*) FILTER (WHERE label = 0) OVER up AS negs, COUNT(*) FILTER (WHERE label = 1) OVER up AS poss,
+      COUNT(*) FILTER (WHERE label = 0) OVER ties AS neg_ties, COUNT(*) FILTER (WHERE label = 1) OVER ties AS pos_ties,
+      COUNT(*) FILTER (WHERE label = 1) OVER whole AS P, COUNT(*) FILTER (WHERE label = 0) OVER whole AS N
+    FROM preds WINDOW up AS (PARTITION BY model ORDER BY score RANGE UNBOUNDED PRECEDING), ties AS (PARTITION BY model, score),
+      whole AS (PARTITION BY model)))"""
+VARIANCE = "sqrt(var_samp(v) FILTER (WHERE label = 1) / COUNT(*) FILTER (WHERE label = 1) + var_samp(v) FILTER (WHERE label = 0) / COUNT(*) FILTER (WHERE label = 0))"
+INTERVALS = f"""intervals AS (SELECT model, avg(v) FILTER (WHERE label = 1) AS auc, {VARIANCE} AS se,
+  COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg FROM placed GROUP BY model)"""
+INTERVAL_SELECT = f""" SELECT model, {r6('auc')} AS auc, {r6('se')} AS se, {r6(f'greatest(0, auc - {DL.Z95} * se)')} AS low,
+   {r6(f'least(1, auc + {DL.Z95} * se)')} AS high, n_pos, n_neg FROM intervals"""
+DIFFERENCES = f"""rank_m AS (SELECT model, {FM.MODEL_RANK} AS r FROM intervals), both AS (
+  SELECT a.model AS model_a, b.model AS model_b, a.label AS label, a.v - b.v AS v FROM placed a JOIN placed b
+    ON a.INGRESO_ACTUAL = b.INGRESO_ACTUAL JOIN rank_m x ON x.model = a.model JOIN rank_m y ON y.model = b.model WHERE x.r < y.r),
+ diffs AS (SELECT model_a, model_b, {VARIANCE} AS se FROM both GROUP BY ALL)"""
+DIFFERENCE_SELECT = f""" SELECT model_a, model_b, {r6('a.auc')} AS auc_a, {r6('b.auc')} AS auc_b, {r6('a.auc - b.auc')} AS difference, {r6('d.se')} AS se,
+   {r6('(a.auc - b.auc) / d.se')} AS z, abs((a.auc - b.auc) / d.se) > {DL.Z95} AS "distinct"
+ FROM diffs d JOIN intervals a ON a.model = model_a JOIN intervals b ON b.model = model_b"""
+
+
+@query("auc_intervals", FM.chain(PLACED, INTERVALS) + INTERVAL_SELECT)
+def auc_intervals_q(spark, sf_dir):
+    """ROC AUC of each model with its standard error and 95 % interval."""
+    return rounded(DL.auc_intervals(FM.predictions(spark, sf_dir)))
+
+
+@query("auc_intervals_dense", FM.dense_chain(PLACED, INTERVALS) + INTERVAL_SELECT)
+def auc_intervals_dense(spark, sf_dir):
+    return rounded(DL.auc_intervals(FM.dense_predictions(spark, sf_dir)))
+
+
+@query("auc_differences", FM.chain(PLACED, INTERVALS, DIFFERENCES) + DIFFERENCE_SELECT)
+def auc_differences_q(spark, sf_dir):
+    """Whether one model's AUC is above another's by more than its uncertainty."""
+    return rounded(DL.auc_differences(FM.predictions(spark, sf_dir), C.MODEL_ORDER))
+
+
+@query("auc_differences_dense", FM.dense_chain(PLACED, INTERVALS, DIFFERENCES) + DIFFERENCE_SELECT)
+def auc_differences_dense(spark, sf_dir):
+    return rounded(DL.auc_differences(FM.dense_predictions(spark, sf_dir), C.MODEL_ORDER))

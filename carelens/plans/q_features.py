@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from carelens import config as C
@@ -11,7 +13,8 @@ from carelens.operators.prepare import add_previous_discharge
 from carelens.plans import inputs as I
 from carelens.plans import sql_twins as S
 from carelens.plans.catalog import query, r6, rounded
-from carelens.sources.episodes import EXTRACT_COLUMNS, inpatient_filter, resolve_columns
+from carelens.session import ensure_checkpoint_dir
+from carelens.sources.episodes import EXTRACT_COLUMNS, inpatient_filter, part_bounds, part_predicates, resolve_columns
 
 PREP_B = S.prepared_sql("batch")
 PREP_V = S.prepared_sql("service")
@@ -171,6 +174,25 @@ def previous_discharge_hot(spark, sf_dir):
                               slice_rows=HOT_SLICE).drop("FECHA_EGRESO_DEL_INGRESO_ACTUAL")
 
 
+#: Parts of ``scan_parts``.
+PARTS = 7
+
+
+@query("scan_parts", S.with_steps(FIX, f"""n_e AS (
+   SELECT CASE WHEN INGRESO_ACTUAL % 10 > 0 THEN INGRESO_ACTUAL END AS k FROM episodes), m_e AS (
+   SELECT min(k) AS lo, (max(k) - min(k) + {PARTS}) // {PARTS} AS step FROM n_e)""") + """
+ SELECT CAST(CASE WHEN k IS NULL THEN 0 ELSE 1 + (k - lo) // step END AS INT) AS part, COUNT(*) AS n FROM n_e, m_e GROUP BY ALL""")
+def scan_parts(spark, sf_dir):
+    """Rows of each part of a database scan, by the predicates that the scan would send;
+    a tenth of the rows have no number."""
+    k = F.col("INGRESO_ACTUAL")
+    e = I.episodes(spark, sf_dir).select(F.when(k % 10 > 0, k).alias("k")).checkpoint()
+    bounds = part_bounds([tuple(e.agg(F.min("k"), F.max("k")).first())], PARTS)
+    tests = [F.expr(p.replace('"', "`")) for p in part_predicates("k", bounds)]
+    met = F.filter(F.array(*(F.when(t, F.lit(i)) for i, t in enumerate(tests))), lambda i: i.isNotNull())
+    return e.select(F.explode(met).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
 LATEST_SQL = """
  SELECT DOCUMENTO, INGRESO_ACTUAL, FECHA_INGRESO_ACTUAL, "HOSPITALIZACIONES_ULTIMO_AÑO", n_episodes FROM (
    SELECT *, ROW_NUMBER() OVER (PARTITION BY DOCUMENTO
@@ -199,3 +221,24 @@ def alias_resolution(spark, sf_dir):
              ["patient_id", "admission_date", "hospitalizations", "days_since_discharge", "adherence", "cause"]}
     found = resolve_columns(df, roles, required=["patient_id"])
     return df.select(*[F.col(c).alias(role) for role, c in found.items() if c], "INGRESO_ACTUAL")
+
+
+@query("saved_results", S.with_steps(FIX) + """, first_r AS (SELECT COUNT(DISTINCT DOCUMENTO) AS n FROM episodes), more_r AS (
+   SELECT COUNT(*) AS n FROM (SELECT DISTINCT DOCUMENTO FROM episodes UNION SELECT 'NUEVO'))
+ SELECT 1 AS call, 'first' AS what, FALSE AS reused, n FROM first_r UNION ALL SELECT 2, 'again', TRUE, n FROM first_r
+ UNION ALL SELECT 3, 'new input', FALSE, n FROM more_r UNION ALL SELECT 4, 'old input', TRUE, n FROM first_r
+ UNION ALL SELECT 5, 'too old', FALSE, n FROM first_r""")
+def saved_results(spark, sf_dir):
+    """The latest admission of each patient, asked for five times: built, read again,
+    built for new input, read again for the first input, and built anew when it is too old."""
+    from carelens.plans.results import MAX_AGE, Results
+    e = I.episodes(spark, sf_dir).select("DOCUMENTO", "FECHA_INGRESO_ACTUAL", "INGRESO_ACTUAL").checkpoint()
+    more = e.unionByName(e.limit(1).select(F.lit("NUEVO").alias("DOCUMENTO"), "FECHA_INGRESO_ACTUAL", "INGRESO_ACTUAL")).checkpoint()
+    now = [1_000_000.0]
+    kept = Results(spark, f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}", clock=lambda: now[0])
+    out = []
+    for what, source, later in (("first", e, 0), ("again", e, 100), ("new input", more, 1), ("old input", e, 1), ("too old", e, MAX_AGE)):
+        now[0] += later
+        table = kept.table("latest", source, lambda d: windows.latest_by_key(d, "DOCUMENTO", "FECHA_INGRESO_ACTUAL", "INGRESO_ACTUAL"), variant="batch")
+        out.append((len(out) + 1, what, kept.log[-1][1], table.count()))
+    return spark.createDataFrame(out, "call int, what string, reused boolean, n long")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from carelens import config as C
-from carelens.operators.knn import impute_knn
+from carelens.operators.knn import impute_knn, neighbours, points
 from carelens.plans import inputs as I
 from carelens.plans import sql_twins as S
 from carelens.plans.catalog import query, r6, rounded
@@ -57,3 +59,24 @@ def impute_knn_q(spark, sf_dir):
     """KNN imputation (k=5, inverse-distance) of the 8 inpatient features."""
     prepared = I.prepared(spark, sf_dir, "service")
     return rounded(impute_knn(prepared, FEATS, id_col="INGRESO_ACTUAL").select("INGRESO_ACTUAL", *FEATS))
+
+
+@query("knn_lsh_recall")
+def knn_lsh_recall(spark, sf_dir):
+    """Per feature: receivers, their nearest donors by the exact search, and how many of
+    them random projections find too (as near, if several donors are equally far)."""
+    pts = points(I.prepared(spark, sf_dir, "service"), FEATS, "INGRESO_ACTUAL", C.KNN_NEIGHBOURS)
+    exact = neighbours(pts).checkpoint()
+    last = exact.groupBy("rkey", "feature").agg(F.max(F.round("dist", 9)).alias("reach"), F.count(F.lit(1)).alias("n"))
+    found = neighbours(pts, method="lsh").select("rkey", "feature", F.round("dist", 9).alias("dist"))
+    hits = last.join(found, ["rkey", "feature"], "left").groupBy("rkey", "feature").agg(
+        F.first("n").alias("n"), F.count_if(F.col("dist") <= F.col("reach")).alias("hits"))
+    return hits.groupBy("feature").agg(F.count(F.lit(1)).alias("receivers"), F.sum("n").alias("nearest"), F.sum("hits").alias("found"),
+                                       F.round(F.sum("hits") / F.sum("n"), 4).alias("recall"))
+
+
+@query("impute_knn_lsh")
+def impute_knn_lsh_q(spark, sf_dir):
+    """KNN imputation with random projections in place of the exact search."""
+    prepared = I.prepared(spark, sf_dir, "service")
+    return rounded(impute_knn(prepared, FEATS, id_col="INGRESO_ACTUAL", method="lsh").select("INGRESO_ACTUAL", *FEATS))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from carelens import config as C
 from carelens.operators import profile as P
+from carelens.operators.impute import medians
 from carelens.plans import inputs as I
 from carelens.plans import sql_twins as S
 from carelens.plans.catalog import query, r6, rounded
@@ -100,3 +103,22 @@ def _medians_sql(prep: str, features: list[str]) -> str:
 @query("feature_medians", S.with_steps(PREP_B) + _medians_sql("prep_b", C.BATCH_FEATURES))
 def feature_medians(spark, sf_dir):
     return rounded(P.feature_medians(I.prepared(spark, sf_dir), C.BATCH_FEATURES))
+
+
+#: Rank error of ``feature_medians_approx``.
+MEDIAN_ERROR = 0.01
+
+
+@query("feature_medians_approx", S.with_steps(PREP_B) + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, COUNT({_q(f)}) AS n, TRUE AS within FROM prep_b" for f in C.BATCH_FEATURES))
+def feature_medians_approx(spark, sf_dir):
+    """Whether the rank of each sketched median is within MEDIAN_ERROR of the middle."""
+    rows = I.prepared(spark, sf_dir).select(*(F.col(f).cast("double").alias(f) for f in C.BATCH_FEATURES)).checkpoint()
+    found = medians(rows, C.BATCH_FEATURES, MEDIAN_ERROR)
+    counts = rows.agg(*(x for i, f in enumerate(C.BATCH_FEATURES) for x in (
+        F.count(f).alias(f"n{i}"), F.count_if(F.col(f) < found[f]).alias(f"b{i}"), F.count_if(F.col(f) <= found[f]).alias(f"u{i}"))))
+    # The value's ranks reach from b + 1 to u.
+    near = [(F.col(f"b{i}") + 1 <= F.ceil(F.col(f"n{i}") * (0.5 + MEDIAN_ERROR))) & (F.col(f"u{i}") >= F.floor(F.col(f"n{i}") * (0.5 - MEDIAN_ERROR)))
+            for i in range(len(C.BATCH_FEATURES))]
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("n"), near[i].alias("within"))
+                                             for i, f in enumerate(C.BATCH_FEATURES)))).alias("m")).select("m.*")

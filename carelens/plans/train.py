@@ -66,10 +66,10 @@ def model_ready(prepared: DataFrame, cfg: Config, knn_imputed: DataFrame | None
     if cfg.variant == "batch":
         if cfg.fit_on == "train":
             split = stratified_split(prepared.checkpoint(eager=True))
-            fill = medians(split.filter(~F.col("is_test")), feats)
+            fill = medians(split.filter(~F.col("is_test")), feats, cfg.median_error)
             imputed = impute_median(split, feats, values=fill)
         else:
-            fill = medians(prepared, feats)
+            fill = medians(prepared, feats, cfg.median_error)
             imputed = stratified_split(impute_median(prepared, feats, values=fill).checkpoint(eager=True))
     else:
         if knn_imputed is None:

@@ -100,16 +100,76 @@ def jdbc_options(url: str, table: str, partition_column: str, lower_bound: int |
                       "numPartitions": str(num_partitions)}
 
 
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def source_query(table: str, columns: list[str] | None = None, only_inpatient: bool = False) -> str:
+    """The part of the source that is read, as a query the database runs: named
+    columns, and only inpatient admissions if asked for."""
+    listed = ", ".join(_quoted(c) for c in columns or [f.name for f in SOURCE_SCHEMA.fields])
+    where = f" WHERE {_quoted('TIPO_INGRESO')} = '{C.INPATIENT}'" if only_inpatient else ""
+    return f"SELECT {listed} FROM {table}{where}"
+
+
+def bounds_query(query: str, column: str, parts: int, by: str = "range") -> str:
+    """The least value of each part: of ``parts`` equal ranges between the least and the
+    greatest value (``range``: those two), or of parts of equal numbers of rows (``quantiles``)."""
+    c = _quoted(column)
+    if by == "range":
+        return f"SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM ({query}) src"
+    if by == "quantiles":
+        return (f"SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM (SELECT {c}, NTILE({parts}) OVER (ORDER BY {c}) AS part "
+                f"FROM ({query}) src WHERE {c} IS NOT NULL) tiles GROUP BY part")
+    raise ValueError(f"bounds are by range or by quantiles, not {by!r}")
+
+
+def part_bounds(rows: list[tuple], parts: int, by: str = "range") -> list[int]:
+    """Where parts begin, but for the first, from the rows of ``bounds_query``."""
+    rows = [r for r in rows if r[0] is not None]
+    if not rows:
+        return []
+    if by == "quantiles":
+        return sorted({int(lo) for lo, _ in rows})[1:]
+    lo, hi = int(rows[0][0]), int(rows[0][1])
+    step = -(-(hi - lo + 1) // parts)
+    return [b for b in range(lo + step, hi + 1, step)]
+
+
+def part_predicates(column: str, bounds: list[int]) -> list[str]:
+    """A predicate per part, that every row meets exactly one of: rows without a value
+    have one, values below the first bound and from the last one on are in the end parts."""
+    c = _quoted(column)
+    if not bounds:
+        return [f"{c} IS NULL", f"{c} IS NOT NULL"]
+    middle = [f"{c} >= {a} AND {c} < {b}" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [f"{c} IS NULL", f"{c} < {bounds[0]}", *middle, f"{c} >= {bounds[-1]}"]
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str = "INGRESO_ACTUAL",
               lower_bound: int | None = None, upper_bound: int | None = None,
-              num_partitions: int = 64, properties: dict | None = None) -> DataFrame:
+              num_partitions: int = 64, properties: dict | None = None, columns: list[str] | None = None,
+              only_inpatient: bool = False, bounds_by: str = "range") -> DataFrame:
     """Parallel JDBC scan of the episode view.
 
     Credentials come only from ``properties`` (user, password, driver); none are
-    kept in code. Bounds only shape the partition ranges, no row is dropped.
+    kept in code. The database runs the column list and the inpatient filter. Without
+    given bounds they are read from the source (one row, or with ``bounds_by="quantiles"``
+    one a part, which evens out gaps in the numbers), and the parts are
+    predicates that are disjoint and complete, rows without a number included.
+    Bounds only shape the parts, no row is dropped.
     """
-    options = jdbc_options(url, table, partition_column, lower_bound, upper_bound, num_partitions, properties)
-    return conform(check_schema(spark.read.format("jdbc").options(**options).load()))
+    properties = properties or {}
+    query = source_query(table, columns, only_inpatient)
+    if num_partitions == 1 or lower_bound is not None or upper_bound is not None:
+        options = jdbc_options(url, f"({query}) src", partition_column, lower_bound, upper_bound, num_partitions, properties)
+        found = spark.read.format("jdbc").options(**options).load()
+    else:
+        asked = jdbc_options(url, f"({bounds_query(query, partition_column, num_partitions, bounds_by)}) bounds", partition_column, None, None, 1, properties)
+        rows = [tuple(r) for r in spark.read.format("jdbc").options(**asked).load().collect()]      # at most a row a part
+        predicates = part_predicates(partition_column, part_bounds(rows, num_partitions, bounds_by))
+        found = spark.read.jdbc(url, f"({query}) src", predicates=predicates, properties={k: str(v) for k, v in properties.items()})
+    return conform(check_schema(found, columns))
 
 
 def inpatient_filter(df: DataFrame) -> DataFrame:
