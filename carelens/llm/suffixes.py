@@ -58,9 +58,9 @@ LENGTH, CORE = 50, 20
 #: Windows of a stretch at most (a run of one byte is cut there).
 LONGEST = 256
 #: Strings of an anchor that are compared in one task.
-BUCKET = 2000
+BUCKET = 20_000
 #: Bytes of text that a task hashes, or sorts, at a time, and hashes that stay in a cache.
-SLICE, SORTED, CACHED = 1 << 20, 1 << 20, 1 << 15
+SLICE, SORTED, CACHED = 1 << 20, 1 << 17, 1 << 15
 #: Bytes of text in a bucket of the stored table. There are no fewer buckets than shuffle
 #: partitions, or Spark would deal the texts out again for the sake of parallelism.
 BUCKET_BYTES = 1 << 25
@@ -376,8 +376,9 @@ def common_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     return order, prefix[:n]
 
 
-def repeated_windows(ords: Sequence[int], strings: Sequence[bytes], length: int) -> list[np.ndarray]:
-    """For each string: which of its windows also stand in one with a smaller id."""
+def _flagged(ords: Sequence[int], strings: Sequence[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Over the strings joined, each with a 0 behind it: which places begin a window
+    that also stands in a string with a smaller id; and the strings' ends."""
     sizes = np.array([len(s) for s in strings])
     ends = np.cumsum(sizes + 1)
     symbols = np.zeros(int(ends[-1]), np.uint16)
@@ -394,7 +395,18 @@ def repeated_windows(ords: Sequence[int], strings: Sequence[bytes], length: int)
         starts = _by_run(group)
         least = np.repeat(np.minimum.reduceat(mine, starts[:-1]), np.diff(starts))
         flags[found[mine > least]] = True
-    return [flags[e - s - 1:e - length] if s >= length else np.zeros(0, bool) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return flags, ends
+
+
+def repeated_windows(ords: Sequence[int], strings: Sequence[bytes], length: int) -> dict[int, list[int]]:
+    """For the number of each string with windows that also stand in one with a smaller
+    id: begin and end (exclusive) of each run of such windows, one after another."""
+    flags, ends = _flagged(ords, strings, length)
+    runs = np.array(_spans(flags), np.int64).reshape(-1, 2)      # no run goes on behind a string
+    owner = np.searchsorted(ends, runs[:, 0], side="right")
+    runs -= np.concatenate(([0], ends))[owner][:, None]
+    cuts = _by_run(owner)
+    return {int(owner[a]): runs[a:b].ravel().tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
 
 
 def _spans(flags: np.ndarray) -> list[int]:
@@ -410,11 +422,8 @@ def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     held: list[tuple] = []
 
     def settled():
-        out = []
-        for r, f in zip(held, repeated_windows([r[1] for r in held], [r[3] for r in held], length), strict=True):
-            if f.any():
-                out.append((r[0], r[2], _spans(f)))
-        return out
+        found = repeated_windows([r[1] for r in held], [r[3] for r in held], length)
+        return [(held[k][0], held[k][2], spans) for k, spans in found.items()]
 
     total = 0
     for batch in batches:
@@ -434,11 +443,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         rows = []
         for digest, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode("utf-8")
-            edge = np.zeros(len(data) + 1, np.int32)
-            for s in spans:
-                pairs = np.asarray(s).reshape(-1, 2)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.subtract.at(edge, pairs[:, 1] + length - 1, 1)
+            pairs = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
+            edge = np.bincount(pairs[:, 0], minlength=len(data) + 1) - np.bincount(pairs[:, 1] + length - 1, minlength=len(data) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             rows.append((digest, int(gone.sum()), len(_spans(gone)) // 2, kept, sha256(kept).hexdigest()))

@@ -52,8 +52,11 @@ def test_repeated_windows(seed):
     strings = [base[a:a + r.randrange(5, 90)] for a in (r.randrange(150) for _ in range(60))] + [b"z" * 70, b"z" * 64, b"short"]
     ords = [r.randrange(8) for _ in strings]
     got = repeated_windows(ords, strings, 12)
-    for o, s, f in zip(ords, strings, got, strict=True):
-        assert f.tolist() == [any(p < o and s[k:k + 12] in t for p, t in zip(ords, strings, strict=True)) for k in range(len(s) - 11)]
+    for j, (o, s) in enumerate(zip(ords, strings, strict=True)):
+        flags = [any(p < o and s[k:k + 12] in t for p, t in zip(ords, strings, strict=True)) for k in range(len(s) - 11)]
+        runs = got.get(j, [])
+        assert flags == [any(a <= k < b for a, b in zip(runs[::2], runs[1::2], strict=True)) for k in range(len(flags))]
+        assert all(b < a for b, a in zip(runs[1::2], runs[2::2], strict=False))
 
 
 def test_slices_hold_every_window_once(monkeypatch):
