@@ -19,9 +19,12 @@ whose word sequence also starts in a document with a smaller id are removed.
    by Spark (partial aggregation, skew join), so no task holds such a bucket.
 5. The covered stretches of a document are joined to it and cut out.
 
-The texts are shuffled once: steps 3 and 5 join the same exchange.
+The texts are shuffled once: steps 1, 3 and 5 read the same exchange, and rows with equal
+id and text go through them as one. Equal super-k-mers and the windows of step 4 are told
+apart by 128-bit digests, the texts of one id by 64 bits; step 3 compares words.
 
-Defined cases: a null or blank text, and one shorter than a window, loses nothing.
+Defined cases: a null or blank text, and one shorter than a window, loses nothing; a
+text of any length is read whole. An empty table gives no rows.
 A null id counts as greater than every id, and no id is smaller than itself, so
 rows with equal ids (repeated rows among them) and rows with null ids do not
 remove each other's words. Other columns are ignored.
@@ -53,7 +56,7 @@ PIECE = "ord long, th long, begin int, n int, core long, k1 long, k2 long"
 PACKED = "core long, ord long, k1 long, k2 long, packed binary"
 SINGLE = "ord long, k1 long, k2 long, w1 long, w2 long, at int"
 FOUND = "k1 long, k2 long, spans array<int>"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "ord long, th long, n_words long, n_removed long, kept string"
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -200,7 +203,7 @@ def _counted(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for o, th, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             joined = normalised(text)
             n = joined.count(b" ") + 1 if joined else 0
             removed = 0
@@ -213,8 +216,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Ite
                 gone = np.cumsum(edge[:n]) > 0
                 removed = int(gone.sum())
                 joined = b" ".join(w for w, g in zip(joined.split(b" "), gone.tolist(), strict=True) if not g)
-            rows.append((doc_id, n, removed, joined.decode("utf-8") if with_text else hashlib.sha256(joined).hexdigest()))
-        yield from _sliced(RESULT, rows, [pa.int64()] * 3 + [pa.string()])
+            rows.append((o, th, n, removed, joined.decode("utf-8") if with_text else hashlib.sha256(joined).hexdigest()))
+        yield from _sliced(RESULT, rows, [pa.int64()] * 4 + [pa.string()])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, bucket: int = BUCKET, with_text: bool = True,
@@ -224,7 +227,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, buck
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"),
                          F.xxhash64("text").alias("th"))
-    pieces = keyed.select("ord", "th", "text").mapInArrow(partial(_pieces, window=window, core=min(core, window)), PIECE)
+    # Equal rows go on as one, combined before the shuffle that all uses of the texts share.
+    once = keyed.groupBy("ord", "th").agg(F.first("text").alias("text"))
+    pieces = once.select("ord", "th", "text").mapInArrow(partial(_pieces, window=window, core=min(core, window)), PIECE)
     repeated = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1).select(
         apart(F.col("core")).alias("key"))
     pieces = pieces.withColumn("key", apart(F.col("core"))).join(repeated, "key", "left_semi").select("ord", "th", "begin", "n", "core", "k1", "k2").checkpoint()
@@ -237,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, buck
         F.struct("core", "k1", "k2", "begin", "n", (F.col("strings") > bucket).alias("hot"))).alias("asked"))
     # No checkpoint here, and the same columns as in the last join: both then read
     # one exchange of the texts.
-    joined = keyed.join(asked, ["ord", "th"], "left").select("doc_id", "ord", "text", "asked")
+    joined = once.join(asked, ["ord", "th"], "left").select("th", "ord", "text", "asked")
     partly = (joined.mapInArrow(partial(_packed, window=window), PACKED)
               .repartition("core").sortWithinPartitions("core").mapInArrow(partial(_counted, window=window), FOUND))
     if any_hot:
@@ -254,6 +259,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE, buck
               .select("ord", "th", F.when(later, F.array(F.col("begin"), F.col("begin") + F.col("n")))
                       .otherwise(F.transform("spans", lambda s: s + F.col("begin"))).alias("spans"))
               .groupBy("ord", "th").agg(F.collect_list("spans").alias("spans")))
-    out = keyed.join(covers, ["ord", "th"], "left").select("doc_id", "text", "spans").mapInArrow(
+    cut = once.join(covers, ["ord", "th"], "left").select("ord", "th", "text", "spans").mapInArrow(
         partial(_cut, window=window, with_text=with_text), RESULT)
-    return out.withColumnRenamed("kept_sha256", "kept") if with_text else out
+    cut = cut.select(apart(F.col("th")).alias("key"), F.col("ord").alias("of"), "n_words", "n_removed", "kept")
+    out = keyed.select("doc_id", "ord", apart(F.col("th")).alias("key")).join(cut.withColumnRenamed("of", "ord"), ["ord", "key"])
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept" if with_text else "kept_sha256"))

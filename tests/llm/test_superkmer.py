@@ -49,3 +49,14 @@ def test_against_brute_force(spark, size, bucket):
 def test_empty(spark):
     assert remove_repeats(documents(spark, [])).collect() == []
     assert [(r.n_words, r.n_removed, r.kept) for r in remove_repeats(documents(spark, [None, ""])).collect()] == [(0, 0, "")] * 2
+
+
+def test_many_equal_rows(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    texts = [passage + " end"] * 10_000 + ["start " + passage] * 2 + [passage + " x " + passage] + ["again " * 120] * 300
+    ids = [5] * 10_000 + [7, 8] + [2] + [4] * 150 + [6] * 150
+    rows = remove_repeats(documents(spark, texts, ids)).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    want = {}
+    for r in brute(*zip(*dict.fromkeys(zip(ids, texts, strict=True)), strict=True), 50):
+        want[r] = sum(i == r[0] for i in ids)
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept): r["count"] for r in rows} == want
