@@ -22,8 +22,8 @@ Result: every chosen row with ``copies``, how many times it is taken.
 Defined cases: a null level value is a branch of its own; a null text has 0
 tokens; rows with a null id are told apart by their text; rows with the same id
 follow each other in an epoch's order. Branches without a weight in ``weights``
-have weight 1, those of weight 0 get nothing. Empty tables give no rows. Other
-columns pass through whatever their names.
+have weight 1, those of weight 0 get nothing, and what they could have taken goes to
+their siblings. Empty tables give no rows. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +79,13 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tupl
     spark = leaves.sparkSession
     total = leaves.agg(F.sum("have")).first()[0] or 0
     want = int(total * budget_share) if budget is None else budget
+    # Leaves below a weight of 0 give nothing, so no branch counts them as its capacity.
     caps = leaves.withColumn("cap", F.col("have") * max_epochs)
+    for depth in range(1, len(levels) + 1):
+        closed = [tuple("n" if v is None else f"v{v}" for v in k) for k, w in weights.items() if len(k) == depth and not int(w)]
+        if closed:
+            path = list(levels[:depth])
+            caps = caps.join(F.broadcast(spark.createDataFrame(closed, ", ".join(f"`{p}` string" for p in path))), path, "left_anti")
     given = min(want, total * max_epochs)
     parents: DataFrame | None = None
     for depth in range(1, len(levels) + 1):

@@ -54,6 +54,7 @@ def brute(rows, weights, budget, max_epochs, seed):
     have = {p: sum(tokens[i] for i in ids) for p, ids in leaf.items()}
     w = {tuple(key(x) for x in p): v for p, v in weights.items()}
     grants = {(): min(budget, sum(have.values()) * max_epochs)}
+    have = {p: n for p, n in have.items() if all(w.get(p[:d], 1) for d in (1, 2, 3))}      # nothing below a weight of 0 counts
     for depth in (1, 2, 3):
         nodes = {p[:depth] for p in have}
         for parent in {p[:-1] for p in nodes}:
@@ -62,7 +63,7 @@ def brute(rows, weights, budget, max_epochs, seed):
                 grants |= fill(kids, grants[parent])
     out = {}
     for p, ids in leaf.items():
-        if p not in grants:
+        if p not in grants or p not in have:
             continue
         epochs = grants[p] // have[p] if have[p] else 0
         rest, upto = grants[p] - epochs * have[p], 0
@@ -90,6 +91,16 @@ def test_against_brute_force(spark, budget, epochs):
     assert len(got) == len({r.doc_id for r in got})
 
 
+def test_what_a_closed_branch_could_take_goes_to_its_siblings(spark):
+    rows = [(i, "w " * 100, "l", s, d, "x", 1) for i, (d, s) in enumerate([("x", "p")] * 5 + [("x", "q")] * 5 + [("y", "r")] * 10)]
+    out = run(spark, rows, weights={("x", "l", "q"): 0}, budget=1500, max_epochs=1).select("row.domain", "row.source", "tokens", "copies").collect()
+    got = {}
+    for r in out:
+        got[r.domain, r.source] = got.get((r.domain, r.source), 0) + r.tokens * r.copies
+    assert got == {("x", "p"): 500, ("y", "r"): 1000}
+    assert run(spark, rows, weights={("x",): 0, ("y",): 0}, budget=1500).collect() == []
+
+
 def test_budget_is_met(spark):
     rows = corpus(600, 2)
     out = run(spark, rows, weights={}, budget_share=0.5, max_epochs=2)
