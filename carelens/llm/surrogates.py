@@ -7,13 +7,17 @@
 2. The registry holds each different entity (kind, canonical form) once. Its
    surrogate is keyed and of the same kind and format: digits stay digits, letters
    stay in their script and case, the country code, check digit, network class
-   and separators of the original are kept; given names come from names of the
+   and separators of the original are kept (a valid account number stays valid); given names come from names of the
    same gender and script. Numbers and addresses go through a keyed permutation
    (a Feistel network with cycle walking), so different ones of a format stay
    different.
 3. Collision check over the whole registry: a surrogate that another entity of
    the kind also got, or that is itself an entity of the corpus, is drawn anew with
-   the next attempt number, until there is none.
+   the next attempt number, until there is none. Where the values of a format are
+   nearly all entities themselves, drawing within it can't end: from attempt ``WIDEN``
+   on the format grows by a letter, digit or network, so there is room for all.
+   A name known by its title as one gender anywhere in the corpus has that gender
+   also after a title without one.
 4. Mentions join the registry by entity, are collected per text (by its digest),
    and the surrogate is written in the mention's own separators and case. The
    same entity has the same surrogate in every text (coreference).
@@ -37,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Attempts within an entity's own format, and rounds of drawing at most.
+WIDEN, ROUNDS = 3, 64
 MENTION = "digest string, begin int, stop int, kind string, canon string"
 
 # -- fixed values: forms of address by gender, names by script and gender, alphabets
@@ -258,11 +264,15 @@ def _luhn(body: str) -> int:
     return -total % 10
 
 
-def _ipv4(text: str, key: bytes, tweak: str) -> str:
+def _network(text: str) -> int:
+    """Numbers of an address that name a private, local or multicast network; 0: public."""
     a, b = (int(p) for p in text.split(".")[:2])
     special = {10: 1, 127: 1}.get(a) or (2 if (a, b) in ((192, 168), (169, 254)) else 0) or (2 if a == 172 and 16 <= b < 32 else 0)
-    if special or not 1 <= a <= 223:       # private, local, multicast: the network part stays
-        fixed = special or 1
+    return special or int(not 1 <= a <= 223)
+
+
+def _ipv4(text: str, key: bytes, tweak: str) -> str:
+    if fixed := _network(text):       # the network part stays
         head, x = text.split(".")[:fixed], 0
         for p in text.split(".")[fixed:]:
             x = x << 8 | int(p)
@@ -276,11 +286,18 @@ def _ipv4(text: str, key: bytes, tweak: str) -> str:
             return ".".join(map(str, p))
 
 
+def _mod97(account: str) -> int:
+    """Remainder of an account number (upper-case letters count as 10 to 35), country moved behind."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     """The keyed replacement of an entity, in canonical form."""
     tweak = f"{kind}|{attempt}"
+    wider = max(0, attempt - WIDEN + 1)
     if kind == "email":
         local, _, domain = canon.rpartition("@")
+        local += "x" * wider
         labels = domain.split(".")
         keep = 2 if len(labels) > 2 and labels[-2] == "example" else 1
         moved = same_format(local + "@" + ".".join(labels[:-keep]), key, f"{tweak}|{'.'.join(labels[-keep:])}")
@@ -289,8 +306,14 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
         body = same_format(canon[1:-1], key, f"{tweak}|{canon[0]}")       # the issuer's first digit stays
         return canon[0] + body + str((_luhn(canon[0] + body) + int(canon[-1]) - _luhn(canon[:-1])) % 10)
     if kind == "iban":
-        return canon[:2] + same_format(canon[2:], key, f"{tweak}|{canon[:2]}")
+        if _mod97(canon) != 1:
+            return canon[:2] + same_format(canon[2:], key, f"{tweak}|{canon[:2]}")
+        body = same_format(canon[4:], key, f"{tweak}|{canon[:2]}")
+        return f"{canon[:2]}{98 - _mod97(f'{canon[:2]}00{body}'):02d}{body}"
     if kind == "ipv4":
+        # A used-up network is left for 10.0.0.0/8, and that for the public addresses.
+        if wider and _network(canon):
+            canon = ".".join(["10" if wider == 1 else "8", *canon.split(".")[1:]])
         return _ipv4(canon, key, tweak)
     if kind == "ipv6":
         # Drawn anew, groups may grow: short ones have few values.
@@ -304,9 +327,9 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "phone":
         plus = canon.startswith("+")
         keep = 1 + (1 if canon[1] in "17" else 2) if plus else int(canon[0] == "0")
-        return canon[:keep] + same_format(canon[keep:], key, f"{tweak}|{canon[:keep]}")
+        return canon[:keep] + same_format(canon[keep:] + "0" * wider, key, f"{tweak}|{canon[:keep]}")
     if kind == "ssn":
-        return same_format(canon, key, tweak)
+        return same_format(canon + "0" * wider, key, tweak)
     what, _, rest = kind.partition("-")
     h = int.from_bytes(blake2b(f"{tweak}|{canon}".encode(), key=key[:64]).digest(), "big")
     syllables = SYLLABLES[rest.rpartition("-")[2]]
@@ -329,7 +352,7 @@ def rendered(kind: str, mention: str, canon: str, replacement: str) -> str:
         letters, out = iter(replacement.lstrip("+")), []
         for c in mention:
             out.append(next(letters) if c.isascii() and c.isalnum() else c)
-        return "".join(out)
+        return "".join(out) + "".join(letters)      # more digits than the mention: a widened format
     if kind.startswith(("given", "family")):
         return replacement.upper() if len(mention) > 1 and mention.isupper() else replacement[0].upper() + replacement[1:]
     if kind == "ipv6":
@@ -361,11 +384,24 @@ def _surrogate_column(key: bytes, kind: str, canon: str, attempt: str) -> Column
     return of(F.col(kind), F.col(canon), F.col(attempt))
 
 
+def _with_known_gender(entities: DataFrame) -> DataFrame:
+    """Adds ``drawn_as`` to (kind, canon): a given name of unknown gender is drawn as
+    the one gender that it has elsewhere in the corpus."""
+    part = F.split("kind", "-")
+    given = entities.filter(F.col("kind").startswith("given-"))
+    known = (given.filter(~F.col("kind").startswith("given-u-")).groupBy(part[2].alias("script"), "canon")
+             .agg(F.min(part[1]).alias("gender"), F.max(part[1]).alias("other")).filter(F.col("gender") == F.col("other")).drop("other"))
+    unknown = F.when(F.col("kind").startswith("given-u-"), part[2])
+    return (entities.withColumn("script", unknown).join(known, ["script", "canon"], "left")
+            .select("kind", "canon", F.coalesce(F.concat(F.lit("given-"), "gender", F.lit("-"), "script"), "kind").alias("drawn_as")))
+
+
 def build_registry(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt, replacement) of each different entity, without collisions."""
-    drawn = found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+    entities = _with_known_gender(found.select("kind", "canon").distinct()).checkpoint()
+    drawn = entities.select(F.col("drawn_as").alias("kind"), "canon").distinct().withColumn("attempt", F.lit(0))
     registry = drawn.withColumn("replacement", _surrogate_column(key, "kind", "canon", "attempt")).checkpoint()
-    while True:
+    for _ in range(ROUNDS):
         # The first of equal surrogates keeps it, unless it is an entity of the corpus.
         holder = registry.groupBy("kind", "replacement").agg(F.min("canon").alias("holder"))
         real = registry.select("kind", F.col("canon").alias("replacement"), F.lit(True).alias("real"))
@@ -373,10 +409,11 @@ def build_registry(found: DataFrame, key: bytes) -> DataFrame:
         judged = judged.withColumn("bad", F.col("real").isNotNull() | (F.col("canon") != F.col("holder")))
         again = judged.filter("bad").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).checkpoint()
         if again.isEmpty():
-            return registry
+            return entities.join(registry.withColumnRenamed("kind", "drawn_as"), ["drawn_as", "canon"]).select("kind", "canon", "attempt", "replacement")
         kept = judged.filter(~F.col("bad")).select("kind", "canon", "attempt", "replacement")
         registry = kept.unionByName(again.withColumn(
             "replacement", _surrogate_column(key, "kind", "canon", "attempt"))).checkpoint()
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def _replaced_column(text: str, placed: str) -> Column:

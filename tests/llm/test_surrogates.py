@@ -89,6 +89,59 @@ def test_collisions_are_drawn_anew(spark):
     assert max(r.attempt for r in reg) > 0
 
 
+def registry_is_sound(found, reg):
+    assert {(r.kind, r.canon) for r in reg} == set(found) and len(reg) == len(set(found))
+    real = {(k.split("-")[0], c) for k, c in found}
+    assert not {(r.kind.split("-")[0], r.replacement) for r in reg} & real
+    assert len({(r.kind, r.replacement) for r in reg}) == len(reg)
+    for r in reg:      # the registry is what the keyed draw of its attempt gives
+        assert r.replacement == surrogate(r.kind, r.canon, KEY, r.attempt)
+
+
+def test_used_up_formats_are_widened(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = [("email", f"{a}@{b}.com") for a in letters for b in letters]
+    found += [("ipv4", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    found += [("ssn", f"{i:03d}456789") for i in range(300)] + [("phone", f"{i:07d}") for i in range(200)]
+    reg = build_registry(spark.createDataFrame(found, "kind string, canon string"), KEY).collect()
+    registry_is_sound(found, reg)
+    assert all(S.ip_address(r.replacement).is_private for r in reg if r.kind == "ipv4")
+    assert all(re.fullmatch(r"[a-z]{2,4}@[a-z]\.com", r.replacement) for r in reg if r.kind == "email")
+
+
+def test_wider_surrogates_are_written_whole():
+    for kind, text in (("phone", "123 4567"), ("ssn", "123-45-6789")):
+        new = surrogate(kind, re.sub(r"\D", "", text), KEY, S.WIDEN + 1)
+        assert re.sub(r"\D", "", rendered(kind, text, "", new)) == new and len(new) == len(re.sub(r"\D", "", text)) + 2
+
+
+def test_rounds_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROUNDS", 2)
+    found = [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        build_registry(spark.createDataFrame(found, "kind string, canon string"), KEY)
+
+
+def test_valid_accounts_stay_valid():
+    valid = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    for account in ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        for attempt in range(5):
+            new = surrogate("iban", account, KEY, attempt)
+            assert valid(account) and valid(new) and new != account
+            assert re.sub(r"\d", "9", re.sub("[A-Z]", "A", new[4:])) == re.sub(r"\d", "9", re.sub("[A-Z]", "A", account[4:])) and new[:2] == account[:2]
+    assert surrogate("iban", "DE00370400440532013000", KEY)[:2] == "DE"
+
+
+def test_one_person_under_several_titles(spark):
+    texts = ["Dr. Anna Schmidt came.", "Frau Anna Schmidt left, and Anna Schmidt slept.", "Prof. Kim Berg", "Mr. Kim Berg", "Mrs. Kim Berg", "Dr. Olga Roth"]
+    rows = {r.row.doc_id: r.text for r in replace_entities(documents(spark, texts), KEY).collect()}
+    given = [re.search(r"(?:Dr\.|Frau|Prof\.|Mrs?\.) (\w+) (\w+)", rows[i]).groups() for i in range(6)]
+    assert given[0] == given[1] and given[0][0].startswith(S.GIVEN["latin"]["f"])
+    assert rows[1].count(given[0][0]) == 2
+    assert given[2][0] not in (given[3][0], given[4][0]) and given[3][0] != given[4][0]        # known as both: stays apart
+    assert given[5][0].startswith(S.GIVEN["latin"]["u"])
+
+
 @pytest.mark.parametrize("text", ["a@b", "@", "1.2.3.4.5", "999.1.1.1", "+", "Mr. ", "x@y.zz.", "..@a.b", "1234567 12", "Dr Prof Mr Ms",
                                   "::1 ab:cd", "DE89 3704 0044 0532 0130 00", "A" * 3000 + "@b.c"])
 def test_odd_texts(text):
