@@ -337,10 +337,10 @@ INTERVALS = f"""intervals AS (SELECT model, avg(v) FILTER (WHERE label = 1) AS a
   COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg FROM placed GROUP BY model)"""
 INTERVAL_SELECT = f""" SELECT model, {r6('auc')} AS auc, {r6('se')} AS se, {r6(f'greatest(0, auc - {DL.Z95} * se)')} AS low,
    {r6(f'least(1, auc + {DL.Z95} * se)')} AS high, n_pos, n_neg FROM intervals"""
-DIFFERENCES = f"""rank_m AS (SELECT model, {FM.MODEL_RANK} AS r FROM intervals), both AS (
+DIFFERENCES = f"""rank_m AS (SELECT model, {FM.MODEL_RANK} AS r FROM intervals), matched AS (
   SELECT a.model AS model_a, b.model AS model_b, a.label AS label, a.v - b.v AS v FROM placed a JOIN placed b
     ON a.INGRESO_ACTUAL = b.INGRESO_ACTUAL JOIN rank_m x ON x.model = a.model JOIN rank_m y ON y.model = b.model WHERE x.r < y.r),
- diffs AS (SELECT model_a, model_b, {VARIANCE} AS se FROM both GROUP BY ALL)"""
+ diffs AS (SELECT model_a, model_b, {VARIANCE} AS se FROM matched GROUP BY ALL)"""
 DIFFERENCE_SELECT = f""" SELECT model_a, model_b, {r6('a.auc')} AS auc_a, {r6('b.auc')} AS auc_b, {r6('a.auc - b.auc')} AS difference, {r6('d.se')} AS se,
    {r6('(a.auc - b.auc) / d.se')} AS z, abs((a.auc - b.auc) / d.se) > {DL.Z95} AS "distinct"
  FROM diffs d JOIN intervals a ON a.model = model_a JOIN intervals b ON b.model = model_b"""

@@ -3,6 +3,8 @@ and the trained-model weight report."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from carelens import config as C
@@ -10,9 +12,13 @@ from carelens.operators import lookup as L
 from carelens.operators import profile as P
 from carelens.plans import formula as FM
 from carelens.plans import inputs as I
+from carelens.plans import q_eval  # noqa: F401  (its queries are written and read again below)
 from carelens.plans import sql_twins as S
-from carelens.plans.catalog import query, r6, rounded
+from carelens.plans import train as TR
+from carelens.plans.catalog import ORACLES, QUERIES, query, r6, rounded
 from carelens.plans.scoring import BATCH_EXPORT, BATCH_RENAMES, export_projection, score_columns
+from carelens.session import ensure_checkpoint_dir
+from carelens.sources.sinks import write_small_table, write_table
 
 REPORT_COLS = ["INGRESO_ACTUAL", "FECHA_INGRESO_ACTUAL", C.HOSP, "DIAS_DESDE_EGRESO_ANTERIOR",
                "PROB_GB", "PROB_RF", "PROB_LR"]
@@ -181,16 +187,101 @@ def _spread_weights_sql() -> str:
        FROM w2 LEFT JOIN (VALUES {NAMES_VALUES}) n(var2, name) ON var = n.var2 WHERE var NOT IN ({excluded})) WHERE rn = 1"""
 
 
-@query("weight_report_formula", _spread_weights_sql())
-def weight_report_formula(spark, sf_dir):
-    """The weight report over the formula scores' weights (one aggregate of the episodes)."""
+def _formula_weights(spark, sf_dir):
+    """(coefficients of the standardised features, shares of the other two) of the
+    formula scores, from one aggregate of the episodes."""
     def column(f):
         return F.coalesce(F.col(f).cast("double"), F.lit(50.0)) if f == "EDAD" else F.col(f).cast("double")
     sd = I.prepared(spark, sf_dir).agg(*[F.stddev_pop(column(f)).alias(f"s{i}") for i, f in enumerate(C.BATCH_FEATURES)]).first()
-    raw = {m: [abs(dict(terms).get("EDAD_F" if f == "EDAD" else f, 0.0)) * (sd[f"s{i}"] or 0.0) for i, f in enumerate(C.BATCH_FEATURES)]
-           for m, (_, terms) in FM.FORMULAS.items()}
-    pct = {m: [x / sum(v) * 100 for x in v] for m, v in raw.items()}
-    rows = [(i, f, *(pct[m][i] for m in FM.FORMULAS), sum(pct[m][i] for m in FM.FORMULAS) / 3) for i, f in enumerate(C.BATCH_FEATURES)]
-    weights = spark.createDataFrame(rows, "position int, Variable string, `Peso_RegLogistica_%` double, `Peso_RandomForest_%` double, "
-                                          "`Peso_GradientBoosting_%` double, `Peso_Promedio_%` double")
-    return rounded(L.weight_report(weights))
+    raw = [[dict(terms).get("EDAD_F" if f == "EDAD" else f, 0.0) * (sd[f"s{i}"] or 0.0) for i, f in enumerate(C.BATCH_FEATURES)]
+           for _, terms in FM.FORMULAS.values()]
+    total = [sum(map(abs, v)) or float("nan") for v in raw]
+    return raw[0], *([abs(x) / t for x in v] for v, t in zip(raw[1:], total[1:], strict=True))
+
+
+@query("weight_report_formula", _spread_weights_sql())
+def weight_report_formula(spark, sf_dir):
+    """The weight report over the formula scores' weights."""
+    return rounded(L.weight_report(TR.weights_table(spark, C.BATCH_FEATURES, *_formula_weights(spark, sf_dir))))
+
+
+def _formula_parts_sql() -> str:
+    def part(model, f):
+        x = "coalesce(CAST(EDAD AS DOUBLE), 50e0)" if f == "EDAD" else f'CAST("{f}" AS DOUBLE)'
+        return f"{dict(FM.FORMULAS[model][1]).get('EDAD_F' if f == 'EDAD' else f, 0.0)}e0 * coalesce(stddev_pop({x}), 0)"
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{f}' AS \"Variable\", " + ", ".join(f"{part(m, f)} AS {FM.SHORT[m]}" for m in FM.FORMULAS)
+                              + " FROM prep_b" for i, f in enumerate(C.BATCH_FEATURES))
+    return S.with_steps(S.prepared_sql("batch"), f"w0 AS ({rows})", """w1 AS (SELECT position, "Variable", LR,
+   abs(LR) / sum(abs(LR)) OVER () * 100 AS l, abs(RF) / sum(abs(RF)) OVER () AS r, abs(GB) / sum(abs(GB)) OVER () AS g FROM w0)""")
+
+
+@query("variable_weights_formula", _formula_parts_sql() + f"""
+ SELECT position, "Variable", {r6('LR')} AS "Coef_RegLogistica", {r6('l')} AS "Peso_RegLogistica_%", {r6('r')} AS "Importancia_RandomForest",
+   {r6('r * 100')} AS "Peso_RandomForest_%", {r6('g')} AS "Importancia_GradientBoosting", {r6('g * 100')} AS "Peso_GradientBoosting_%",
+   {r6('(l + r * 100 + g * 100) / 3')} AS "Peso_Promedio_%", CASE WHEN LR > 0 THEN 'aumenta riesgo' ELSE 'disminuye riesgo' END AS direction FROM w1""")
+def variable_weights_formula(spark, sf_dir):
+    """The weight table of the formula scores."""
+    return rounded(TR.weights_table(spark, C.BATCH_FEATURES, *_formula_weights(spark, sf_dir)))
+
+
+@query("importance_formula", _formula_parts_sql() + f"""
+ SELECT 'lr' AS model, "Variable", {r6('LR')} AS "Coeficiente", {r6('abs(LR)')} AS "Importancia" FROM w1
+ UNION ALL SELECT 'rf', "Variable", NULL, {r6('r')} FROM w1 UNION ALL SELECT 'gb', "Variable", NULL, {r6('g')} FROM w1""")
+def importance_formula(spark, sf_dir):
+    """The three rankings of the formula scores in one table."""
+    lr, rf, gb = _formula_weights(spark, sf_dir)
+    first = TR.ranking_table(spark, C.BATCH_FEATURES, lr, signed=True).select(F.lit("lr").alias("model"), "Variable", "Coeficiente",
+                                                                             F.col("Importancia_Abs").alias("Importancia"))
+    for name, values in (("rf", rf), ("gb", gb)):
+        first = first.unionByName(TR.ranking_table(spark, C.BATCH_FEATURES, values).select(
+            F.lit(name).alias("model"), "Variable", F.lit(None).cast("double").alias("Coeficiente"), "Importancia"))
+    return rounded(first)
+
+
+def _place(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("export_reread_csv", ORACLES["export_projection"])
+def export_reread_csv(spark, sf_dir):
+    """The scored export, written as CSV with a header and read again."""
+    rows = export_projection_q(spark, sf_dir)
+    path = _place(spark, "export-csv")
+    write_table(rows, path, "csv")
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@query("export_reread_parquet", ORACLES["export_projection"])
+def export_reread_parquet(spark, sf_dir):
+    """The scored export, written as Parquet by risk tier and read again."""
+    rows = export_projection_q(spark, sf_dir)
+    path = _place(spark, "export")
+    write_table(rows, path, "parquet", partition_by=["NIVEL_RIESGO_REINGRESO"])
+    return spark.read.parquet(path).select(*rows.columns)
+
+
+def _small_csv(spark, name: str, table):
+    path = _place(spark, name)
+    write_small_table(table, path)
+    return spark.read.option("header", True).schema(table.schema).csv(path)
+
+
+@query("metrics_reread_csv", ORACLES["model_metrics"])
+def metrics_reread_csv(spark, sf_dir):
+    """The metrics table, written as one CSV file and read again."""
+    return _small_csv(spark, "metrics", QUERIES["model_metrics"](spark, sf_dir))
+
+
+@query("correlation_reread_csv", ORACLES["correlation_matrix"])
+def correlation_reread_csv(spark, sf_dir):
+    return _small_csv(spark, "correlation", QUERIES["correlation_matrix"](spark, sf_dir))
+
+
+@query("target_correlation_reread_csv", ORACLES["target_correlation"])
+def target_correlation_reread_csv(spark, sf_dir):
+    return _small_csv(spark, "target", QUERIES["target_correlation"](spark, sf_dir))
+
+
+@query("weights_reread_csv", ORACLES["variable_weights_formula"])
+def weights_reread_csv(spark, sf_dir):
+    return _small_csv(spark, "weights", variable_weights_formula(spark, sf_dir))

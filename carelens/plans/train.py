@@ -203,26 +203,28 @@ def score_all(fitted: Fitted) -> DataFrame:
     return score_columns(probabilities(fitted, fitted.data), fitted.best)
 
 
-def importance_table(spark: SparkSession, fitted: Fitted, which: str) -> DataFrame:
-    """One model's ranking, ascending: LR coefficients by their size, tree importances."""
-    names = fitted.features
-    if which == "lr":
-        coef = fitted.lr.stages[-1].coefficients.toArray()
-        rows = [(f, float(coef[i]), float(abs(coef[i]))) for i, f in enumerate(names)]
+def ranking_table(spark: SparkSession, names: list[str], values: list[float], signed: bool = False) -> DataFrame:
+    """One model's ranking, ascending: importances, or (``signed``) coefficients by their size."""
+    if signed:
+        rows = [(f, float(v), float(abs(v))) for f, v in zip(names, values, strict=True)]
         return spark.createDataFrame(rows, "Variable string, Coeficiente double, Importancia_Abs double").orderBy("Importancia_Abs")
-    imp = (fitted.rf if which == "rf" else fitted.gb).stages[-1].featureImportances.toArray()
-    rows = [(f, float(imp[i])) for i, f in enumerate(names)]
+    rows = [(f, float(v)) for f, v in zip(names, values, strict=True)]
     return spark.createDataFrame(rows, "Variable string, Importancia double").orderBy("Importancia")
 
 
-def variable_weights(spark: SparkSession, fitted: Fitted) -> DataFrame:
-    """Per feature: LR coefficient and |coef| share, RF and GB importance (x100), their mean."""
-    coef = list(fitted.lr.stages[-1].coefficients.toArray())
-    rf_imp = list(fitted.rf.stages[-1].featureImportances.toArray())
-    gb_imp = list(fitted.gb.stages[-1].featureImportances.toArray())
+def importance_table(spark: SparkSession, fitted: Fitted, which: str) -> DataFrame:
+    """One model's ranking: LR coefficients by their size, tree importances."""
+    if which == "lr":
+        return ranking_table(spark, fitted.features, fitted.lr.stages[-1].coefficients.toArray(), signed=True)
+    return ranking_table(spark, fitted.features, (fitted.rf if which == "rf" else fitted.gb).stages[-1].featureImportances.toArray())
+
+
+def weights_table(spark: SparkSession, features: list[str], coef: list[float], rf_imp: list[float], gb_imp: list[float]) -> DataFrame:
+    """Per feature: LR coefficient and |coef| share, RF and GB importance (x100), their
+    mean. One row per feature: model attributes, not data."""
     total = sum(abs(c) for c in coef) or float("nan")
     rows = []
-    for i, f in enumerate(fitted.features):
+    for i, f in enumerate(features):
         lr_pct = abs(coef[i]) / total * 100
         rows.append((i, f, float(coef[i]), float(lr_pct), float(rf_imp[i]), float(rf_imp[i] * 100),
                      float(gb_imp[i]), float(gb_imp[i] * 100),
@@ -230,12 +232,17 @@ def variable_weights(spark: SparkSession, fitted: Fitted) -> DataFrame:
     schema = ("position int, Variable string, Coef_RegLogistica double, `Peso_RegLogistica_%` double, "
               "Importancia_RandomForest double, `Peso_RandomForest_%` double, Importancia_GradientBoosting double, "
               "`Peso_GradientBoosting_%` double, `Peso_Promedio_%` double")
-    # One row per feature: model attributes, not data.
     df = spark.createDataFrame(rows, schema)
     return df.withColumn("direction", F.when(F.col("Coef_RegLogistica") > 0, F.lit("aumenta riesgo"))
                                        .otherwise(F.lit("disminuye riesgo")))
 
 
+def variable_weights(spark: SparkSession, fitted: Fitted) -> DataFrame:
+    """``weights_table`` of the fitted models."""
+    return weights_table(spark, fitted.features, list(fitted.lr.stages[-1].coefficients.toArray()),
+                         list(fitted.rf.stages[-1].featureImportances.toArray()), list(fitted.gb.stages[-1].featureImportances.toArray()))
+
+
 def lr_gradient(spark: SparkSession, fitted: Fitted, places: int = 4) -> DataFrame:
     """(feature, gradient): the gradient of the weighted mean loss plus penalty at
     the fitted logistic regression, over the training rows, rounded. One aggregate."""

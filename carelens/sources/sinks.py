@@ -20,7 +20,9 @@ def write_table(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "o
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("encoding", "UTF-8")
+        # Texts as they are: the writer would otherwise cut blanks at their ends.
+        w = (w.option("header", True).option("encoding", "UTF-8")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(target)
 
 
