@@ -7,6 +7,13 @@ its predecessor kept, written as Parquet in the shared folder and read again.
 4. pii: personal data in the texts becomes surrogates; ``n_chars`` follows.
 5. mixing: rows are chosen for the target weights; ``mix_copies`` says how often
    each is taken, ``mix_domain`` and ``mix_tokens`` from what it was chosen.
+
+Defined cases, the same in every stage: nulls in any column pass (a null text is not
+toxic, has no words of a benchmark and no personal data; all texts without words are
+one near-duplicate component, so one of them stays); texts are read whole, whatever
+their length; rows repeated with their id count as one component, of which one stays;
+an empty table gives no rows; columns beyond those of documents pass through, unless
+named like those that mixing adds, which are replaced.
 """
 
 from __future__ import annotations
