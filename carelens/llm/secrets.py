@@ -19,7 +19,8 @@ data. Secrets of a layer that touch nothing decoded there were found in its
 parent already and are not listed again.
 
 Spans are ``kind:start:end`` (code points, end exclusive). The kind of a decoded
-one carries its way down, e.g. ``assign/base64/url``.
+one carries its way down, e.g. ``assign/base64/url``. Of decoded spans of one kind
+and way, those inside a longer one are not listed.
 
 Defined cases: a null or empty text has no secrets. Repeated rows give repeated
 results. Compressed data is unpacked to its end, all members of it, but never more
@@ -396,6 +397,17 @@ def _children(layer: Layer, most: int) -> Iterator[Layer]:
     yield from _base64_layers(layer, most)
 
 
+def _outermost(spans: set[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Without the spans that lie inside a longer one of the same kind and way: a line of
+    a block that is also decoded alone shows parts of the block's secrets."""
+    out, reach = [], {}
+    for start, kind, stop, how in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if stop > reach.get(how, -1):
+            out.append((start, kind, stop, how))
+            reach[how] = stop
+    return sorted(out)
+
+
 def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
     """(base matches, decoded spans, layers): all secrets of one text. Decoded
     spans are (start, kind number, end, kind with its way)."""
@@ -421,7 +433,7 @@ def scan(text: str | None, max_unpacked: int = MAX_UNPACKED):
                 extra.add((a, kind, b, f"{KINDS[kind]}/{layer.way()}"))
         layers += layer.data is None or bool(hits) or _readable(layer.data)
         work.append(_children(layer, max_unpacked))
-    return base, sorted(extra), layers
+    return base, _outermost(extra), layers
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], max_unpacked: int) -> Iterator[pa.RecordBatch]:

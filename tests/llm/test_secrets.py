@@ -181,3 +181,19 @@ def test_valid_parts_of_mixed_runs():
         assert [text[s:e] for s, e in found(text)] == [wrapped("unicode", KEY)]
     plain = "\\ud800" + "deadbeef" * 4 + "\\u0041"
     assert scan(plain)[1] == []
+
+
+def test_wrapped_blocks_list_each_secret_once():
+    secrets = [f"password={hashlib.md5(str(k).encode()).hexdigest()}x" for k in range(400)]
+    plain = "\n".join(f"line {k} {s} end" for k, s in enumerate(secrets))
+    for width in (64, 76):
+        data = base64.b64encode(plain.encode()).decode()
+        text = "begin\n" + "\n".join(data[k:k + width] for k in range(0, len(data), width)) + "\nend"
+        _, extra, _ = scan(text)
+        kinds = [how for *_, how in extra]
+        assert kinds.count("assign/base64") == 400 and kinds.count("hex/base64") == 400 and len(extra) == 800
+        for a, _, b, how in extra:
+            assert not any(x <= a and b <= y and (x, y) != (a, b) and how == h for x, _, y, h in extra)
+    twice = base64.encodebytes(base64.encodebytes(plain.encode())).decode()
+    _, extra, _ = scan(twice)
+    assert sorted(h for *_, h in extra) == ["assign/base64/base64"] * 400 + ["hex/base64/base64"] * 400
