@@ -33,7 +33,7 @@ the windows of step 5 by 128 bits of XXH3; in step 4 bytes are compared.
 Defined cases: a null or empty text, and one shorter than LENGTH, loses nothing. A
 null id counts as greater than every id; rows with equal ids (repeated rows among
 them) and rows with null ids do not remove each other's bytes. A long text is cut
-into overlapping slices for steps 1 and 3. An empty table gives no rows. Only the
+into overlapping slices for steps 2 and 3. An empty table gives no rows. Only the
 named columns are read. What stays of a text need not be valid UTF-8.
 """
 
