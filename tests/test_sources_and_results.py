@@ -119,3 +119,12 @@ def test_auc_uncertainty_of_few_rows(spark):
     assert delong.auc_intervals(df.limit(0)).collect() == []
     same = df.filter("model = 'one'").unionAll(df.filter("model = 'one'").withColumn("model", F.lit("two")))
     assert [(r.difference, r.z) for r in delong.auc_differences(same, ["one", "two"]).collect()] == [(0.0, None)]
+
+
+def test_csv_keeps_blanks_and_nulls(spark, tmp_path):
+    from carelens.sources.sinks import write_table
+    rows = [(1, " 130/85 ", 0.1 + 0.2), (2, None, None), (3, 'a "quoted", text', -0.0), (4, "\ttab ", 1e-300)]
+    df = spark.createDataFrame(rows, "id long, text string, x double")
+    write_table(df, str(tmp_path / "t"), "csv")
+    again = spark.read.option("header", True).schema(df.schema).csv(str(tmp_path / "t"))
+    assert sorted(again.collect()) == sorted(df.collect())
