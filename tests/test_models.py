@@ -131,6 +131,15 @@ def test_fits_repeat_on_several_partitions(spark, monkeypatch):
     assert _trees(once) == _trees(again) == _trees(other) == _trees(spread)
 
 
+def test_training_partitions_do_not_grow_with_every_row(spark, fitted):
+    parts = [TR.training_partition_count(n) for n in (1, 15_000, 105_000, 540_000, 630_000, 6_300_000, 37_800_000, 10 ** 9)]
+    assert parts == [1, 1, 7, 36, 36, 36, 76, 2000]
+    assert all(TR.training_partition_count(n) <= TR.training_partition_count(6 * n) <= 6 * TR.training_partition_count(n)
+               for n in (1, 14_999, 100_000, 600_000, 10 ** 7))
+    rows = TR.training_rows(fitted.data.filter(~F.col("is_test")), fitted.features, 1000)
+    assert set(rows.columns) == {"INGRESO_ACTUAL", "REINGRESO", "weight", TR.TREE_WEIGHT, *fitted.features, *(f + TR.Z for f in fitted.features)}
+
+
 def test_rows_are_dealt_by_their_id(spark):
     from carelens.operators.deal import deal, exact_weight
     df = spark.range(1000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
