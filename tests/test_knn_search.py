@@ -106,6 +106,34 @@ def test_random_projections(spark):
     assert all(d in got[10 ** 6 + i, 0] for i in range(3) for _, d in want[10 ** 6 + i, 0])
 
 
+def test_keys_of_large_layers_hold_few_donors(spark):
+    rng = np.random.default_rng(11)
+    don = rng.normal(size=(30_000, 4))
+    don[:, 3] = rng.integers(0, 3, 30_000)
+    rec = rng.normal(size=(60, 4))
+    rec[:, 3] = rng.integers(0, 3, 60)
+    rec[:, 0] = np.nan
+    pts = _points(spark, rec, don)
+    layers = knn._layers(pts.receivers, pts.donors, knn._pattern_counts(pts.receivers), knn._pattern_counts(pts.donors), 4)
+    held = knn_index.lsh_keys(layers.donors, 4, layers.sizes).groupBy("layer", "cell").count()
+    met = held.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("n")).first().n
+    assert met < 0.12 * len(don)                    # three wide buckets a key: 0.3 and more
+    want, got = _brute(rec, don), {}
+    for r in knn.neighbours(pts, method="lsh").collect():
+        got.setdefault((r.rkey, r.feature), set()).add(r.donor)
+    assert sum(d in got[key] for key, near in want.items() for d, _ in near) >= 0.9 * sum(map(len, want.values()))
+    assert knn_index.lsh_grain(8192) == (3, 3.0) and knn_index.lsh_grain(50_000_000)[0] > knn_index.lsh_grain(500_000)[0] > knn_index.lsh_grain(10_000)[0]
+
+
+def test_one_place_is_met_k_times(spark, monkeypatch):
+    don = np.array([[float(i % 3), float(i)] for i in range(600)])
+    rec = np.array([[1.0, np.nan]])
+    met, search = [], knn._cell_search
+    monkeypatch.setattr(knn, "_cell_search", lambda rec, don, *rest: met.append(don.count()) or search(rec, don, *rest))
+    rows = knn.neighbours(_points(spark, rec, don), cell_width=5.0).collect()
+    assert sorted(r.donor for r in rows) == [1, 4, 7, 10, 13] and max(met) == 15
+
+
 def test_methods_are_checked(spark):
     pts = _points(spark, np.array([[np.nan, 1.0]]), np.array([[1.0, 2.0]]))
     with pytest.raises(ValueError, match="unknown method"):
