@@ -140,6 +140,43 @@ def test_training_partitions_do_not_grow_with_every_row(spark, fitted):
     assert set(rows.columns) == {"INGRESO_ACTUAL", "REINGRESO", "weight", TR.TREE_WEIGHT, *fitted.features, *(f + TR.Z for f in fitted.features)}
 
 
+def test_source_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    prepared = I.prepared(spark, SF0001)
+    n = prepared.count()
+    source = prepared.mapInArrow(counted, prepared.schema)
+    data, weights, fill = TR.model_ready(source, Config("batch"))
+    TR.scaler_stats(data.filter(~F.col("is_test")), TR.C.BATCH_FEATURES)
+    assert data.agg(F.count("weight")).first()[0] == read.value == n
+
+
+def test_fits_run_together(spark, monkeypatch):
+    from threading import Barrier
+    met, real = Barrier(3), TR.Pipeline.fit
+
+    def meet(self, *args):
+        met.wait(60)                # broken unless all three have begun
+        return real(self, *args)
+
+    monkeypatch.setattr(TR.Pipeline, "fit", meet)
+    together = TR.fit(spark, I.prepared(spark, SF0001), Config("batch"), trees=5, rounds=3)
+    monkeypatch.undo()
+    train = TR.training_rows(together.data.filter(~F.col("is_test")), together.features, 1)
+    for alone in (together.rf, together.gb):
+        copy = alone.stages[-1]
+        kind = TR.RandomForestClassifier() if alone is together.rf else TR.GBTClassifier()
+        raw = TR._assemblers(together.features)[0]
+        params = {p.name: v for p, v in copy.extractParamMap().items() if kind.hasParam(p.name)}
+        again = TR.Pipeline(stages=[raw, kind._set(**params)]).fit(train)
+        assert again.stages[-1].toDebugString.split("\n", 1)[1] == copy.toDebugString.split("\n", 1)[1]
+
+
 def test_rows_are_dealt_by_their_id(spark):
     from carelens.operators.deal import deal, exact_weight
     df = spark.range(1000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
