@@ -7,6 +7,7 @@ predict the test rows -> metrics and best model -> score every row.
   evaluation and scoring, so each is checkpointed once into ``spark.checkpoint.dir``:
   lineage is cut and a lost executor re-reads the checkpoint instead of recomputing the
   fixture. Weights and standardised features are projections of it.
+* So are the test rows' probabilities, which every evaluation reads.
 * The three fits do not depend on each other and run at the same time: boosting's several
   hundred short jobs leave cores idle between them.
 * LR reproduces an L2 penalty of C=1 on the sum of losses: Spark minimises the
@@ -39,7 +40,7 @@ from carelens.operators.deal import deal, exact_weight, partition_count
 from carelens.operators.impute import impute_median, medians
 from carelens.operators.split import class_weights, scaler_stats, standardize, stratified_split, weight_column
 from carelens.plans.scoring import PROB_COLS, score_columns
-from carelens.session import ensure_checkpoint_dir
+from carelens.session import ensure_checkpoint_dir, jit_sized_methods
 
 Z = "__z"
 TREE_WEIGHT = "tree_weight"
@@ -60,6 +61,7 @@ class Fitted:
     gb: PipelineModel
     data: DataFrame | None  # imputed, split (checkpointed), weighted, scaled (None after load)
     medians: dict | None = None  # imputation values (batch variant)
+    tested: DataFrame | None = None  # test rows' label and probabilities (checkpointed)
     aucs: dict = field(default_factory=dict)
     best: str = ""
 
@@ -71,7 +73,8 @@ def model_ready(prepared: DataFrame, cfg: Config, knn_imputed: DataFrame | None
     # split ones class weights, scaling, fits and scoring: both are materialised once in the
     # checkpoint folder, so the source is read once and a row's hash computed once more.
     if cfg.variant == "batch":
-        rows = prepared.checkpoint(eager=True)
+        with jit_sized_methods(prepared.sparkSession):
+            rows = prepared.checkpoint(eager=True)
         if cfg.fit_on == "train":
             split = stratified_split(rows).checkpoint(eager=True)
             fill = medians(split.filter(~F.col("is_test")), feats, cfg.median_error)
@@ -157,6 +160,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
     lr_m, rf_m, gb_m = fit_together([Pipeline(stages=[scaled, lr]), Pipeline(stages=[raw, rf]), Pipeline(stages=[raw, gb])], train)
     train.unpersist()
     fitted = Fitted(cfg, feats, stats, w, 1.0 / sum_w, lr_m, rf_m, gb_m, data, medians=fill)
+    fitted.tested = test_probabilities(fitted).checkpoint(eager=True)
     metrics = E.model_metrics(test_predictions(fitted))
     rows = {r["model"]: r for r in metrics.collect()}  # one row per model
     fitted.aucs = {m: rows[m]["roc_auc_pct"] / 100.0 for m in rows}
@@ -207,9 +211,15 @@ def probabilities(fitted: Fitted, df: DataFrame) -> DataFrame:
     return out.drop(*drop)
 
 
+def test_probabilities(fitted: Fitted) -> DataFrame:
+    """The test rows' id, label and three probabilities."""
+    scored = probabilities(fitted, fitted.data.filter(F.col("is_test")))
+    return scored.select("INGRESO_ACTUAL", "REINGRESO", *(PROB_COLS[k] for k in ("lr", "rf", "gb")))
+
+
 def test_predictions(fitted: Fitted) -> DataFrame:
     """Long predictions table of the test rows: (model, INGRESO_ACTUAL, label, score, prediction)."""
-    scored = probabilities(fitted, fitted.data.filter(F.col("is_test")))
+    scored = fitted.tested if fitted.tested is not None else test_probabilities(fitted)
     names = fitted.cfg.model_names
     rows = F.explode(F.array(*[F.struct(F.lit(names[k]).alias("model"), F.col(PROB_COLS[k]).alias("score"))
                                for k in ("lr", "rf", "gb")]))

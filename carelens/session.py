@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +58,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+@contextmanager
+def jit_sized_methods(spark: SparkSession):
+    """For eager steps over many projections: a stage whose generated method has more than
+    8,000 bytes of bytecode, which HotSpot never compiles, runs without whole-stage codegen
+    (each operator's own generated code is cut into small methods). Rows are the same."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 

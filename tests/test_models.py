@@ -9,6 +9,7 @@ from carelens.config import Config
 from carelens.plans import inputs as I
 from carelens.plans import train as TR
 from carelens.plans.scoring import BATCH_EXPORT
+from carelens.session import jit_sized_methods
 
 from conftest import SF0001
 
@@ -177,6 +178,24 @@ def test_fits_run_together(spark, monkeypatch):
         assert again.stages[-1].toDebugString.split("\n", 1)[1] == copy.toDebugString.split("\n", 1)[1]
 
 
+def test_test_rows_are_scored_once(fitted):
+    plan = TR.test_predictions(fitted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan                        # read back, not scored again by every evaluation
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(fitted.tested) == key(TR.test_probabilities(fitted))
+
+
+def test_prepared_rows_run_in_methods_that_are_compiled(spark, monkeypatch):
+    name, prepared = "spark.sql.codegen.hugeMethodLimit", I.prepared(spark, SF0001)
+    before, limits, real = spark.conf.get(name, None), [], type(prepared).checkpoint
+    monkeypatch.setattr(type(prepared), "checkpoint", lambda self, *a, **k: limits.append(spark.conf.get(name, None)) or real(self, *a, **k))
+    TR.model_ready(prepared, Config("batch"))
+    assert limits[0] == "8000" and spark.conf.get(name, None) == before
+    with pytest.raises(ZeroDivisionError), jit_sized_methods(spark):
+        1 / 0
+    assert spark.conf.get(name, None) == before
+
+
 def test_rows_are_dealt_by_their_id(spark):
     from carelens.operators.deal import deal, exact_weight
     df = spark.range(1000).select(F.when(F.col("id") % 100 < 99, F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
