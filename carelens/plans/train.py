@@ -7,7 +7,8 @@ predict the test rows -> metrics and best model -> score every row.
   evaluation and scoring, so each is checkpointed once into ``spark.checkpoint.dir``:
   lineage is cut and a lost executor re-reads the checkpoint instead of recomputing the
   fixture. Weights and standardised features are projections of it.
-* So are the test rows' probabilities, which every evaluation reads.
+* So are the dealt training rows, since every task of some 500 stages carries the lineage of
+  what it reads, and the test rows' probabilities, which every evaluation reads.
 * The three fits do not depend on each other and run at the same time: boosting's several
   hundred short jobs leave cores idle between them.
 * LR reproduces an L2 penalty of C=1 on the sum of losses: Spark minimises the
@@ -139,7 +140,7 @@ def fit(spark: SparkSession, prepared: DataFrame, cfg: Config = Config(), knn_im
         raise ValueError(f"training needs rows of both classes; {n_pos or 0} of {n_train} training rows are readmissions")
     if n_pos < C.FEW_POSITIVES:
         warnings.warn(f"only {n_pos} readmissions among {n_train} training rows; results may be unreliable", stacklevel=2)
-    train = training_rows(train, feats, n_train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = training_rows(train, feats, n_train).checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     raw, scaled = _assemblers(feats)
 
     lr = LogisticRegression(featuresCol="features_z", labelCol="REINGRESO", weightCol="weight",

@@ -185,6 +185,13 @@ def test_test_rows_are_scored_once(fitted):
     assert key(fitted.tested) == key(TR.test_probabilities(fitted))
 
 
+def test_training_rows_carry_no_lineage(spark, monkeypatch):
+    seen, real = [], TR.fit_together
+    monkeypatch.setattr(TR, "fit_together", lambda e, train: seen.append(train) or real(e, train))
+    TR.fit(spark, I.prepared(spark, SF0001), Config("batch"), trees=3, rounds=2)
+    assert len(seen[0]._jdf.queryExecution().analyzed().toString().strip().split("\n")) == 1
+
+
 def test_prepared_rows_run_in_methods_that_are_compiled(spark, monkeypatch):
     name, prepared = "spark.sql.codegen.hugeMethodLimit", I.prepared(spark, SF0001)
     before, limits, real = spark.conf.get(name, None), [], type(prepared).checkpoint
