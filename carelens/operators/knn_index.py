@@ -8,13 +8,14 @@ receiver holds some cells, each with the least and the greatest distance to its
 the k-th donor can't be farther than the greatest distance of the nearest cells that
 hold k, over all layers, so cells that begin beyond it go before the next level is
 opened. Only donors of the leaves that are left are compared. No level compares a
-receiver with a layer, however far out it lies.
+receiver with a layer, however far out it lies. A row of the search is a place: the
+donors of a layer that agree in all shared coordinates.
 
 ``lsh``: approximate. Random projections (``BucketedRandomProjectionLSH``) of the shared
 coordinates, several to a key, in several tables; a receiver is compared with the
-donors that share a key with it in some table, and distances are exact. Layers of more
-than ``COARSE`` donors take finer buckets and one more projection to a key whenever they
-grow by a factor of ``SPREAD / FINE_BUCKET``, so that a key holds about ``PER_KEY`` donors
+places that share a key with it in some table, and distances are exact. Layers of more
+than ``COARSE`` places take finer buckets and one more projection to a key whenever they
+grow by a factor of ``SPREAD / FINE_BUCKET``, so that a key holds about ``PER_KEY`` places
 whatever the layer's size. Receivers that find fewer than k donors for a feature are
 searched by ``best_first``.
 """
@@ -23,17 +24,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Cells of a level that make up one of the next; leaves are that much finer than grid cells.
 STEP = 8
 #: Random projections: tables, projections to a key, width of a projection's buckets, seed.
 TABLES, PROJECTIONS, BUCKET, SEED = 8, 3, 3.0, 7
-#: Donors of a layer up to which the above holds; the bucket's width beyond, the range that
-#: most values of a projection fall into (both in deviations), and donors wanted to a key.
+#: Places of a layer up to which the above holds; the bucket's width beyond, the range that
+#: most values of a projection fall into (both in deviations), and places wanted to a key.
 COARSE, FINE_BUCKET, SPREAD, PER_KEY = 8192, 2.0, 3.5, 512
 
 
@@ -48,10 +51,11 @@ def _up(cell: Column) -> Column:
     return F.transform(cell, lambda c: F.floor(c / STEP).cast("long"))
 
 
-def cell_tree(donors: DataFrame, nf: int, span: float, width: float) -> list[DataFrame]:
+def cell_tree(donors: DataFrame, nf: int, span: float, width: float, n: str | None = None) -> list[DataFrame]:
     """The levels of cells over donors (layer, cell, z0..), leaves first. The last
-    level's cells are as wide as the values' range."""
-    levels = [_boxes(donors, nf, lambda i: F.col(f"z{i}"), lambda i: F.col(f"z{i}"), F.lit(1)).checkpoint()]
+    level's cells are as wide as the values' range. ``n``: the column with the
+    donors that a row stands for (None: one)."""
+    levels = [_boxes(donors, nf, lambda i: F.col(f"z{i}"), lambda i: F.col(f"z{i}"), F.col(n) if n else F.lit(1)).checkpoint()]
     while width <= 2 * span:
         below = levels[-1].withColumn("cell", _up(F.col("cell")))
         levels.append(_boxes(below, nf, lambda i: F.col("lo")[i], lambda i: F.col("hi")[i], F.col("n")).checkpoint())
@@ -108,47 +112,87 @@ def layer_cell(nf: int, width: float) -> Column:
     return F.array(*(F.when(F.col("S").bitwiseAND(F.lit(1 << i)) != 0, F.floor(F.col(f"z{i}") / F.lit(width))).otherwise(0).cast("long") for i in range(nf)))
 
 
+def _inside(i: int) -> Column:
+    return F.col("S").bitwiseAND(F.lit(1 << i)) != 0
+
+
 def once_per_place(donors: DataFrame, nf: int, k: int) -> DataFrame:
-    """At most k donors, the smallest ids, of those that agree in all shared coordinates
+    """The donors with the k smallest ids of those that agree in all shared coordinates
     of their layer: they are equally far from every receiver (Spark limits each
     window group per task before the shuffle)."""
-    place = [F.when(F.col("S").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"z{i}")) for i in range(nf)]
+    place = [F.when(_inside(i), F.col(f"z{i}")) for i in range(nf)]
     first = Window.partitionBy("layer", *place).orderBy("id")
-    return donors.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= k).drop("__rn")
+    return donors.withColumn("__rk", F.dense_rank().over(first)).filter(F.col("__rk") <= k).drop("__rk")
 
 
-def best_first(receivers: DataFrame, donors: DataFrame, search, nf: int, k: int, span: float, width: float) -> DataFrame:
-    """Candidates of receivers and donors that are already in layers. ``search(rec, don)``
+def places(donors: DataFrame, nf: int, k: int) -> DataFrame:
+    """(pid, layer, S, id, n, members, z0..): the distinct shared coordinates of each layer
+    with their ``members`` (id, x), the donors with the k smallest ids, ``n`` of them, the first
+    being ``id``. ``pid`` numbers them and holds once the rows are stored."""
+    zs = [f"z{i}" for i in range(nf)]
+    # A coordinate is compared if it is shared, and else may fill in a gap: one value of the two is enough.
+    held = once_per_place(donors.select("layer", "S", "id", *(F.when(_inside(i), F.col(z)).otherwise(F.col(f"x{i}")).alias(z) for i, z in enumerate(zs))), nf, k)
+    members = (held.select("layer", "S", "id", *(F.when(_inside(i), F.col(z)).alias(z) for i, z in enumerate(zs)),
+                           F.array(*(F.when(~_inside(i), F.col(z)) for i, z in enumerate(zs))).alias("x"))
+               .groupBy("layer", "S", *zs, "id").agg(F.min("x").alias("x")))
+    return (members.groupBy("layer", "S", *zs)
+            .agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("int").alias("n"), F.collect_list(F.struct("id", "x")).alias("members"))
+            .withColumn("pid", F.monotonically_increasing_id()))
+
+
+def best_first(receivers: DataFrame, places: DataFrame, search, nf: int, k: int, span: float, width: float) -> DataFrame:
+    """Candidates of receivers in layers and of ``places``. ``search(rec, don)``
     compares rows of equal (layer, cell)."""
-    donors = once_per_place(donors, nf, k).withColumn("cell", layer_cell(nf, width / STEP)).checkpoint()
-    leaves = leaf_cells(receivers, cell_tree(donors, nf, span, width / STEP), nf, k)
-    met = donors.join(leaves.select("layer", "cell").distinct(), ["layer", "cell"], "left_semi").checkpoint()
+    places = places.drop("members").withColumn("cell", layer_cell(nf, width / STEP)).checkpoint()
+    leaves = leaf_cells(receivers, cell_tree(places, nf, span, width / STEP, "n"), nf, k)
+    met = places.join(leaves.select("layer", "cell").distinct(), ["layer", "cell"], "left_semi").checkpoint()
     return search(leaves.drop("n"), met)
 
 
-def lsh_grain(n_donors: int, projections: int = PROJECTIONS, bucket: float = BUCKET) -> tuple[int, float]:
-    """(projections to a key, width of their buckets) for a layer of so many donors."""
-    if n_donors <= COARSE:
+def lsh_grain(n_places: int, projections: int = PROJECTIONS, bucket: float = BUCKET) -> tuple[int, float]:
+    """(projections to a key, width of their buckets) for a layer of so many places."""
+    if n_places <= COARSE:
         return projections, bucket
-    return max(projections, math.ceil(math.log(n_donors / PER_KEY) / math.log(SPREAD / FINE_BUCKET))), FINE_BUCKET
+    return max(projections, math.ceil(math.log(n_places / PER_KEY) / math.log(SPREAD / FINE_BUCKET))), FINE_BUCKET
 
 
-def lsh_keys(points: DataFrame, nf: int, sizes: dict[int, int], tables: int = TABLES, projections: int = PROJECTIONS, bucket: float = BUCKET) -> DataFrame:
-    """A row per table, with ``cell``: its number and the buckets of its projections.
-    ``sizes``: donors by layer."""
-    spark = points.sparkSession
-    grains = {layer: lsh_grain(n, projections, bucket) for layer, n in sizes.items()}
-    most = max(m for m, _ in grains.values())
-    # At most (observed patterns)^2 rows. A narrower bucket: the coordinates are stretched.
-    grain = spark.createDataFrame([(layer, m, bucket / w) for layer, (m, w) in grains.items()], "layer int, __m int, __stretch double")
-    masked = F.array(*(F.when(F.col("S").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"z{i}") * F.col("__stretch")).otherwise(0.0) for i in range(nf)))
+def _drawn(spark: SparkSession, nf: int, most: int, projections: int, bucket: float, tables: int) -> np.ndarray:
+    """Unit vectors by (table, projection, coordinate), at least ``projections`` to a table."""
     # Fitting draws the projections; it needs a vector's length only. More of them leave the first ones as they are.
     drawn = BucketedRandomProjectionLSH(inputCol="masked", outputCol="hashes", numHashTables=tables * most, bucketLength=bucket, seed=SEED)
     model = drawn.fit(spark.range(1).select(array_to_vector(F.array(*(F.lit(0.0) for _ in range(nf)))).alias("masked")))
-    hashed = model.transform(points.join(F.broadcast(grain), "layer").withColumn("masked", array_to_vector(masked)))
+    rows = np.array(model._java_obj.randMatrix().toArray()).reshape(nf, tables * most).T
+    first, more = rows[:tables * projections], rows[tables * projections:]
+    return np.concatenate((first.reshape(tables, projections, nf), more.reshape(tables, most - projections, nf)), axis=1)
 
-    def drawn_at(t: int, p: int) -> int:
-        return t * projections + p if p < projections else tables * projections + t * (most - projections) + p - projections
-    key = [F.slice(F.array(F.lit(t).cast("long"), *(vector_to_array(F.col("hashes")[drawn_at(t, p)])[0].cast("long") for p in range(most))),
-                   F.lit(1), F.col("__m") + 1) for t in range(tables)]
-    return hashed.drop("masked").withColumn("cell", F.explode(F.array(*key))).drop("hashes", "__m", "__stretch")
+
+def lsh_cells(points: DataFrame, nf: int, sizes: dict[int, int], tables: int = TABLES, projections: int = PROJECTIONS, bucket: float = BUCKET) -> DataFrame:
+    """Adds ``cells``: by table, a number made of it and of the buckets of the projections
+    in that table's key (equal numbers of different keys are only compared in vain).
+    ``sizes``: places by layer. A batch is projected by products of arrays."""
+    grains = {layer: lsh_grain(n, projections, bucket) for layer, n in sizes.items()}
+    vectors = _drawn(points.sparkSession, nf, max(m for m, _ in grains.values()), projections, bucket, tables)
+
+    @F.pandas_udf("array<long>")
+    def cells(layer: pd.Series, *z: pd.Series) -> pd.Series:
+        layer = layer.to_numpy()
+        out = np.empty((len(layer), tables), dtype=np.int64)
+        for one in np.unique(layer):
+            at = np.flatnonzero(layer == one)
+            m, width = grains[int(one)]
+            sums = np.zeros((at.size, tables, m))
+            for i, c in enumerate(z):           # in this order for any number of rows: equal points get equal sums
+                sums += c.to_numpy(dtype=float)[at][:, None, None] * vectors[None, :, :m, i]
+            buckets = np.floor(sums / width).astype(np.int64).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (at.size, tables)).copy()
+            for p in range(m):
+                key = (key ^ buckets[:, :, p]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            out[at] = key.view(np.int64)
+        return pd.Series(list(out))
+    return points.withColumn("cells", cells("layer", *(F.when(_inside(i), F.col(f"z{i}")).otherwise(0.0) for i in range(nf))))
+
+
+def lsh_keys(points: DataFrame, nf: int, sizes: dict[int, int], tables: int = TABLES, projections: int = PROJECTIONS, bucket: float = BUCKET) -> DataFrame:
+    """A row per table, with ``cell`` (``lsh_cells``)."""
+    return lsh_cells(points, nf, sizes, tables, projections, bucket).withColumn("cell", F.explode("cells")).drop("cells")

@@ -132,3 +132,34 @@ def test_methods_are_checked(spark):
     assert [(r.donor, r.value) for r in knn.neighbours(pts).collect()] == [(0, 1.0)]
     none = _points(spark, np.array([[np.nan, 1.0]]), np.array([[1.0, np.nan]]))
     assert knn.neighbours(none).collect() == []
+
+
+def test_donors_of_a_place_are_searched_once(spark):
+    rng = np.random.default_rng(21)
+    don = rng.integers(0, 4, (3000, 4)).astype(float)
+    don[:, 0] = rng.normal(size=3000)               # filled in: a value of its own per donor
+    don[::5, 3] = np.nan
+    rec = rng.integers(0, 4, (40, 4)).astype(float)
+    rec[:, 0] = np.nan
+    rec[::4, 3] = np.nan
+    rec[-1] = (np.nan, 900.0, 1.0, np.nan)          # left to the tree
+    pts, want = _points(spark, rec, don), _brute(rec, don)
+    _, places = knn._layered(pts, 5)
+    per_layer = {r.layer: r.n for r in places.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(per_layer.values()) <= 4 ** 3 * 5 and sum(per_layer.values()) < 900   # donors in layers: several thousand
+    assert places.filter("n > 5 or n != size(members)").isEmpty()
+    for method in ("exact", "lsh"):
+        got = {}
+        for r in knn.neighbours(pts, method=method).orderBy("rn").collect():
+            assert r.value == don[r.donor, r.feature]
+            got.setdefault((r.rkey, r.feature), []).append((r.donor, round(r.dist, 9)))
+        assert got == want                          # ties by the smallest ids, as among single donors
+
+
+def test_a_row_that_comes_twice_is_one_donor(spark):
+    don = np.array([[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [3.0, 1.0], [4.0, 2.0], [5.0, 3.0], [6.0, 4.0]])
+    pts = _points(spark, np.array([[np.nan, 0.0]]), don)
+    twice = pts.donors.unionByName(pts.donors).checkpoint()
+    pts = knn.Points(pts.clean, pts.receivers, twice, pts.features, pts.means, pts.span, pts.any_missing)
+    for method in ("exact", "lsh"):
+        assert [r.donor for r in knn.neighbours(pts, method=method).orderBy("rn").collect()] == [0, 1, 2, 3, 4]
