@@ -163,3 +163,11 @@ def test_a_row_that_comes_twice_is_one_donor(spark):
     pts = knn.Points(pts.clean, pts.receivers, twice, pts.features, pts.means, pts.span, pts.any_missing)
     for method in ("exact", "lsh"):
         assert [r.donor for r in knn.neighbours(pts, method=method).orderBy("rn").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_both_searches_read_the_same_places(spark, monkeypatch):
+    made, places = [], knn_index.places
+    monkeypatch.setattr(knn_index, "places", lambda *a: made.append(a) or places(*a))
+    pts = _points(spark, np.array([[np.nan, 0.2], [np.nan, 7.0]]), np.array([[float(i), i / 3] for i in range(12)]))
+    exact, lsh = ([(r.rkey, r.donor) for r in knn.neighbours(pts, method=m).orderBy("rkey", "rn").collect()] for m in ("exact", "lsh"))
+    assert exact == lsh and len(exact) == 10 and len(made) == 1
